@@ -129,3 +129,40 @@ def employment_map_sql(raw: str) -> str:
 
 def state_names_cte() -> str:
     return "state_names(code, name) AS (VALUES " + ", ".join(f"({q(c)}, {q(n)})" for c, n in STATE_NAMES) + ")"
+
+
+def tracked_cte() -> str:
+    """Tracker seed: labels joined to p, one row per url (latest document)."""
+    return """tracked AS (
+  SELECT job_id, title, company, location, url, source, posted_at, CAST(base_score AS INTEGER) AS match_score,
+         ['seed']::VARCHAR[] AS match_reasons, []::VARCHAR[] AS gap_reasons, '' AS cover_letter,
+         CASE WHEN toxic = 1 THEN 'skipped' ELSE 'pending' END AS status, 'seeded' AS notes,
+         TIMESTAMP '2024-01-01 00:00:00' AS created_at
+  FROM (SELECT p.*, l.toxic, row_number() OVER (PARTITION BY p.url ORDER BY p.seq DESC) AS r
+        FROM p JOIN labels l ON p.seq = l.doc_id) WHERE r = 1
+)"""
+
+
+DKEY = "COALESCE(NULLIF(job_id, ''), company || '::' || title || '::' || url)"
+
+
+def cap_per_cell_sql(source: str, cap: int, n_cells: int) -> str:
+    """Exact per-cell cap, unrolled over the cells (each cell sees the keys
+    kept by earlier cells). Produces CTEs f, k0..k{n-1}, capped."""
+    parts = [f"""f AS (
+  SELECT role_id, source, search_cell, {DKEY} AS dkey, min(seq) AS seq FROM {source}
+  GROUP BY role_id, source, search_cell, {DKEY}
+)"""]
+    for c in range(n_cells):
+        prior = " UNION ALL ".join(f"SELECT role_id, source, dkey FROM k{i}" for i in range(c)) or \
+            "SELECT NULL::INTEGER AS role_id, NULL::VARCHAR AS source, NULL::VARCHAR AS dkey WHERE false"
+        parts.append(f"""k{c} AS (
+  SELECT role_id, source, dkey, seq FROM (
+    SELECT f.*, row_number() OVER (PARTITION BY role_id, source ORDER BY seq) AS rn FROM f
+    WHERE search_cell = {c} AND NOT EXISTS (
+      SELECT 1 FROM ({prior}) pr WHERE pr.role_id = f.role_id AND pr.source = f.source AND pr.dkey = f.dkey)
+  ) WHERE rn <= {cap}
+)""")
+    parts.append("capped AS (" + " UNION ALL ".join(f"SELECT role_id, source, seq FROM k{c}"
+                                                    for c in range(n_cells)) + ")")
+    return ",\n".join(parts)

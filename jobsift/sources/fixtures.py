@@ -97,3 +97,28 @@ def landed_postings(spark: SparkSession, sf_dir: str, cfg: SearchConfig = FIXTUR
     """
     from ..operators.cells import assign_cells, attach_cells
     return attach_cells(assign_cells(postings(spark, sf_dir), cfg), cfg)
+
+
+TRACKED_CREATED_AT = "2024-01-01 00:00:00"
+
+
+def tracked_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracker snapshot seeded from ``labels`` joined to the postings view.
+
+    One row per URL (the label of the latest document wins), with the tracker
+    columns: reasons as arrays, status from the toxicity label.
+    """
+    labels = table(spark, sf_dir, "labels")
+    p = postings(spark, sf_dir).select("seq", "job_id", "title", "company", "location", "url", "source",
+                                       "posted_at", "base_score")
+    j = p.join(labels, p.seq == labels.doc_id, "inner")
+    latest = j.groupBy("url").agg(F.max("seq").alias("seq"))
+    return (j.join(latest, on=["url", "seq"], how="left_semi")
+             .select("job_id", "title", "company", "location", "url", "source", "posted_at",
+                     F.col("base_score").cast("int").alias("match_score"),
+                     F.array(F.lit("seed")).alias("match_reasons"),
+                     F.array().cast("array<string>").alias("gap_reasons"),
+                     F.lit("").alias("cover_letter"),
+                     F.when(F.col("toxic") == 1, F.lit("skipped")).otherwise(F.lit("pending")).alias("status"),
+                     F.lit("seeded").alias("notes"),
+                     F.to_timestamp(F.lit(TRACKED_CREATED_AT)).alias("created_at")))
