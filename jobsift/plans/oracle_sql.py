@@ -166,3 +166,73 @@ def cap_per_cell_sql(source: str, cap: int, n_cells: int) -> str:
     parts.append("capped AS (" + " UNION ALL ".join(f"SELECT role_id, source, seq FROM k{c}"
                                                     for c in range(n_cells)) + ")")
     return ",\n".join(parts)
+
+
+def parse_response_ctes(src: str, raw: str, out: str = "parsed") -> str:
+    """Model answer -> score (0 on failure) and reasons; keeps all columns of ``src``."""
+    ws = "' ' || chr(10) || chr(13) || chr(9) || chr(12) || chr(11)"
+    return f"""pr_b AS (SELECT *, trim({raw}, {ws}) AS pr_t FROM {src}),
+pr_c AS (SELECT *, CASE WHEN starts_with(pr_t, '```') THEN split_part(pr_t, '```', 2) ELSE pr_t END AS pr_b0 FROM pr_b),
+pr_d AS (SELECT *, CASE WHEN starts_with(pr_b0, 'json') THEN substr(pr_b0, 5) ELSE pr_b0 END AS pr_body FROM pr_c),
+pr_e AS (SELECT *, CASE WHEN json_valid(pr_body) THEN pr_body::JSON END AS pr_j FROM pr_d),
+pr_f AS (
+  SELECT *, json_type(pr_j) = 'OBJECT' AS pr_obj, json_exists(pr_j, '$.match_score') AS pr_present,
+         json_type(pr_j, '$.match_score') AS pr_st, json_extract(pr_j, '$.match_score') AS pr_sv
+  FROM pr_e
+),
+{out} AS (
+  SELECT * EXCLUDE (pr_t, pr_b0, pr_body, pr_obj, pr_present, pr_st, pr_sv),
+    CASE WHEN pr_j IS NULL OR NOT pr_obj THEN NULL
+         WHEN NOT pr_present THEN 0
+         WHEN pr_st IN ('BIGINT', 'UBIGINT') THEN TRY_CAST(pr_sv::VARCHAR AS INTEGER)
+         WHEN pr_st = 'DOUBLE' THEN TRY_CAST(trunc(pr_sv::DOUBLE) AS INTEGER)
+         WHEN pr_st = 'BOOLEAN' THEN CASE WHEN pr_sv::VARCHAR = 'true' THEN 1 ELSE 0 END
+         WHEN pr_st = 'VARCHAR' THEN TRY_CAST(json_extract_string(pr_j, '$.match_score') AS INTEGER)
+    END AS parsed_score
+  FROM pr_f
+)"""
+
+
+WT_LOC_SQL = ("CASE WHEN contains(lower(location), 'remote') AND contains(lower(location), 'hybrid') THEN 'hybrid' "
+              "WHEN contains(lower(location), 'remote') THEN 'remote' "
+              "WHEN contains(lower(location), 'hybrid') THEN 'hybrid' END")
+
+
+def relevance_sql(terms: str) -> str:
+    return f"(len(list_filter({terms}, lambda t: contains(lower(title), t))) > 0)"
+
+
+def loc_parts_sql() -> str:
+    return """(CASE WHEN work_type = 'remote' THEN contains(lower(location), 'remote')
+      ELSE len(list_filter(list_transform(string_split(lower(location), ','),
+                 lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: NOT contains(x, 'remote')
+                 AND (contains(x, lower(city)) OR ends_with(x, lower(state))))) > 0
+           OR contains(lower(location), ', ' || lower(state)) END)"""
+
+
+def salary_ok_sql(run) -> str:
+    sal = run.salary
+    if sal.min is None and sal.max is None:
+        return "true"
+    fig = "TRY_CAST(replace(regexp_extract_all(salary, '\\$?([\\d,]+)', 1)[1], ',', '') AS BIGINT)"
+    low = f"(CASE WHEN contains(lower(salary), 'hour') AND {fig} < 1000 THEN {fig} * 2080 ELSE {fig} END)"
+    conds = ["true"]
+    if sal.skip_if_below_min and sal.min:
+        conds.append(f"NOT ({low} < {sal.min})")
+    if sal.max:
+        conds.append(f"NOT ({low} > {sal.max})")
+    return (f"(CASE WHEN salary IS NULL OR salary = '' OR {low} IS NULL THEN {str(sal.include_unlisted).upper()} "
+            f"ELSE {' AND '.join(conds)} END)")
+
+
+def company_ok_sql(run) -> str:
+    terms = run.blacklist_terms
+    if not terms:
+        return "true"
+    return f"(len(list_filter({lst(terms)}, lambda t: contains(lower(company), t))) = 0)"
+
+
+def employment_ok_sql(run) -> str:
+    if not run.employment_types:
+        return "true"
+    return f"(employment_type IS NULL OR employment_type IN ({', '.join(q(e) for e in run.employment_types)}))"
