@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import ENG_KEYWORDS, GLOBAL_SEARCH_BOARDS, LOCATION_BLIND_BOARDS, SearchConfig
-from .joins import bounded_broadcast
+from .joins import bounded_broadcast, inline_table
 
 CELL_SCHEMA = T.StructType([
     T.StructField("role_id", T.IntegerType()),
@@ -40,7 +40,8 @@ def cell_rows(cfg: SearchConfig) -> list[tuple]:
 
 
 def search_cells(spark: SparkSession, cfg: SearchConfig) -> DataFrame:
-    return spark.createDataFrame(cell_rows(cfg), CELL_SCHEMA)
+    """The cell table as an inline (JVM-local) relation: no Python round trip."""
+    return inline_table(spark, CELL_SCHEMA, cell_rows(cfg))
 
 
 def n_cells(cfg: SearchConfig, board: str) -> int:

@@ -8,7 +8,6 @@ which Spark plans as a partial ``WindowGroupLimit`` before the shuffle.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,25 +51,29 @@ def _cap_candidates(df: DataFrame, cap: int, n_cells: int) -> DataFrame:
                   .drop("_rn"))
 
 
-def _fold_cells(cap: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Cells in search order; within a cell, arrival order; a cell stops
-        # after `cap` new keys, and keys it did not reach stay available.
-        pdf = pdf.sort_values(["search_cell", "seq"], kind="stable")
-        seen: set = set()
-        kept = []
-        for _, cell in pdf.groupby("search_cell", sort=True):
-            n = 0
-            for key, seq in zip(cell["dedup_key"], cell["seq"]):
-                if n >= cap:
-                    break
-                if key not in seen:
-                    seen.add(key)
-                    kept.append(seq)
-                    n += 1
-        out = pdf[pdf["seq"].isin(kept)]
-        return out[["role_id", "source", "seq"]]
-    return fold
+def fold_cells(cand: DataFrame, cap: int) -> DataFrame:
+    """Exact order-dependent fold over the bounded candidates of each (role, board).
+
+    Cells in search order, arrival order inside a cell; a cell stops after
+    ``cap`` new keys, and keys it did not reach stay available to later cells.
+    Runs JVM-side as an ``aggregate`` over the group's sorted candidate array,
+    whose length is bounded by configuration (cap x cells x (cells + 1) / 2).
+    """
+    state0 = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<bigint>").alias("kept"),
+                      F.lit(-1).alias("cell"), F.lit(0).alias("n"))
+
+    def step(st, e):
+        n0 = F.when(e["search_cell"] == st["cell"], st["n"]).otherwise(F.lit(0))
+        take = (n0 < F.lit(cap)) & ~F.array_contains(st["seen"], e["dedup_key"])
+        return F.struct(
+            F.when(take, F.array_append(st["seen"], e["dedup_key"])).otherwise(st["seen"]).alias("seen"),
+            F.when(take, F.array_append(st["kept"], e["seq"])).otherwise(st["kept"]).alias("kept"),
+            e["search_cell"].alias("cell"),
+            (n0 + F.when(take, F.lit(1)).otherwise(F.lit(0))).alias("n"))
+
+    grouped = cand.groupBy(*GROUP).agg(
+        F.array_sort(F.collect_list(F.struct("search_cell", "seq", "dedup_key"))).alias("_c"))
+    return grouped.select(*GROUP, F.explode(F.aggregate("_c", state0, step)["kept"]).alias("seq"))
 
 
 def cap_per_cell(df: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -83,7 +86,7 @@ def cap_per_cell(df: DataFrame, cfg: SearchConfig) -> DataFrame:
     cap = cfg.run.max_jobs_per_location
     n_cells = max(1, len(cfg.work_types) * len(cfg.locations))
     cand = _cap_candidates(df, cap, n_cells)
-    kept = cand.groupBy(*GROUP).applyInPandas(_fold_cells(cap), "role_id int, source string, seq long")
+    kept = fold_cells(cand, cap)
     bound = len(cfg.roles) * max(1, len(cfg.enabled_boards)) * n_cells * cap
     return df.join(bounded_broadcast(kept, bound), on=["role_id", "source", "seq"], how="left_semi")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Above this many rows a configuration-derived side is shuffled instead.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -36,3 +37,25 @@ def rows_of_min(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
     via partial aggregation and a semi join."""
     mins = df.groupBy(*keys).agg(F.min(value_col).alias(value_col))
     return df.join(mins, on=keys + [value_col], how="left_semi")
+
+
+def _sql_literal(v, dtype) -> str:
+    if v is None:
+        return f"CAST(NULL AS {dtype.simpleString()})"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return f"CAST({v!r} AS {dtype.simpleString()})"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def inline_table(spark: SparkSession, schema: T.StructType, rows: list[tuple]) -> DataFrame:
+    """A small configuration table as a SQL VALUES relation: planned as a
+    JVM-local relation, with no Python round trip at execution time."""
+    names = ", ".join(f.name for f in schema.fields)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    values = ", ".join("(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")"
+                       for r in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -79,7 +79,12 @@ def required_years(description) -> Column:
     """Largest year figure over the three phrasings (ranges use the upper end);
     NULL when none. Whole description, lower-cased; Unicode classes as in the
     original tool's regex engine."""
-    d = F.lower(F.coalesce(_col(description), F.lit("")))
+    return required_years_lc(F.lower(F.coalesce(_col(description), F.lit(""))))
+
+
+def required_years_lc(lowered) -> Column:
+    """``required_years`` over text that is already lower-cased."""
+    d = _col(lowered)
     ranges = F.regexp_extract_all(d, F.lit("(?U)" + YEARS_RANGE_PATTERN), F.lit(2))
     plus = F.regexp_extract_all(d, F.lit("(?U)" + YEARS_PLUS_PATTERN), F.lit(1))
     exp = F.regexp_extract_all(d, F.lit("(?U)" + YEARS_EXPERIENCE_PATTERN), F.lit(1))
@@ -100,14 +105,26 @@ def final_score(base, adjustment) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), _col(base) + _col(adjustment))).cast("int")
 
 
+def posting_features(df: DataFrame, title: str = "title", description: str = "description") -> DataFrame:
+    """Role-independent features, computed once per posting (before any role
+    fan-out): title level and required years. The lower-cased description is
+    its own projection so the three scans share it."""
+    lowered = df.withColumn("_desc_lc", F.lower(F.coalesce(F.col(description), F.lit(""))))
+    return (lowered.withColumns({"job_level": seniority_level(title),
+                                 "required_years": required_years_lc("_desc_lc")})
+                   .drop("_desc_lc"))
+
+
 def adjust_scores(df: DataFrame, base: str = "match_score", out: str = "match_score") -> DataFrame:
-    """Adds job_level, seniority_adj, required_years, experience_adj and the
-    clamped final score. Expects role columns lvl_lo, lvl_hi, years, sigma."""
-    return (df.withColumn("job_level", seniority_level("title"))
-              .withColumn("seniority_adj", seniority_adjust(level_index("job_level"), "lvl_lo", "lvl_hi"))
-              .withColumn("required_years", required_years("description"))
-              .withColumn("experience_adj", experience_adjust("required_years", "years", "sigma"))
-              .withColumn(out, final_score(base, F.col("seniority_adj") + F.col("experience_adj"))))
+    """Adds seniority_adj, experience_adj and the clamped final score (and the
+    posting features when absent). Expects role columns lvl_lo, lvl_hi, years, sigma."""
+    if "required_years" not in df.columns or "job_level" not in df.columns:
+        df = posting_features(df)
+    adj = df.withColumns({
+        "seniority_adj": seniority_adjust(level_index("job_level"), "lvl_lo", "lvl_hi"),
+        "experience_adj": experience_adjust("required_years", "years", "sigma"),
+    })
+    return adj.withColumn(out, final_score(base, F.col("seniority_adj") + F.col("experience_adj")))
 
 
 # ---- E1: prompts -------------------------------------------------------------

@@ -15,7 +15,7 @@ RUN = CFG.run
 
 
 def _scored(spark, sf_dir):
-    return scoring.adjust_scores(landed_postings(spark, sf_dir, CFG), base="base_score")
+    return scoring.adjust_scores(landed_postings(spark, sf_dir, CFG, features=True), base="base_score")
 
 
 # ---- E5 ---------------------------------------------------------------------

@@ -88,15 +88,22 @@ FIXTURE_CONFIG = SearchConfig(
 )
 
 
-def landed_postings(spark: SparkSession, sf_dir: str, cfg: SearchConfig = FIXTURE_CONFIG) -> DataFrame:
+def landed_postings(spark: SparkSession, sf_dir: str, cfg: SearchConfig = FIXTURE_CONFIG,
+                    features: bool = False) -> DataFrame:
     """Postings in the landed shape: every role's search returned the pool,
     spread over that board's search cells by arrival order.
 
     Adds role_id, board_ord, search_cell and the requested work type of the
-    cell; rows of boards that are not enabled drop out.
+    cell; rows of boards that are not enabled drop out. ``features`` adds the
+    posting-level scoring features once per posting.
     """
     from ..operators.cells import assign_cells, attach_cells
-    return attach_cells(assign_cells(postings(spark, sf_dir), cfg), cfg)
+    from ..operators.scoring import posting_features
+    p = postings(spark, sf_dir)
+    if features:
+        # Role-independent scoring features before the role fan-out.
+        p = posting_features(p)
+    return attach_cells(assign_cells(p, cfg), cfg)
 
 
 TRACKED_CREATED_AT = "2024-01-01 00:00:00"
