@@ -106,10 +106,15 @@ def _full(spark, d):
     return out.select(*[format_ts(c).alias(c) if c == "posted_at" else F.col(c) for c in FULL_COLS])
 
 
+def merged_sql() -> str:
+    return f"""{chosen_sql()},
+mm AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY match_score DESC, role_ord, rank) AS mr FROM chosen),
+merged AS (SELECT * EXCLUDE (mr) FROM mm WHERE mr = 1)"""
+
+
 register("full_run", f"""
-WITH {chosen_sql()},
-m AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY match_score DESC, role_ord, rank) AS mr FROM chosen)
+WITH {merged_sql()}
 SELECT url, role_id, seq, title, company, source, strftime(posted_at, {TS_FMT}) AS posted_at, job_work_type,
        match_score, status, notes
-FROM m WHERE mr = 1
+FROM merged
 """)(_full)
