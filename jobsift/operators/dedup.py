@@ -24,7 +24,7 @@ def dedup_key(job_id: str = "job_id", company: str = "company", title: str = "ti
 
 
 def with_dedup_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("dedup_key", dedup_key())
+    return df if "dedup_key" in df.columns else df.withColumn("dedup_key", dedup_key())
 
 
 def dedup_board(df: DataFrame) -> DataFrame:
@@ -107,6 +107,32 @@ def board_dedup_and_cap(df: DataFrame, cfg: SearchConfig) -> DataFrame:
     return cap_per_cell(df.filter(~is_global), cfg).unionByName(cap_global(df.filter(is_global), cfg))
 
 
+def gather_bound(cfg: SearchConfig) -> int:
+    """Upper bound on rows kept by the caps: roles x boards x cells x cap."""
+    n_cells = max(1, len(cfg.work_types) * len(cfg.locations))
+    return len(cfg.roles) * max(1, len(cfg.enabled_boards)) * n_cells * cfg.run.max_jobs_per_location
+
+
+def capped_keys(df: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """(role_id, source, seq) kept by the per-board dedup and caps, computed
+    on a narrow key projection (no description or other wide column)."""
+    narrow = with_dedup_key(df).select(*GROUP, "seq", "search_cell", "dedup_key")
+    is_global = F.col("source").isin(GLOBAL_SEARCH_BOARDS)
+    regular = narrow.filter(~is_global)
+    n_cells = max(1, len(cfg.work_types) * len(cfg.locations))
+    kept_regular = fold_cells(_cap_candidates(regular, cfg.run.max_jobs_per_location, n_cells),
+                              cfg.run.max_jobs_per_location)
+    glob = narrow.filter(is_global)
+    firsts = (glob.groupBy(*GROUP, "dedup_key")
+                  .agg(F.min(F.struct("search_cell", "seq")).alias("_w"))
+                  .select(*GROUP, F.col("_w.search_cell").alias("search_cell"), F.col("_w.seq").alias("seq")))
+    limit = cfg.run.max_jobs_per_location * len(cfg.locations)
+    w = Window.partitionBy(*GROUP).orderBy("search_cell", "seq")
+    kept_global = (firsts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+                         .select(*GROUP, "seq"))
+    return kept_regular.unionByName(kept_global)
+
+
 def dedup_cross_board(df: DataFrame) -> DataFrame:
     """Per role and URL, the first board (board_ord) keeps all of its rows;
     later boards lose theirs (rank() = 1, not row_number)."""
@@ -141,3 +167,12 @@ def anti_tracked(df: DataFrame, tracked: DataFrame) -> DataFrame:
     history, so no broadcast is forced: AQE converts to a broadcast join only
     when the runtime size is under its threshold."""
     return df.join(tracked.select("url"), on="url", how="left_anti")
+
+
+def anti_tracked_bounded(df: DataFrame, tracked: DataFrame, row_bound: int) -> DataFrame:
+    """``anti_tracked`` for a left side of proven size: the tracked table is
+    streamed once against the broadcast URLs (no shuffle of tracked), and the
+    few hits are then removed with a broadcast anti join."""
+    urls = bounded_broadcast(df.select("url"), row_bound)
+    hits = tracked.select("url").join(urls, on="url", how="left_semi")
+    return df.join(bounded_broadcast(hits, row_bound), on="url", how="left_anti")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.classify import location_match_parts, location_match_simple, work_type_from_location
 from ..operators import dedup, filters, scoring, select
 from ..operators.cells import role_terms_col
+from ..operators.joins import bounded_broadcast
+from ..session import checkpoint_dir
 from ..params import SearchConfig
 
 # Which board applies which local rule (the others filter server-side or not at all).
@@ -55,21 +57,45 @@ def with_mapped_work_type(df: DataFrame) -> DataFrame:
               .withColumn("job_work_type", F.coalesce("mapped_work_type", "work_type")))
 
 
-def gather(landed: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Landed rows -> the per-role job list of the gather stage."""
-    ruled = board_rules(with_mapped_work_type(landed), cfg)
-    capped = dedup.board_dedup_and_cap(ruled, cfg)
-    return dedup.dedup_cross_board(capped)
-
-
-def attach_responses(df: DataFrame, responses: DataFrame) -> DataFrame:
-    """Model answers per (role, posting); a posting without one parses as 0."""
-    return df.join(responses.select("role_id", "seq", "raw"), on=["role_id", "seq"], how="left")
-
+def gather(landed: DataFrame, cfg: SearchConfig, materialize: bool = True) -> DataFrame:
+    """Landed rows -> the per-role job list of the gather stage.
 
-def score(gathered: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig) -> DataFrame:
-    cand = dedup.anti_tracked(filters.prefilter(gathered, cfg.run), tracked)
-    parsed = scoring.parse_response(attach_responses(cand, responses), "raw")
+    Caps and the cross-board dedup run on narrow keys; what survives is
+    bounded by configuration (roles x boards x cells x cap), so it is
+    checkpointed to the shared checkpoint folder (cutting the lineage) and
+    broadcast back to fetch the full rows with one semi join.
+    """
+    ruled = board_rules(with_mapped_work_type(landed), cfg)
+    bound = dedup.gather_bound(cfg)
+    kept = dedup.capped_keys(ruled, cfg)
+    capped = ruled.select("role_id", "source", "seq", "url", "board_ord") \
+        .join(bounded_broadcast(kept, bound), on=["role_id", "source", "seq"], how="left_semi")
+    if materialize:
+        checkpoint_dir(landed.sparkSession)
+        capped = capped.checkpoint(eager=True)
+    survivors = dedup.dedup_cross_board(capped).select("role_id", "seq")
+    return ruled.join(bounded_broadcast(survivors, bound), on=["role_id", "seq"], how="left_semi")
+
+
+def attach_responses(df: DataFrame, responses: DataFrame, row_bound: int | None = None) -> DataFrame:
+    """Model answers per (role, posting); a posting without one parses as 0.
+
+    With a bounded left side, the answers table is first probed with the
+    broadcast keys (streamed once, never shuffled)."""
+    answers = responses.select("role_id", "seq", "raw")
+    if row_bound is not None:
+        keys = bounded_broadcast(df.select("role_id", "seq"), row_bound)
+        answers = answers.join(keys, on=["role_id", "seq"], how="left_semi")
+        return df.join(bounded_broadcast(answers, row_bound), on=["role_id", "seq"], how="left")
+    return df.join(answers, on=["role_id", "seq"], how="left")
+
+
+def score(gathered: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig,
+          row_bound: int | None = None) -> DataFrame:
+    pre = filters.prefilter(gathered, cfg.run)
+    cand = (dedup.anti_tracked_bounded(pre, tracked, row_bound) if row_bound is not None
+            else dedup.anti_tracked(pre, tracked))
+    parsed = scoring.parse_response(attach_responses(cand, responses, row_bound), "raw")
     return scoring.adjust_scores(parsed, base="match_score", out="match_score")
 
 
@@ -78,12 +104,13 @@ def choose(scored: DataFrame, cfg: SearchConfig) -> DataFrame:
     return select.status_notes(top, cfg.run.min_match_score)
 
 
-def full_run(landed: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Merged applications, one per URL (highest score wins)."""
-    return select.merge_roles(choose(score(gather(landed, cfg), tracked, responses, cfg), cfg))
-
-
 def role_results(landed: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Per-role applications before the URL merge (what each role upserts)."""
-    return choose(score(gather(landed, cfg), tracked, responses, cfg), cfg)
+    gathered = gather(landed, cfg)
+    return choose(score(gathered, tracked, responses, cfg, row_bound=dedup.gather_bound(cfg)), cfg)
+
+
+def full_run(landed: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Merged applications, one per URL (highest score wins)."""
+    return select.merge_roles(role_results(landed, tracked, responses, cfg))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -38,22 +36,30 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The setting is read from the session. A fallback is only used when the
-    session has none (local tests); on a cluster the setting must point at
-    shared storage, so we fail instead of writing to a machine-local folder.
+    Read from the session: an already-set checkpoint directory is kept; else
+    the ``spark.checkpoint.dir`` setting is used. Only a local session (tests)
+    without either gets a fallback folder; on a cluster a missing setting is an
+    error rather than a machine-local temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        try:
+            configured = spark.conf.get("spark.checkpoint.dir")
+        except Exception:  # noqa: BLE001 - unset
+            configured = None
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
         return configured
+    if not (sc.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     if fallback is None:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         import tempfile
         fallback = tempfile.mkdtemp(prefix="jobsift-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
+    sc.setCheckpointDir(fallback)
     return fallback
 
 
