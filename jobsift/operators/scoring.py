@@ -70,9 +70,10 @@ def seniority_adjust(level_idx, lvl_lo, lvl_hi) -> Column:
     0 when the title or the role has no known level."""
     i, lo, hi = _col(level_idx), _col(lvl_lo), _col(lvl_hi)
     dist = F.least(F.abs(i - lo), F.abs(i - hi))
-    adj = F.when((i >= lo) & (i <= hi), F.lit(SENIORITY_IN_RANGE_BONUS)) \
-        .otherwise(-F.least(dist * SENIORITY_STEP_PENALTY, F.lit(SENIORITY_MAX_PENALTY)))
-    return F.coalesce(adj, F.lit(0)).cast("int")
+    # least() skips NULLs, so unknown levels are tested first.
+    return (F.when(i.isNull() | lo.isNull() | hi.isNull(), F.lit(0))
+             .when((i >= lo) & (i <= hi), F.lit(SENIORITY_IN_RANGE_BONUS))
+             .otherwise(-F.least(dist * SENIORITY_STEP_PENALTY, F.lit(SENIORITY_MAX_PENALTY)))).cast("int")
 
 
 def required_years(description) -> Column:

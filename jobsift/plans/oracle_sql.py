@@ -84,8 +84,9 @@ def level_index_sql(level: str) -> str:
 
 
 def seniority_adj_sql(idx: str, lo: str, hi: str) -> str:
-    return (f"CAST(COALESCE(CASE WHEN {idx} BETWEEN {lo} AND {hi} THEN 8 "
-            f"ELSE -least(least(abs({idx} - {lo}), abs({idx} - {hi})) * 10, 20) END, 0) AS INTEGER)")
+    return (f"CAST(CASE WHEN {idx} IS NULL OR {lo} IS NULL OR {hi} IS NULL THEN 0 "
+            f"WHEN {idx} BETWEEN {lo} AND {hi} THEN 8 "
+            f"ELSE -least(least(abs({idx} - {lo}), abs({idx} - {hi})) * 10, 20) END AS INTEGER)")
 
 
 def required_years_sql(desc: str) -> str:
