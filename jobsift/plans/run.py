@@ -20,7 +20,7 @@ from ..functions.classify import location_match_parts, location_match_simple, wo
 from ..operators import dedup, filters, scoring, select
 from ..operators.cells import role_terms_col
 from ..operators.joins import bounded_broadcast
-from ..session import checkpoint_dir
+from ..session import materialize as materialize_df
 from ..params import SearchConfig
 
 # Which board applies which local rule (the others filter server-side or not at all).
@@ -61,9 +61,10 @@ def gather(landed: DataFrame, cfg: SearchConfig, materialize: bool = True) -> Da
     """Landed rows -> the per-role job list of the gather stage.
 
     Caps and the cross-board dedup run on narrow keys; what survives is
-    bounded by configuration (roles x boards x cells x cap), so it is
-    checkpointed to the shared checkpoint folder (cutting the lineage) and
-    broadcast back to fetch the full rows with one semi join.
+    bounded by configuration (roles x boards x cells x cap), so the kept keys
+    and then the gathered rows are checkpointed to the shared checkpoint
+    folder (cutting the lineage; a lost executor re-reads, not re-derives),
+    and the full rows are fetched with one broadcast semi join.
     """
     ruled = board_rules(with_mapped_work_type(landed), cfg)
     bound = dedup.gather_bound(cfg)
@@ -71,10 +72,12 @@ def gather(landed: DataFrame, cfg: SearchConfig, materialize: bool = True) -> Da
     capped = ruled.select("role_id", "source", "seq", "url", "board_ord") \
         .join(bounded_broadcast(kept, bound), on=["role_id", "source", "seq"], how="left_semi")
     if materialize:
-        checkpoint_dir(landed.sparkSession)
-        capped = capped.checkpoint(eager=True)
+        capped = materialize_df(capped, "capped-keys")
     survivors = dedup.dedup_cross_board(capped).select("role_id", "seq")
-    return ruled.join(bounded_broadcast(survivors, bound), on=["role_id", "seq"], how="left_semi")
+    gathered = ruled.join(bounded_broadcast(survivors, bound), on=["role_id", "seq"], how="left_semi")
+    # The gathered rows are bounded too; every later stage probes them more
+    # than once, so they are materialised once instead of re-derived.
+    return materialize_df(gathered, "gathered") if materialize else gathered
 
 
 def attach_responses(df: DataFrame, responses: DataFrame, row_bound: int | None = None) -> DataFrame:

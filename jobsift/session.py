@@ -67,3 +67,15 @@ def utc(spark: SparkSession) -> None:
     """Timestamps are compared as UTC instants throughout."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def materialize(df, tag: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: the lineage is cut with a single job (a reliable checkpoint
+    would compute the plan twice), and a lost executor re-reads the files."""
+    import os
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "materialized", f"{tag}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
