@@ -73,8 +73,10 @@ def pair_roles(df: DataFrame, cfg: SearchConfig) -> DataFrame:
     A generator over the literal role list: rows multiply in place by the
     configured role count, with no join, shuffle or broadcast.
     """
-    return (df.withColumn("_role", F.explode(role_struct(cfg)))
-              .select("*", "_role.*").drop("_role"))
+    fields = [f"_role.{n}" for n in ("role_id", "role_ord", "role_title", "role_terms", "lvl_lo", "lvl_hi",
+                                     "years", "sigma")]
+    return df.select("*", F.explode(role_struct(cfg)).alias("_role")).select(
+        *[c for c in df.columns], *fields)
 
 
 def role_terms_col(cfg: SearchConfig, role_id_col: str = "role_id", with_eng: bool = False) -> Column:
@@ -100,8 +102,8 @@ def assign_cells(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
         .otherwise(F.lit(len(cfg.work_types) * len(cfg.locations)))
     out = (postings
            .filter(F.col("source").isin(list(ords)))
-           .withColumn("board_ord", board_ord.cast("int"))
-           .withColumn("search_cell", (F.expr("seq div 9") % cell_count).cast("int")))
+           .withColumns({"board_ord": board_ord.cast("int"),
+                         "search_cell": (F.expr("seq div 9") % cell_count).cast("int")}))
     return pair_roles(out, cfg)
 
 

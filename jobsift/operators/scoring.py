@@ -90,7 +90,8 @@ def required_years_lc(lowered) -> Column:
     plus = F.regexp_extract_all(d, F.lit("(?U)" + YEARS_PLUS_PATTERN), F.lit(1))
     exp = F.regexp_extract_all(d, F.lit("(?U)" + YEARS_EXPERIENCE_PATTERN), F.lit(1))
     vals = F.transform(F.concat(ranges, plus, exp), lambda x: x.try_cast("double"))
-    return F.array_max(vals)
+    # Every phrasing contains "year": texts without it skip the three scans.
+    return F.when(d.contains("year"), F.array_max(vals))
 
 
 def experience_adjust(required, years, sigma) -> Column:

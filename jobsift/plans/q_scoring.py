@@ -45,7 +45,8 @@ FROM p CROSS JOIN roles r
 register("required_years", f"""
 WITH {O.postings_cte()}
 SELECT seq, {O.required_years_sql('description')} AS required_years FROM p
-""")(lambda spark, d: postings(spark, d).select("seq", scoring.required_years("description").alias("required_years")))
+""")(lambda spark, d: scoring.posting_features(postings(spark, d).select("seq", "title", "description"))
+     .select("seq", "required_years"))
 
 
 # ---- E8 ---------------------------------------------------------------------

@@ -51,13 +51,27 @@ POSTINGS_COLUMNS = [
 POSTINGS_SQL = "SELECT " + ",\n ".join(POSTINGS_COLUMNS) + "\nFROM documents"
 
 
+_VIEWS: dict = {}
+
+
+def _memo(spark: SparkSession, *key):
+    """Lazy views are plans: build (and analyse) each once per session."""
+    def deco(build):
+        k = (id(spark._jsparkSession),) + key
+        if k not in _VIEWS:
+            _VIEWS[k] = build()
+        return _VIEWS[k]
+    return deco
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _memo(spark, "table", sf_dir, name)(lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived ``postings`` view (one row per document)."""
-    return table(spark, sf_dir, "documents").selectExpr(*POSTINGS_COLUMNS)
+    return _memo(spark, "postings", sf_dir)(
+        lambda: table(spark, sf_dir, "documents").selectExpr(*POSTINGS_COLUMNS))
 
 
 # ---------------------------------------------------------------------------
@@ -99,11 +113,14 @@ def landed_postings(spark: SparkSession, sf_dir: str, cfg: SearchConfig = FIXTUR
     """
     from ..operators.cells import assign_cells, attach_cells
     from ..operators.scoring import posting_features
-    p = postings(spark, sf_dir)
-    if features:
-        # Role-independent scoring features before the role fan-out.
-        p = posting_features(p)
-    return attach_cells(assign_cells(p, cfg), cfg)
+
+    def build():
+        p = postings(spark, sf_dir)
+        if features:
+            # Role-independent scoring features before the role fan-out.
+            p = posting_features(p)
+        return attach_cells(assign_cells(p, cfg), cfg)
+    return _memo(spark, "landed", sf_dir, features, id(cfg))(build)
 
 
 TRACKED_CREATED_AT = "2024-01-01 00:00:00"
@@ -115,6 +132,10 @@ def tracked_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per URL (the label of the latest document wins), with the tracker
     columns: reasons as arrays, status from the toxicity label.
     """
+    return _memo(spark, "tracked", sf_dir)(lambda: _tracked_seed(spark, sf_dir))
+
+
+def _tracked_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     p = postings(spark, sf_dir).select("seq", "job_id", "title", "company", "location", "url", "source",
                                        "posted_at", "base_score")
