@@ -32,16 +32,22 @@ def dedup_board(df: DataFrame) -> DataFrame:
     return first_per_key(with_dedup_key(df), GROUP + ["dedup_key"], ["search_cell", "seq"])
 
 
-def _cap_candidates(df: DataFrame, cap: int, n_cells: int) -> DataFrame:
+def _cap_candidates(df: DataFrame, cap: int, n_cells: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Distributed reduction for the per-cell cap.
 
-    In cell c only first occurrences of a key can be kept, and at most 25*c of
+    In cell c only first occurrences of a key can be kept, and at most cap*c of
     them are already taken by earlier cells, so the kept rows are among the
     first cap*(c+1) first occurrences. Both steps are partial-aggregated /
     partial-limited; the result per (role, board) is bounded by configuration.
+    ``carry`` columns ride along with the first occurrence.
     """
     keyed = with_dedup_key(df)
-    firsts = (keyed.groupBy(*GROUP, "search_cell", "dedup_key").agg(F.min("seq").alias("seq")))
+    if carry:
+        first = F.min(F.struct("seq", *carry)).alias("_f")
+        firsts = (keyed.groupBy(*GROUP, "search_cell", "dedup_key").agg(first)
+                       .select(*GROUP, "search_cell", "dedup_key", "_f.*"))
+    else:
+        firsts = keyed.groupBy(*GROUP, "search_cell", "dedup_key").agg(F.min("seq").alias("seq"))
     w = Window.partitionBy(*GROUP, "search_cell").orderBy("seq")
     # The literal bound lets Spark plan a partial WindowGroupLimit before the
     # shuffle; the per-cell bound then trims exactly.
@@ -51,7 +57,7 @@ def _cap_candidates(df: DataFrame, cap: int, n_cells: int) -> DataFrame:
                   .drop("_rn"))
 
 
-def fold_cells(cand: DataFrame, cap: int) -> DataFrame:
+def fold_cells(cand: DataFrame, cap: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Exact order-dependent fold over the bounded candidates of each (role, board).
 
     Cells in search order, arrival order inside a cell; a cell stops after
@@ -59,21 +65,25 @@ def fold_cells(cand: DataFrame, cap: int) -> DataFrame:
     Runs JVM-side as an ``aggregate`` over the group's sorted candidate array,
     whose length is bounded by configuration (cap x cells x (cells + 1) / 2).
     """
-    state0 = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<bigint>").alias("kept"),
+    kept_type = "array<struct<seq:bigint" + "".join(
+        f",{c}:{cand.schema[c].dataType.simpleString()}" for c in carry) + ">>"
+    state0 = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(kept_type).alias("kept"),
                       F.lit(-1).alias("cell"), F.lit(0).alias("n"))
 
     def step(st, e):
         n0 = F.when(e["search_cell"] == st["cell"], st["n"]).otherwise(F.lit(0))
         take = (n0 < F.lit(cap)) & ~F.array_contains(st["seen"], e["dedup_key"])
+        row = F.struct(e["seq"].alias("seq"), *[e[c].alias(c) for c in carry])
         return F.struct(
             F.when(take, F.array_append(st["seen"], e["dedup_key"])).otherwise(st["seen"]).alias("seen"),
-            F.when(take, F.array_append(st["kept"], e["seq"])).otherwise(st["kept"]).alias("kept"),
+            F.when(take, F.array_append(st["kept"], row)).otherwise(st["kept"]).alias("kept"),
             e["search_cell"].alias("cell"),
             (n0 + F.when(take, F.lit(1)).otherwise(F.lit(0))).alias("n"))
 
     grouped = cand.groupBy(*GROUP).agg(
-        F.array_sort(F.collect_list(F.struct("search_cell", "seq", "dedup_key"))).alias("_c"))
-    return grouped.select(*GROUP, F.explode(F.aggregate("_c", state0, step)["kept"]).alias("seq"))
+        F.array_sort(F.collect_list(F.struct("search_cell", "seq", "dedup_key", *carry))).alias("_c"))
+    return (grouped.select(*GROUP, F.explode(F.aggregate("_c", state0, step)["kept"]).alias("_k"))
+                   .select(*GROUP, "_k.*"))
 
 
 def cap_per_cell(df: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -113,23 +123,23 @@ def gather_bound(cfg: SearchConfig) -> int:
     return len(cfg.roles) * max(1, len(cfg.enabled_boards)) * n_cells * cfg.run.max_jobs_per_location
 
 
-def capped_keys(df: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """(role_id, source, seq) kept by the per-board dedup and caps, computed
-    on a narrow key projection (no description or other wide column)."""
-    narrow = with_dedup_key(df).select(*GROUP, "seq", "search_cell", "dedup_key")
+def capped_keys(df: DataFrame, cfg: SearchConfig, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(role_id, source, seq, *carry) kept by the per-board dedup and caps,
+    computed on a narrow key projection (no description or other wide column)."""
+    narrow = with_dedup_key(df).select(*GROUP, "seq", "search_cell", "dedup_key", *carry)
     is_global = F.col("source").isin(GLOBAL_SEARCH_BOARDS)
     regular = narrow.filter(~is_global)
+    cap = cfg.run.max_jobs_per_location
     n_cells = max(1, len(cfg.work_types) * len(cfg.locations))
-    kept_regular = fold_cells(_cap_candidates(regular, cfg.run.max_jobs_per_location, n_cells),
-                              cfg.run.max_jobs_per_location)
+    kept_regular = fold_cells(_cap_candidates(regular, cap, n_cells, carry), cap, carry)
     glob = narrow.filter(is_global)
     firsts = (glob.groupBy(*GROUP, "dedup_key")
-                  .agg(F.min(F.struct("search_cell", "seq")).alias("_w"))
-                  .select(*GROUP, F.col("_w.search_cell").alias("search_cell"), F.col("_w.seq").alias("seq")))
-    limit = cfg.run.max_jobs_per_location * len(cfg.locations)
+                  .agg(F.min(F.struct("search_cell", "seq", *carry)).alias("_w"))
+                  .select(*GROUP, "_w.*"))
+    limit = cap * len(cfg.locations)
     w = Window.partitionBy(*GROUP).orderBy("search_cell", "seq")
     kept_global = (firsts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
-                         .select(*GROUP, "seq"))
+                         .select(*GROUP, "seq", *carry))
     return kept_regular.unionByName(kept_global)
 
 

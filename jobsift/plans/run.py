@@ -68,9 +68,9 @@ def gather(landed: DataFrame, cfg: SearchConfig, materialize: bool = True) -> Da
     """
     ruled = board_rules(with_mapped_work_type(landed), cfg)
     bound = dedup.gather_bound(cfg)
-    kept = dedup.capped_keys(ruled, cfg)
-    capped = ruled.select("role_id", "source", "seq", "url", "board_ord") \
-        .join(bounded_broadcast(kept, bound), on=["role_id", "source", "seq"], how="left_semi")
+    # The URL and board order ride along with the kept keys, so the rows are
+    # read twice in all: once for the keys, once to fetch the survivors.
+    capped = dedup.capped_keys(ruled, cfg, carry=("url", "board_ord"))
     if materialize:
         capped = materialize_df(capped, "capped-keys")
     survivors = dedup.dedup_cross_board(capped).select("role_id", "seq")
