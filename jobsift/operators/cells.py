@@ -108,11 +108,26 @@ def assign_cells(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
 
 
 def attach_cells(df: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Join landed rows to the cell they were fetched for (work type, location).
+    """Attach the cell each landed row was fetched for (work type, location).
 
-    The cell table is configuration: its size bound is roles x boards x cells.
+    The cell table is configuration, so the lookup is an ``element_at`` into
+    literal arrays indexed by the cell number: no join and no broadcast job.
+    Rows of cells that do not exist for their board drop out (as an inner
+    join with ``search_cells`` would).
     """
-    spark = df.sparkSession
-    cells = search_cells(spark, cfg).drop("board_ord")
-    bound = len(cfg.roles) * len(cfg.enabled_boards) * max(1, len(cfg.work_types) * len(cfg.locations))
-    return df.join(bounded_broadcast(cells, bound), on=["role_id", "source", "search_cell"], how="inner")
+    n_loc, n_wt = len(cfg.locations), len(cfg.work_types)
+    wts = F.array(*[F.lit(w) for w in cfg.work_types])
+    cities = F.array(*[F.lit(loc.city) for loc in cfg.locations])
+    states = F.array(*[F.lit(loc.state) for loc in cfg.locations])
+    cell = F.col("search_cell")
+    is_global = F.col("source").isin(GLOBAL_SEARCH_BOARDS)
+    n_cells = F.when(is_global, F.lit(n_wt)).otherwise(F.lit(n_wt * n_loc))
+    wt_idx = F.when(is_global, cell).otherwise(F.floor(cell / F.lit(max(n_loc, 1))).cast("int"))
+    loc_idx = cell % F.lit(max(n_loc, 1))
+    return (df.filter((cell >= 0) & (cell < n_cells) & F.col("source").isin([b.name for b in cfg.enabled_boards]))
+              .withColumns({
+                  "work_type": F.element_at(wts, wt_idx + 1),
+                  "city": F.when(~is_global, F.element_at(cities, loc_idx + 1)),
+                  "state": F.when(~is_global, F.element_at(states, loc_idx + 1)),
+                  "location_blind": is_global | F.col("source").isin(LOCATION_BLIND_BOARDS),
+              }))
