@@ -17,6 +17,26 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a cluster run over ``input_bytes`` of landed data.
+
+    Scan splits and post-shuffle partitions both target ``partition_bytes``
+    so a task's input fits executor memory; AQE coalesces small partitions
+    and splits skewed ones; broadcasts are left to AQE's runtime size check
+    except where a configuration bound is proven (``bounded_broadcast``).
+    """
+    shuffle_parts = max(200, int(input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    }
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "jobsift", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
