@@ -62,10 +62,13 @@ def upsert(tracked: DataFrame, apps: DataFrame, run_ts: str, apps_row_bound: int
     """Insert new URLs; on an existing URL replace only score, reasons, letter,
     status and notes, keeping everything else (title, posted_at, created_at...).
 
-    ``apps`` must hold one row per URL. When its size is bounded by
-    configuration (roles x max_jobs) it is broadcast and the tracked table is
-    streamed once without a shuffle; otherwise both sides are shuffled on url.
+    Several writes to one URL in a run collapse first (the last write, in
+    role then rank order, wins). When ``apps`` is bounded by configuration
+    (roles x max_jobs) it is broadcast and the tracked table is streamed once
+    without a shuffle; otherwise AQE picks the join strategy.
     """
+    if "role_ord" in apps.columns and "rank" in apps.columns:
+        apps = last_write_per_url(apps, ["role_ord", "rank"])
     new = as_tracked(apps, run_ts)
     nb = new.select("url", *[F.col(c).alias(f"_n_{c}") for c in REPLACE_ON_CONFLICT]).withColumn("_hit", F.lit(True))
     if apps_row_bound is not None:
@@ -93,10 +96,11 @@ def status_stats(tracked: DataFrame) -> DataFrame:
 # ---- snapshots -------------------------------------------------------------
 
 def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new snapshot directory under ``root`` and point CURRENT at it.
+    """Write a new snapshot directory under ``root`` and publish it.
 
-    The pointer file is replaced only after the Parquet write committed, so a
-    lost executor or a failed job leaves the previous snapshot current.
+    A new pointer version is published only after the Parquet write
+    committed, so a lost executor or a failed job leaves the previous
+    snapshot current.
     """
     snap = os.path.join(root, f"snapshot-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(snap)
@@ -111,28 +115,35 @@ def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(TRACKED_SCHEMA).parquet(snap)
 
 
-def _write_pointer(spark: SparkSession, root: str, snap: str) -> None:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(os.path.join(root, "CURRENT"))
-    tmp = jvm.org.apache.hadoop.fs.Path(os.path.join(root, f".CURRENT-{uuid.uuid4().hex}"))
-    fs = path.getFileSystem(conf)
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return hp, hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _write_pointer(spark: SparkSession, root: str, snap: str) -> None:
+    """Publish a new pointer version; older versions stay (append-only), so a
+    crash at any point leaves a readable CURRENT."""
+    import time
+    version = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+    tmp, fs = _fs(spark, os.path.join(root, "_pointers", f".{version}.tmp"))
     out = fs.create(tmp, True)
     out.write(bytearray(snap.encode("utf-8")))
     out.close()
-    if fs.exists(path):
-        fs.delete(path, False)
-    fs.rename(tmp, path)
+    dst, _ = _fs(spark, os.path.join(root, "_pointers", version))
+    if not fs.rename(tmp, dst):
+        raise RuntimeError(f"could not publish snapshot pointer {version}")
 
 
 def _read_pointer(spark: SparkSession, root: str) -> str | None:
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(os.path.join(root, "CURRENT"))
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
+    base, fs = _fs(spark, os.path.join(root, "_pointers"))
+    if not fs.exists(base):
+        return None
+    names = sorted(st.getPath().getName() for st in fs.listStatus(base) if not st.getPath().getName().startswith("."))
+    if not names:
         return None
-    stream = fs.open(path)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(base, names[-1]))
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
     line = reader.readLine()
     reader.close()
