@@ -15,7 +15,8 @@ def topk_per_role(df: DataFrame, k: int, score: str = "match_score") -> DataFram
     WindowGroupLimit, so each task forwards at most k rows per role.
     """
     w = Window.partitionBy("role_id").orderBy(F.col(score).desc(), *newest_first_cols())
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
+             .withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def status_notes(df: DataFrame, min_score: int, score: str = "match_score") -> DataFrame:

@@ -149,7 +149,7 @@ WITH {O.roles_cte()}
 SELECT r.role_id, length(b.text) AS resume_chars, md5(b.text) AS resume_md5
 FROM roles r JOIN benchmark b ON b.item_id = r.role_id
 """)(lambda spark, d: resumes.resumes_from_table(table(spark, d, "benchmark"), CFG)
-     .select("role_id", F.length("resume_text").alias("resume_chars"), F.md5("resume_text").alias("resume_md5")))
+     .select("role_id", F.length("resume_text").cast("bigint").alias("resume_chars"), F.md5("resume_text").alias("resume_md5")))
 
 
 # ---- A8: partitioned landing + pruned read ----------------------------------------------------------
