@@ -95,10 +95,14 @@ def attach_responses(df: DataFrame, responses: DataFrame, row_bound: int | None
 
 def score(gathered: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig,
           row_bound: int | None = None) -> DataFrame:
-    pre = filters.prefilter(gathered, cfg.run)
+    # Precomputed answers are probed with the (materialised) prefiltered keys
+    # and tracked URLs removed afterwards: the same rows as the other order,
+    # without deriving the tracked probe twice. A live scorer (score_with)
+    # runs only after the tracked anti join.
+    pre = attach_responses(filters.prefilter(gathered, cfg.run), responses, row_bound)
     cand = (dedup.anti_tracked_bounded(pre, tracked, row_bound) if row_bound is not None
             else dedup.anti_tracked(pre, tracked))
-    parsed = scoring.parse_response(attach_responses(cand, responses, row_bound), "raw")
+    parsed = scoring.parse_response(cand, "raw")
     return scoring.adjust_scores(parsed, base="match_score", out="match_score")
 
 
