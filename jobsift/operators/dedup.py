@@ -149,6 +149,14 @@ def dedup_cross_board(df: DataFrame) -> DataFrame:
     return rows_of_min(df, ["role_id", "url"], "board_ord")
 
 
+def dedup_cross_board_bounded(df: DataFrame) -> DataFrame:
+    """``dedup_cross_board`` for an input bounded by configuration (the kept
+    keys of the caps): one pass with ``rank()``; a (role, url) group holds at
+    most boards x cells x cap rows."""
+    w = Window.partitionBy("role_id", "url").orderBy("board_ord")
+    return df.withColumn("_rk", F.rank().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+
+
 def newest_first_cols() -> list[Column]:
     """Newest first, unknown dates last, then board, cell and arrival order."""
     return [F.col("posted_at").desc_nulls_last(), F.col("board_ord").asc(),

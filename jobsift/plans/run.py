@@ -61,19 +61,17 @@ def gather(landed: DataFrame, cfg: SearchConfig, materialize: bool = True) -> Da
     """Landed rows -> the per-role job list of the gather stage.
 
     Caps and the cross-board dedup run on narrow keys; what survives is
-    bounded by configuration (roles x boards x cells x cap), so the kept keys
-    and then the gathered rows are checkpointed to the shared checkpoint
-    folder (cutting the lineage; a lost executor re-reads, not re-derives),
-    and the full rows are fetched with one broadcast semi join.
+    bounded by configuration (roles x boards x cells x cap): the cross-board
+    rank runs on those keys in one pass, the full rows are fetched with one
+    broadcast semi join, and the result is written once to the shared
+    checkpoint folder (cutting the lineage; a lost executor re-reads it).
     """
     ruled = board_rules(with_mapped_work_type(landed), cfg)
     bound = dedup.gather_bound(cfg)
     # The URL and board order ride along with the kept keys, so the rows are
     # read twice in all: once for the keys, once to fetch the survivors.
     capped = dedup.capped_keys(ruled, cfg, carry=("url", "board_ord"))
-    if materialize:
-        capped = materialize_df(capped, "capped-keys")
-    survivors = dedup.dedup_cross_board(capped).select("role_id", "seq")
+    survivors = dedup.dedup_cross_board_bounded(capped).select("role_id", "seq")
     gathered = ruled.join(bounded_broadcast(survivors, bound), on=["role_id", "seq"], how="left_semi")
     # The gathered rows are bounded too; every later stage probes them more
     # than once, so they are materialised once instead of re-derived.
