@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 from typing import Optional
 
 # ---------------------------------------------------------------------------
-# Fixed values. These must equal the original job-search tool's values for the
-# scores, labels and parses to agree; they are stated here as plain text.
+# Fixed values. These must equal the original tool's values for the scores,
+# labels and parses to agree; they are stated here as plain text.
 # ---------------------------------------------------------------------------
 
 WORK_TYPES = ["remote", "hybrid", "onsite"]

@@ -16,8 +16,16 @@ ORACLES: dict[str, str] = {}
 
 
 def register(name: str, oracle: str | None = None):
+    """Register a query; it always runs with the session time zone at UTC
+    (timestamps are UTC instants and are rendered as UTC text)."""
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import utc
+            utc(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = getattr(fn, "__name__", name)
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
