@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import ENG_KEYWORDS, GLOBAL_SEARCH_BOARDS, LOCATION_BLIND_BOARDS, SearchConfig
-from .joins import bounded_broadcast, inline_table
+from .joins import inline_table
 
 CELL_SCHEMA = T.StructType([
     T.StructField("role_id", T.IntegerType()),
