@@ -207,3 +207,17 @@ def test_incremental_replay_is_idempotent(spark):
     incremental.run_batch(landed.filter(F.col("seq") >= 120), 1, root, responses, FIXTURE_CONFIG)
     after = tracker.current_snapshot(spark, root)
     assert after.count() >= len(first) and after.select("url").distinct().count() == after.count()
+
+
+def test_pages_to_landed_shape(spark):
+    from jobsift.sources.html_cards import landed_from_pages
+    cfg = SearchConfig(roles=(Role(1, "Engineer"),), boards=(Board("linkedin"), Board("roberthalf")),
+                       locations=(Location("Chicago", "IL"), Location("Austin", "TX")),
+                       work_types=("hybrid", "remote"), run=RunParams(run_ts=RUN_TS, posted_within_hours=48.0))
+    pages = spark.createDataFrame([(1, "linkedin", 1, 1, PAGE_LIST), (2, "roberthalf", 1, 2, PAGE_STAFF)],
+                                  "page_id long, source string, role_id int, search_cell int, body string")
+    got = {r.source: r for r in landed_from_pages(pages, cfg).collect()}
+    assert (got["linkedin"].location, got["linkedin"].work_type, got["linkedin"].board_ord) == \
+        ("Austin, TX", "hybrid", 0)
+    assert (got["roberthalf"].location, got["roberthalf"].job_work_type, got["roberthalf"].board_ord) == \
+        ("Chicago, IL", "remote", 1)
