@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import age_label, safe_name, truncate
 from ..functions.timestamps import age_hours
+from ..operators.joins import bounded_broadcast
 from ..params import NOTES_DISPLAY_CHARS
 
 CSV_FIELDS = ["title", "company", "location", "source", "url", "posted_at", "work_type",
@@ -54,13 +55,16 @@ def number_rows(df: DataFrame, partition_col: str, order_cols: list[Column], out
     sorted relation see the same order.
     """
     from pyspark.sql import Window
+    spark = df.sparkSession
     sorted_df = df.orderBy(F.col(partition_col), *order_cols).withColumn("_mid", F.monotonically_increasing_id())
     ids = (sorted_df.withColumn("_pid", F.shiftright("_mid", 33))
                     .withColumn("_off", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
     per_part = ids.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_part.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_base"))
-    gidx = ids.join(F.broadcast(starts), on="_pid").withColumn("_g", F.col("_base") + F.col("_off"))
+    # One row per sort output partition: bounded by the shuffle partition count.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gidx = ids.join(bounded_broadcast(starts, n_parts), on="_pid").withColumn("_g", F.col("_base") + F.col("_off"))
     first = gidx.groupBy(partition_col).agg(F.min("_g").alias("_first"))
     return (gidx.join(first, on=partition_col)
                 .withColumn(out, (F.col("_g") - F.col("_first") + 1).cast("bigint"))
