@@ -99,6 +99,9 @@ BOARD_BASE_URLS = {
     "workatastartup": "https://www.workatastartup.com",
 }
 LOCATION_BLIND_BOARDS = ["remotive", "weworkremotely", "arbeitnow"]
+# Boards whose posting work type is only what the posting says (no fallback
+# to the requested work type of the search).
+NO_FALLBACK_WORK_TYPE_BOARDS = ["arbeitnow", "workatastartup"]
 GLOBAL_SEARCH_BOARDS = ["workatastartup"]
 
 DESCRIPTION_ANALYSIS_CHARS = 4000

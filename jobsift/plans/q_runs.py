@@ -42,7 +42,8 @@ mw AS (
   SELECT *, CASE WHEN source IN ('greenhouse', 'roberthalf') THEN {O.WT_LOC_SQL} END AS mapped_work_type FROM landed
 ),
 ruled AS (
-  SELECT *, COALESCE(mapped_work_type, work_type) AS job_work_type FROM mw
+  SELECT *, CASE WHEN source IN ('arbeitnow', 'workatastartup') THEN mapped_work_type
+                 ELSE COALESCE(mapped_work_type, work_type) END AS job_work_type FROM mw
   WHERE (source = 'linkedin' OR posted_at IS NULL OR posted_at >= {CUTOFF_SQL})
     AND (source NOT IN ('weworkremotely', 'arbeitnow', 'greenhouse', 'builtin') OR {rel})
     AND (source <> 'workatastartup' OR {rel_eng})

@@ -28,7 +28,8 @@ PG = FP.PAGE_ITEMS * 9
 def _json(spark, d):
     payloads = FP.json_payloads(postings(spark, d))
     cols = ["source", "job_id", "title", "company", "url", "location", "posted_at", "work_type", "description"]
-    rem = json_boards.remote_list_postings(payloads.filter(F.col("source") == "remotive"))
+    rem = json_boards.remote_list_postings(payloads.filter(F.col("source") == "remotive")) \
+        .withColumnRenamed("mapped_work_type", "work_type")
     eu = json_boards.eu_board_postings(payloads.filter(F.col("source") == "arbeitnow")) \
         .withColumnRenamed("mapped_work_type", "work_type")
     co = json_boards.company_board_postings(payloads.filter(F.col("source") == "greenhouse")) \
@@ -59,7 +60,7 @@ def _rss(spark, d):
     feeds = FP.rss_feeds(postings(spark, d))
     out = json_boards.rss_postings(feeds)
     return out.select("job_id", "title", "company", "location", "url", format_ts("posted_at").alias("posted_at"),
-                      "description", "work_type")
+                      "description", F.col("mapped_work_type").alias("work_type"))
 
 
 register("rss_postings", f"""

@@ -21,7 +21,7 @@ from ..operators import dedup, filters, scoring, select
 from ..operators.cells import role_terms_col
 from ..operators.joins import bounded_broadcast
 from ..session import materialize as materialize_df
-from ..params import SearchConfig
+from ..params import NO_FALLBACK_WORK_TYPE_BOARDS, SearchConfig
 
 # Which board applies which local rule (the others filter server-side or not at all).
 RELEVANCE_BOARDS = ["weworkremotely", "arbeitnow", "greenhouse", "builtin"]
@@ -50,11 +50,16 @@ def board_rules(df: DataFrame, cfg: SearchConfig) -> DataFrame:
 
 
 def with_mapped_work_type(df: DataFrame) -> DataFrame:
-    """Work type read from the posting (boards that publish one), and the
-    posting's work type: the mapped one, else the requested one."""
-    mapped = F.when(F.col("source").isin(MAPPED_WORK_TYPE_BOARDS), work_type_from_location("location"))
-    return (df.withColumn("mapped_work_type", mapped)
-              .withColumn("job_work_type", F.coalesce("mapped_work_type", "work_type")))
+    """The posting's own work type (``mapped_work_type``, as read by the
+    adapter; derived from the location text when absent) and the job's work
+    type: the posting's, else the requested one of the search cell, except
+    for boards that report only what the posting says."""
+    if "mapped_work_type" not in df.columns:
+        df = df.withColumn("mapped_work_type", F.when(F.col("source").isin(MAPPED_WORK_TYPE_BOARDS),
+                                                      work_type_from_location("location")))
+    mapped = F.col("mapped_work_type")
+    return df.withColumn("job_work_type", F.when(F.col("source").isin(NO_FALLBACK_WORK_TYPE_BOARDS), mapped)
+                         .otherwise(F.coalesce(mapped, F.col("work_type"))))
 
 
 def gather(landed: DataFrame, cfg: SearchConfig, materialize: bool = True) -> DataFrame:

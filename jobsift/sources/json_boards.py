@@ -58,7 +58,7 @@ def remote_list_postings(payloads: DataFrame) -> DataFrame:
                     _d("j.description").alias("description"),
                     TS.parse_iso(F.nullif(F.regexp_replace(_d("j.publication_date"), "Z", "+00:00"), F.lit("")))
                     .alias("posted_at"),
-                    F.lit("remote").alias("work_type"))
+                    F.lit("remote").alias("mapped_work_type"))
 
 
 def eu_board_postings(payloads: DataFrame) -> DataFrame:
@@ -102,4 +102,4 @@ def rss_postings(feeds: DataFrame) -> DataFrame:
                     .alias("location"),
                     _d("j.link").alias("url"), X.strip_tags(_d("j.description")).alias("description"),
                     TS.feed_date("j.pubDate", "j.updated").alias("posted_at"),
-                    F.lit("remote").alias("work_type"))
+                    F.lit("remote").alias("mapped_work_type"))

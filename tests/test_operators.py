@@ -216,7 +216,8 @@ def test_pages_to_landed_shape(spark):
                        work_types=("hybrid", "remote"), run=RunParams(run_ts=RUN_TS, posted_within_hours=48.0))
     pages = spark.createDataFrame([(1, "linkedin", 1, 1, PAGE_LIST), (2, "roberthalf", 1, 2, PAGE_STAFF)],
                                   "page_id long, source string, role_id int, search_cell int, body string")
-    got = {r.source: r for r in landed_from_pages(pages, cfg).collect()}
+    from jobsift.plans.run import with_mapped_work_type
+    got = {r.source: r for r in with_mapped_work_type(landed_from_pages(pages, cfg)).collect()}
     assert (got["linkedin"].location, got["linkedin"].work_type, got["linkedin"].board_ord) == \
         ("Austin, TX", "hybrid", 0)
     assert (got["roberthalf"].location, got["roberthalf"].job_work_type, got["roberthalf"].board_ord) == \
