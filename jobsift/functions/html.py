@@ -125,3 +125,14 @@ def tag(*names: str, **attr_tests):
 def page_text(markup: str | None, sep: str = " ") -> str:
     """Entity-decoded, tag-free text (whitespace-trimmed pieces joined by ``sep``)."""
     return parse(_html.unescape(markup or "")).text(sep, strip=True)
+
+
+def html_text_column():
+    """Arrow-batched column function: entity-decoded, tag-free text."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.StringType())
+    def html_text(s):
+        return s.map(page_text)
+    return html_text

@@ -67,6 +67,25 @@ def role_struct(cfg: SearchConfig) -> Column:
     return F.array(*structs)
 
 
+ROLE_FIELDS = ("role_ord", "role_title", "role_terms", "lvl_lo", "lvl_hi", "years", "sigma")
+
+
+def attach_roles(df: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Role attributes for rows that already carry ``role_id`` (postings
+    landed by a role's own search): a literal map lookup, no join."""
+    pairs = []
+    for ord_, r in enumerate(cfg.roles):
+        lo, hi = r.level_bounds
+        pairs += [F.lit(r.role_id), F.struct(
+            F.lit(ord_).cast("int").alias("role_ord"), F.lit(r.title).alias("role_title"),
+            F.array(*[F.lit(t) for t in r.terms]).alias("role_terms"),
+            F.lit(lo).cast("int").alias("lvl_lo"), F.lit(hi).cast("int").alias("lvl_hi"),
+            F.lit(float(r.years_experience)).cast("double").alias("years"),
+            F.lit(float(r.experience_std_dev)).cast("double").alias("sigma"))]
+    role = F.try_element_at(F.create_map(*pairs), F.col("role_id"))
+    return df.withColumns({f: role[f] for f in ROLE_FIELDS})
+
+
 def pair_roles(df: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Each posting once per configured role (roles are scored independently).
 

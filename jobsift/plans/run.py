@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import location_match_parts, location_match_simple, work_type_from_location
 from ..operators import dedup, filters, scoring, select
-from ..operators.cells import role_terms_col
+from ..operators.cells import attach_roles, role_terms_col
 from ..operators.joins import bounded_broadcast
 from ..session import materialize as materialize_df
 from ..params import NO_FALLBACK_WORK_TYPE_BOARDS, SearchConfig
@@ -102,6 +102,8 @@ def score(gathered: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: Se
     # and tracked URLs removed afterwards: the same rows as the other order,
     # without deriving the tracked probe twice. A live scorer (score_with)
     # runs only after the tracked anti join.
+    if "lvl_lo" not in gathered.columns:
+        gathered = attach_roles(gathered, cfg)
     pre = attach_responses(filters.prefilter(gathered, cfg.run), responses, row_bound)
     cand = (dedup.anti_tracked_bounded(pre, tracked, row_bound) if row_bound is not None
             else dedup.anti_tracked(pre, tracked))

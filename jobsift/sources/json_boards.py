@@ -103,3 +103,36 @@ def rss_postings(feeds: DataFrame) -> DataFrame:
                     _d("j.link").alias("url"), X.strip_tags(_d("j.description")).alias("description"),
                     TS.feed_date("j.pubDate", "j.updated").alias("posted_at"),
                     F.lit("remote").alias("mapped_work_type"))
+
+
+LANDED_COLS = ["role_id", "source", "search_cell", "seq", "job_id", "url", "company", "title", "description",
+               "location", "posted_at", "mapped_work_type"]
+
+
+def landed_from_payloads(payloads: DataFrame, feeds: DataFrame | None, cfg) -> DataFrame:
+    """API payloads (and RSS feeds) in the landed shape used by the run.
+
+    ``seq`` is payload order then item order; company-board descriptions are
+    decoded from HTML; cells, their location and the board order are attached.
+    """
+    from ..functions.html import html_text_column
+    from ..operators.cells import attach_cells
+    src = F.col("source")
+    parts = [remote_list_postings(payloads.filter(src == "remotive")),
+             eu_board_postings(payloads.filter(src == "arbeitnow")),
+             company_board_postings(payloads.filter(src == "greenhouse"))
+             .withColumn("description", html_text_column()(F.col("content_html")))]
+    if feeds is not None:
+        parts.append(rss_postings(feeds))
+    frames = [p.withColumn("seq", F.col("payload_id") * F.lit(100000) + F.col("item_ord"))
+              .select(*LANDED_COLS) for p in parts]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    ords = cfg.board_ord()
+    board_ord = None
+    for name, o in ords.items():
+        board_ord = (F.when(src == name, F.lit(o)) if board_ord is None else board_ord.when(src == name, F.lit(o)))
+    return attach_cells(out, cfg).withColumns({"board_ord": board_ord.cast("int"),
+                                               "employment_type": F.lit(None).cast("string"),
+                                               "salary": F.lit(None).cast("string")})
