@@ -100,7 +100,7 @@ FROM merged
 def _jobs_report(spark, d):
     from ..sources.fixtures import landed_postings
     gathered = R.gather(landed_postings(spark, d, CFG), CFG)
-    return export.jobs_report(gathered, RUN.run_ts, dedup.newest_first_cols())
+    return export.jobs_report(gathered, RUN.run_ts, dedup.newest_first_cols(), bounded=True)
 
 
 register("jobs_report", f"""

@@ -71,11 +71,21 @@ def number_rows(df: DataFrame, partition_col: str, order_cols: list[Column], out
                 .drop("_mid", "_pid", "_off", "_base", "_g", "_first"))
 
 
-def jobs_report(gathered: DataFrame, run_ts: str, order_cols: list[Column]) -> DataFrame:
-    """Numbered jobs per role in newest-first order with their age label."""
+def jobs_report(gathered: DataFrame, run_ts: str, order_cols: list[Column], bounded: bool = False) -> DataFrame:
+    """Numbered jobs per role in newest-first order with their age label.
+
+    ``bounded`` declares the input bounded by configuration (the gathered
+    rows: roles x boards x cells x cap), where a per-role window is a bounded
+    group; otherwise the distributed numbering is used.
+    """
     base = gathered.select("role_id", "title", "company", "location", "source", "posted_at", "board_ord",
                            "search_cell", "seq")
-    numbered = number_rows(base, "role_id", order_cols)
+    if bounded:
+        from pyspark.sql import Window
+        w = Window.partitionBy("role_id").orderBy(*order_cols)
+        numbered = base.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    else:
+        numbered = number_rows(base, "role_id", order_cols)
     return numbered.select("role_id", "pos", "title", "company", "location", "source",
                            age_label(age_hours("posted_at", run_ts)).alias("posted"))
 

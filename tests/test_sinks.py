@@ -65,3 +65,13 @@ def test_resumes_read_whole_files(spark):
 def test_results_report_truncates_notes(spark):
     df = results(spark).withColumn("notes", F.lit("x" * 100))
     assert {len(r.notes) for r in export.results_report(df).collect()} == {60}
+
+
+def test_distributed_numbering_matches_window(spark):
+    from pyspark.sql import Window
+    df = spark.range(0, 5000).selectExpr("CAST(id % 3 AS INT) AS role_id", "id AS seq", "(id * 7919) % 1000 AS k")
+    order = [F.col("k").desc(), F.col("seq")]
+    got = {(r.role_id, r.seq): r.pos for r in export.number_rows(df, "role_id", order).collect()}
+    want = {(r.role_id, r.seq): r.pos for r in df.withColumn(
+        "pos", F.row_number().over(Window.partitionBy("role_id").orderBy(*order))).collect()}
+    assert got == want
