@@ -2,13 +2,13 @@
 
     gather : board rules (window, relevance, location, work type)
              -> per-board dedup + caps -> cross-board URL dedup
-    score  : prefilters -> skip tracked URLs -> attach model answers
-             -> parse -> seniority / experience adjustment
+    score  : prefilters -> precomputed model answers (probed with bounded
+             keys) -> skip tracked URLs -> parse -> seniority / experience
     select : top-k per role -> threshold status -> merge roles by URL
 
-Each stage is a DataFrame -> DataFrame function; the composition is one lazy
-plan. Cheap filters and the tracked anti-join sit below the scoring step by
-construction, so the model hook (or answer join) only sees surviving rows.
+Each stage is a DataFrame -> DataFrame function. Cheap filters sit below the
+scoring step by construction; a live scorer (``lexical.score_with``) is
+placed after the tracked anti join, so it only sees rows that need a score.
 """
 
 from __future__ import annotations
