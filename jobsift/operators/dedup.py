@@ -191,6 +191,6 @@ def anti_tracked_bounded(df: DataFrame, tracked: DataFrame, row_bound: int) -> D
     """``anti_tracked`` for a left side of proven size: the tracked table is
     streamed once against the broadcast URLs (no shuffle of tracked), and the
     few hits are then removed with a broadcast anti join."""
-    urls = bounded_broadcast(df.select("url"), row_bound)
+    urls = bounded_broadcast(df.select("url"), row_bound, row_bytes=2048)
     hits = tracked.select("url").join(urls, on="url", how="left_semi")
-    return df.join(bounded_broadcast(hits, row_bound), on="url", how="left_anti")
+    return df.join(bounded_broadcast(hits, row_bound, row_bytes=2048), on="url", how="left_anti")

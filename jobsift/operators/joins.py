@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Above this many rows a configuration-derived side is shuffled instead.
+# Above these limits a configuration-derived side is shuffled instead.
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 256 << 20
 
 
-def bounded_broadcast(df: DataFrame, row_bound: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when its row count is provably at most ``max_rows``.
+def bounded_broadcast(df: DataFrame, row_bound: int, row_bytes: int = 256,
+                      max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` when its size is provably small.
 
     ``row_bound`` is an upper bound the caller derives from configuration
-    (roles x boards x cells x cap, ...) and never from the data itself; beyond
-    it the join falls back to the shuffle strategy AQE chooses at run time.
+    (roles x boards x cells x cap, ...) and never from the data itself;
+    ``row_bytes`` bounds the width of one row. Beyond either limit the join
+    falls back to the strategy AQE chooses from run-time sizes.
     """
-    return F.broadcast(df) if row_bound <= max_rows else df
+    small = row_bound <= max_rows and row_bound * row_bytes <= max_bytes
+    return F.broadcast(df) if small else df
 
 
 def first_per_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:

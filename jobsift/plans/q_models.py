@@ -31,7 +31,8 @@ def _resumes(spark, d):
 # ---- E1: prompts ------------------------------------------------------------------------
 def _prompts(spark, d):
     df = landed_postings(spark, d, CFG).select("role_id", "seq", "title", "company", "description")
-    df = df.join(bounded_broadcast(_resumes(spark, d), len(CFG.roles)), on="role_id", how="left")
+    # One resume per role; a resume text is bounded at 64 KB for the broadcast decision.
+    df = df.join(bounded_broadcast(_resumes(spark, d), len(CFG.roles), row_bytes=65536), on="role_id", how="left")
     out = scoring.render_prompts(df, CFG.contact_name, CFG.contact_email)
     return out.select("role_id", "seq", F.length("analysis_prompt").cast("bigint").alias("analysis_chars"),
                       F.md5("analysis_prompt").alias("analysis_md5"), F.md5("letter_prompt").alias("letter_md5"),

@@ -92,7 +92,8 @@ def attach_responses(df: DataFrame, responses: DataFrame, row_bound: int | None
     if row_bound is not None:
         keys = bounded_broadcast(df.select("role_id", "seq"), row_bound)
         answers = answers.join(keys, on=["role_id", "seq"], how="left_semi")
-        return df.join(bounded_broadcast(answers, row_bound), on=["role_id", "seq"], how="left")
+        # A model answer is at most a few KB of JSON.
+        return df.join(bounded_broadcast(answers, row_bound, row_bytes=8192), on=["role_id", "seq"], how="left")
     return df.join(answers, on=["role_id", "seq"], how="left")
 
 

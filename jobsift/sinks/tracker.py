@@ -72,7 +72,7 @@ def upsert(tracked: DataFrame, apps: DataFrame, run_ts: str, apps_row_bound: int
     new = as_tracked(apps, run_ts)
     nb = new.select("url", *[F.col(c).alias(f"_n_{c}") for c in REPLACE_ON_CONFLICT]).withColumn("_hit", F.lit(True))
     if apps_row_bound is not None:
-        nb = bounded_broadcast(nb, apps_row_bound)
+        nb = bounded_broadcast(nb, apps_row_bound, row_bytes=8192)
     updated = tracked.join(nb, on="url", how="left").select(
         *[(F.when(F.col("_hit"), F.col(f"_n_{f.name}")).otherwise(F.col(f.name)) if f.name in REPLACE_ON_CONFLICT
            else F.col(f.name)).alias(f.name) for f in TRACKED_SCHEMA.fields])
