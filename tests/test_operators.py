@@ -222,3 +222,17 @@ def test_pages_to_landed_shape(spark):
         ("Austin, TX", "hybrid", 0)
     assert (got["roberthalf"].location, got["roberthalf"].job_work_type, got["roberthalf"].board_ord) == \
         ("Chicago, IL", "remote", 1)
+
+
+def test_board_dedup_and_role_merge_are_idempotent(spark):
+    rows = [(1, "linkedin", c, i, k, "Acme", "Eng", f"u{i % 4}", 0)
+            for i, (c, k) in enumerate([(0, "a"), (0, "a"), (1, "b"), (1, "a"), (0, ""), (1, "")])]
+    df = spark.createDataFrame(rows, LANDED_SCHEMA)
+    once = dedup.dedup_board(df)
+    twice = dedup.dedup_board(once.drop("dedup_key"))
+    assert sorted(r.seq for r in once.collect()) == sorted(r.seq for r in twice.collect())
+    apps = spark.createDataFrame([("u1", 1, 0, 70, 1), ("u1", 2, 1, 90, 1), ("u2", 2, 1, 60, 2)],
+                                 "url string, role_id int, role_ord int, match_score int, rank int")
+    m1 = select.merge_roles(apps)
+    m2 = select.merge_roles(m1)
+    assert sorted(map(tuple, m1.collect())) == sorted(map(tuple, m2.collect()))
