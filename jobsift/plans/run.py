@@ -34,8 +34,11 @@ MAPPED_WORK_TYPE_BOARDS = ["greenhouse", "roberthalf"]
 def board_rules(df: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Apply each board's local filters as one predicate (one pass, no shuffle)."""
     src = F.col("source")
-    rel = filters.title_matches("title", role_terms_col(cfg))
-    rel_eng = filters.title_matches("title", role_terms_col(cfg, with_eng=True))
+    # Adapters may carry the text a board tests relevance on (the feed board
+    # uses its whole entry title); otherwise the title.
+    rel_col = "relevance_title" if "relevance_title" in df.columns else "title"
+    rel = filters.title_matches(rel_col, role_terms_col(cfg))
+    rel_eng = filters.title_matches(rel_col, role_terms_col(cfg, with_eng=True))
     mapped = F.col("mapped_work_type")
     parts_ok = location_match_parts("location", "city", "state", "work_type")
     simple_ok = (F.coalesce(mapped == "remote", F.lit(False))

@@ -106,7 +106,7 @@ def rss_postings(feeds: DataFrame) -> DataFrame:
 
 
 LANDED_COLS = ["role_id", "source", "search_cell", "seq", "job_id", "url", "company", "title", "description",
-               "location", "posted_at", "mapped_work_type"]
+               "location", "posted_at", "mapped_work_type", "relevance_title"]
 
 
 def landed_from_payloads(payloads: DataFrame, feeds: DataFrame | None, cfg) -> DataFrame:
@@ -124,7 +124,10 @@ def landed_from_payloads(payloads: DataFrame, feeds: DataFrame | None, cfg) -> D
              .withColumn("description", html_text_column()(F.col("content_html")))]
     if feeds is not None:
         parts.append(rss_postings(feeds))
-    frames = [p.withColumn("seq", F.col("payload_id") * F.lit(100000) + F.col("item_ord"))
+    # The feed board tests relevance on the whole entry title, the others on the title.
+    frames = [p.withColumns({"seq": F.col("payload_id") * F.lit(100000) + F.col("item_ord"),
+                             "relevance_title": F.col("entry_title") if "entry_title" in p.columns
+                             else F.col("title")})
               .select(*LANDED_COLS) for p in parts]
     out = frames[0]
     for f in frames[1:]:

@@ -236,3 +236,21 @@ def test_board_dedup_and_role_merge_are_idempotent(spark):
     m1 = select.merge_roles(apps)
     m2 = select.merge_roles(m1)
     assert sorted(map(tuple, m1.collect())) == sorted(map(tuple, m2.collect()))
+
+
+def test_feed_relevance_uses_whole_entry_title(spark):
+    from jobsift.plans.run import board_rules, with_mapped_work_type
+    cfg = SearchConfig(roles=(Role(1, "Backend Engineer"),), boards=(Board("weworkremotely"),),
+                       locations=(Location("Chicago", "IL"),), work_types=("remote",),
+                       run=RunParams(run_ts=RUN_TS, posted_within_hours=48.0))
+    rss = ("<rss><channel><item><title>Acme: Backend Engineer</title><link>l1</link><guid>g1</guid>"
+           "<pubDate>Tue, 30 Jan 2024 10:00:00 +0000</pubDate></item></channel></rss>")
+    feeds = spark.createDataFrame([(1, "weworkremotely", 0, 0, rss)],
+                                  "role_id int, source string, search_cell int, payload_id long, body string")
+    payloads = spark.createDataFrame([], "role_id int, source string, search_cell int, payload_id long, "
+                                         "token string, body string")
+    landed = json_boards.landed_from_payloads(payloads, feeds, cfg)
+    from jobsift.operators.cells import attach_roles
+    kept = board_rules(with_mapped_work_type(attach_roles(landed, cfg)), cfg).collect()
+    # kept: "backend engineer" is in the whole entry title; no author and no " at " leaves company empty
+    assert [(r.title, r.company) for r in kept] == [("Acme", "")]
