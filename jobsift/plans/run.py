@@ -61,8 +61,10 @@ def with_mapped_work_type(df: DataFrame) -> DataFrame:
         df = df.withColumn("mapped_work_type", F.when(F.col("source").isin(MAPPED_WORK_TYPE_BOARDS),
                                                       work_type_from_location("location")))
     mapped = F.col("mapped_work_type")
-    return df.withColumn("job_work_type", F.when(F.col("source").isin(NO_FALLBACK_WORK_TYPE_BOARDS), mapped)
-                         .otherwise(F.coalesce(mapped, F.col("work_type"))))
+    only = F.col("source").isin(NO_FALLBACK_WORK_TYPE_BOARDS)
+    if "posting_work_type_only" in df.columns:
+        only = only | F.coalesce(F.col("posting_work_type_only"), F.lit(False))
+    return df.withColumn("job_work_type", F.when(only, mapped).otherwise(F.coalesce(mapped, F.col("work_type"))))
 
 
 def gather(landed: DataFrame, cfg: SearchConfig, materialize: bool = True) -> DataFrame:

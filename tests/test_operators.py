@@ -171,6 +171,12 @@ def test_jsonld_bad_item_ends_its_script(spark):
                                   "page_id long, source string, role_id int, search_cell int, body string")
     got = sorted(r.title for r in html_cards.jsonld_postings(pages, RUN_TS, 240.0).collect())
     assert got == ["A", "C"]
+    from jobsift.plans.run import with_mapped_work_type
+    cfg = SearchConfig(roles=(Role(1, "E"),), boards=(Board("wellfound"),), locations=(Location("Austin", "TX"),),
+                       work_types=("hybrid",), run=RunParams(run_ts=RUN_TS, posted_within_hours=240.0))
+    landed = with_mapped_work_type(html_cards.landed_from_pages(pages, cfg)).collect()
+    assert {(r.title, r.location, r.job_work_type) for r in landed} == {("A", "Austin, TX", None),
+                                                                       ("C", "Austin, TX", None)}
 
 
 def test_json_and_rss_adapters(spark):
