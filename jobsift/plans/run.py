@@ -81,8 +81,10 @@ def gather(landed: DataFrame, cfg: SearchConfig, materialize: bool = True) -> Da
     # The URL and board order ride along with the kept keys, so the rows are
     # read twice in all: once for the keys, once to fetch the survivors.
     capped = dedup.capped_keys(ruled, cfg, carry=("url", "board_ord"))
-    survivors = dedup.dedup_cross_board_bounded(capped).select("role_id", "seq")
-    gathered = ruled.join(bounded_broadcast(survivors, bound), on=["role_id", "seq"], how="left_semi")
+    survivors = dedup.dedup_cross_board_bounded(capped).select("role_id", "source", "seq")
+    # Joining on the board too lets dynamic partition pruning skip board
+    # partitions of a source-partitioned landing dataset that keep nothing.
+    gathered = ruled.join(bounded_broadcast(survivors, bound), on=["role_id", "source", "seq"], how="left_semi")
     # The gathered rows are bounded too; every later stage probes them more
     # than once, so they are materialised once instead of re-derived.
     return materialize_df(gathered, "gathered") if materialize else gathered
