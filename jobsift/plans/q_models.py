@@ -75,7 +75,25 @@ def score_hook_plan(spark, d):
     return scoring.parse_response(answered, "raw")
 
 
-register("score_hook")(lambda spark, d: score_hook_plan(spark, d).select(
+def _score_hook_sql() -> str:
+    from .q_runs import gathered_sql
+    hits = "list_filter(role_terms, lambda t: t <> '' AND contains(lower(COALESCE(description, '')), t))"
+    return f"""
+WITH {gathered_sql()},
+{O.tracked_cte()},
+cand AS (
+  SELECT * FROM gathered g
+  WHERE {O.salary_ok_sql(RUN)} AND {O.company_ok_sql(RUN)} AND {O.employment_ok_sql(RUN)}
+    AND NOT EXISTS (SELECT 1 FROM tracked t WHERE t.url = g.url)
+)
+SELECT role_id, seq, url,
+  CAST(round_even(100.0 * len({hits}) / greatest(len(role_terms), 1), 0) AS INTEGER) AS match_score,
+  array_to_string({hits}, '|') AS match_reasons
+FROM cand
+"""
+
+
+register("score_hook", _score_hook_sql())(lambda spark, d: score_hook_plan(spark, d).select(
     "role_id", "seq", "url", "match_score", F.array_join("match_reasons", "|").alias("match_reasons")))
 
 
