@@ -98,7 +98,33 @@ register("score_hook", _score_hook_sql())(lambda spark, d: score_hook_plan(spark
 
 
 # ---- E4: lexical resume match ------------------------------------------------------------------
-register("lexical_match")(lambda spark, d: lexical.lexical_match(
+def _lexical_sql() -> str:
+    tok = O.q(lexical.TOKEN)
+    return f"""
+WITH {O.postings_cte()}, {O.roles_cte()},
+docs AS (SELECT seq, lower(description) AS d FROM p),
+n AS (SELECT count(*) AS n FROM docs),
+ptok AS (SELECT seq, unnest(regexp_extract_all(d, {tok})) AS term FROM docs),
+dfreq AS (SELECT term, count(DISTINCT seq) AS df FROM ptok GROUP BY term),
+idf AS (SELECT term, ln((n.n + 1.0) / (df + 1)) AS idf FROM dfreq CROSS JOIN n),
+ptf AS (SELECT seq, term, count(*) AS tf FROM ptok GROUP BY seq, term),
+pw AS (SELECT seq, term, tf * idf AS w FROM ptf JOIN idf USING (term)),
+res AS (SELECT r.role_id, lower(b.text) AS d FROM roles r JOIN benchmark b ON b.item_id = r.role_id),
+rtok AS (SELECT role_id, unnest(regexp_extract_all(d, {tok})) AS term FROM res),
+rtf AS (SELECT role_id, term, count(*) AS tf FROM rtok GROUP BY role_id, term),
+rw AS (SELECT role_id, term, tf * idf AS w FROM rtf JOIN idf USING (term)),
+pn AS (SELECT seq, sqrt(sum(w * w)) AS pn FROM pw GROUP BY seq),
+rn AS (SELECT role_id, sqrt(sum(w * w)) AS rn FROM rw GROUP BY role_id),
+dots AS (SELECT rw.role_id, pw.seq, sum(pw.w * rw.w) AS dot FROM pw JOIN rw USING (term) GROUP BY rw.role_id, pw.seq),
+cosines AS (SELECT dots.role_id, dots.seq, dots.dot / NULLIF(pn.pn * rn.rn, 0) AS c
+            FROM dots JOIN pn USING (seq) JOIN rn USING (role_id)),
+pairs AS (SELECT p.seq, r.role_id FROM p CROSS JOIN roles r)
+SELECT pairs.role_id, pairs.seq, CAST(round_even(COALESCE(cosines.c, 0.0) * 100, 0) AS INTEGER) AS lexical_score
+FROM pairs LEFT JOIN cosines USING (role_id, seq)
+"""
+
+
+register("lexical_match", _lexical_sql())(lambda spark, d: lexical.lexical_match(
     postings(spark, d).select("seq", "description"), _resumes(spark, d), [r.role_id for r in CFG.roles]))
 
 
