@@ -129,21 +129,32 @@ register("lexical_match", _lexical_sql())(lambda spark, d: lexical.lexical_match
 
 
 # ---- H2: incremental run over landed batches ------------------------------------------------------
+N_ARRIVALS = 4
+
+
 def _incremental(spark, d):
+    """Landed rows arrive as four files, in seq order, one file per trigger;
+    each micro-batch is one run that skips URLs tracked by earlier batches."""
     root = checkpoint_dir(spark)
     tag = hashlib.sha1(os.path.abspath(d).encode()).hexdigest()[:12]
     run_id = uuid.uuid4().hex[:8]
-    landing = os.path.join(root, f"landing-{tag}")
+    landing = os.path.join(root, f"arrivals-{tag}")
     jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(os.path.join(landing, "_SUCCESS"))
-    landed = landed_postings(spark, d, CFG).withColumn("batch", (F.col("seq") / 250).cast("int"))
-    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
-        landed.repartition("batch").write.mode("overwrite").parquet(landing)
+    marker = jvm.org.apache.hadoop.fs.Path(os.path.join(landing, "_COMPLETE"))
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    landed = landed_postings(spark, d, CFG)
+    if not fs.exists(marker):
+        width = (landed.agg(F.max("seq")).first()[0] or 0) // N_ARRIVALS + 1
+        for b in range(N_ARRIVALS):
+            # One file per arrival, written in order: the stream sees them in order.
+            (landed.filter((F.col("seq") / width).cast("long") == b).coalesce(1)
+                   .write.mode("append").parquet(landing))
+        fs.create(marker, True).close()
     schema = spark.read.parquet(landing).schema
-    responses = landed_postings(spark, d, CFG).select("role_id", "seq", F.col("llm_raw").alias("raw"))
+    responses = landed.select("role_id", "seq", F.col("llm_raw").alias("raw"))
     state = os.path.join(root, f"tracker-{tag}-{run_id}")
     snap = incremental.incremental_run(spark, landing, schema, state, os.path.join(root, f"ckpt-{tag}-{run_id}"),
-                                       responses, CFG, files_per_batch=2)
+                                       responses, CFG, files_per_batch=1)
     return snap.select("url", "title", "match_score", "status", "notes", format_ts("created_at").alias("created_at"))
 
 
