@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, mixing, oracle, quality_cnn, rule_ledger, simhash, toxicity
+from . import (
+    ann_forest, bpe, html_mincut, line_dedup, mixing, oracle, quality_cnn, rule_ledger, simhash, toxicity, url_graph,
+)
 from .common import read
 from .sampling import fold
 
@@ -54,6 +56,18 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: The rules of the contract.
+URL_RULES = (
+    url_graph.Rule("allow", "com", "/"), url_graph.Rule("block", "example.com", "/en/"),
+    url_graph.Rule("allow", "www.example.com", "/en/"), url_graph.Rule("block", "net", "/es/"),
+    url_graph.Rule("block", "net", "/fr/"))
+
+
+@query("op3_url_graph")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(read(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 @query("op4_simhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_distance=2)
@@ -61,6 +75,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+@query("op5_html_mincut")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    found = html_mincut.extract(pages, html_mincut.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op6_quality_cnn")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -87,3 +108,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~rule_ledger.kept(rule_ledger.BASE)).alias("base_failed"), rule_ledger.kept(rule_ledger.STRICT).alias("kept"),
         "failed", F.lit(rule_ledger.STRICT.version).alias("policy"))
+
+
+@query("op10_ann_forest")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann_forest.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
