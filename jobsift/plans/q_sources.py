@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
+import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.html import page_text
+from ..functions.html import html_text_column
 from ..functions.timestamps import format_ts, window_cutoff
 from ..session import checkpoint_dir
 from ..sources import fixture_pages as FP
@@ -33,7 +31,7 @@ def _json(spark, d):
     eu = json_boards.eu_board_postings(payloads.filter(F.col("source") == "arbeitnow")) \
         .withColumnRenamed("mapped_work_type", "work_type")
     co = json_boards.company_board_postings(payloads.filter(F.col("source") == "greenhouse")) \
-        .withColumnRenamed("mapped_work_type", "work_type").withColumn("description", F.lit(None).cast("string"))
+        .withColumnRenamed("mapped_work_type", "work_type").withColumn("description", html_text_column()(F.col("content_html")))
     out = rem.select(*cols).unionByName(eu.select(*cols)).unionByName(co.select(*cols))
     return out.withColumn("posted_at", format_ts("posted_at"))
 
@@ -50,7 +48,7 @@ SELECT source,
   strftime(posted_at, {TS_FMT}) AS posted_at,
   CASE source WHEN 'remotive' THEN 'remote' WHEN 'arbeitnow' THEN CASE WHEN seq % 2 = 0 THEN 'remote' END
        ELSE {O.WT_LOC_SQL} END AS work_type,
-  CASE WHEN source = 'greenhouse' THEN NULL ELSE description END AS description
+  CASE WHEN source = 'greenhouse' THEN {O.stripped_sql('description')} ELSE description END AS description
 FROM p WHERE source IN ('remotive', 'arbeitnow', 'greenhouse')
 """)(_json)
 
@@ -69,7 +67,7 @@ SELECT url AS job_id, trim(split_part(company || ': ' || title || ' at ' || comp
   company,
   CASE WHEN seq % 2 = 0 THEN 'Remote (Worldwide)' ELSE 'Remote (Anywhere in the World)' END AS location,
   url, strftime(posted_at, {TS_FMT}) AS posted_at,
-  ' ' || regexp_replace(substr(description, 1, 300), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]', '', 'g') || ' '
+  ' ' || {O.escaped_sql("regexp_replace(description, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]', '', 'g')")} || ' '
     AS description,
   'remote' AS work_type
 FROM p WHERE source = 'weworkremotely'
@@ -78,7 +76,7 @@ FROM p WHERE source = 'weworkremotely'
 
 # ---- A4: HTML cards --------------------------------------------------------------------------
 CARD_COLS = ["source", "url", "job_id", "title", "company", "posted_at", "location", "mapped_work_type",
-             "employment_type", "salary"]
+             "employment_type", "salary", "description"]
 
 
 def _cards(spark, d):
@@ -98,6 +96,8 @@ def _cards_sql() -> str:
                 f"ELSE 'Unknown' END")
     emp_label = "lower((['Contract to Hire', 'Permanent / Full Time', 'Temporary', 'Part Time'])[seq % 4 + 1])"
     worksite = "lower((['Remote', 'Hybrid', 'Onsite'])[seq % 3 + 1])"
+    ago = (f"CASE WHEN posted_at IS NULL THEN '' ELSE ' ' || CAST(date_diff('hour', posted_at, TIMESTAMP '{RUN.run_ts}') "
+           f"AS VARCHAR) || ' hours ago' END")
     sal = ("'$' || format('{:,.2f}', CAST(base_score * 1000 AS DOUBLE)) || "
            "CASE WHEN seq % 2 = 0 AND base_score <> 0 THEN '–$' || format('{:,.2f}', CAST(base_score * 1200 AS DOUBLE)) "
            "ELSE '' END || ' USD / year'")
@@ -118,7 +118,13 @@ SELECT source,
     WHEN 'workatastartup' THEN COALESCE(NULLIF(location, ''), {yc_label}) END AS location,
   CASE source WHEN 'roberthalf' THEN {worksite} WHEN 'workatastartup' THEN {yc_wt} END AS mapped_work_type,
   CASE source WHEN 'roberthalf' THEN {O.employment_map_sql(emp_label)} END AS employment_type,
-  CASE source WHEN 'roberthalf' THEN {sal} END AS salary
+  CASE source WHEN 'roberthalf' THEN {sal} END AS salary,
+  CASE source WHEN 'linkedin' THEN title || ' ' || title || ' ' || company || {ago}
+    WHEN 'wellfound' THEN title || ' ' || company || {ago}
+    WHEN 'workatastartup' THEN substr(company || ' ' || title || ' at ' || company ||
+      CASE WHEN location = '' THEN '' ELSE ' ' || location END || ' ' || {label} || ' ' || {O.q(FP.TEAM_BLURB)} ||
+      CASE WHEN seq % 3 = 0 THEN ' Apply' ELSE '' END, 1, 2000)
+    ELSE {O.stripped_sql('description')} END AS description
 FROM p WHERE source IN ({", ".join(O.q(b) for b in FP.CARD_BOARDS)})
 """
 
@@ -130,7 +136,7 @@ register("html_card_postings", _cards_sql())(_cards)
 def _jsonld(spark, d):
     pages = FP.jsonld_pages(postings(spark, d))
     out = html_cards.card_or_jsonld(pages, RUN.run_ts, RUN.posted_within_hours)
-    return out.select("url", "title", "company", "location", format_ts("posted_at").alias("posted_at"))
+    return out.select("url", "title", "company", "location", format_ts("posted_at").alias("posted_at"), "description")
 
 
 register("jsonld_postings", f"""
@@ -138,7 +144,7 @@ WITH {O.postings_cte()},
 w AS (SELECT *, seq // {PG} AS pg FROM p WHERE source = 'wellfound'),
 fb AS (SELECT pg, min(seq) AS first_bad FROM w WHERE seq % 7 = 0 GROUP BY pg)
 SELECT 'https://wellfound.com/jobs/' || CAST(seq AS VARCHAR) AS url, title, company, location,
-       strftime(posted_at, {TS_FMT}) AS posted_at
+       strftime(posted_at, {TS_FMT}) AS posted_at, description
 FROM w LEFT JOIN fb USING (pg)
 WHERE (first_bad IS NULL OR seq < first_bad) AND (posted_at IS NULL OR posted_at >= TIMESTAMP '{CUTOFF}')
 """)(_jsonld)
@@ -155,31 +161,34 @@ FROM roles r JOIN benchmark b ON b.item_id = r.role_id
 
 # ---- A8: partitioned landing + pruned read ----------------------------------------------------------
 def _pruned(spark, d):
-    root = checkpoint_dir(spark)
-    tag = hashlib.sha1(os.path.abspath(d).encode()).hexdigest()[:12]
-    path = os.path.join(root, f"landed-postings-{tag}")
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
-    if not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
-        landed.write_landed(postings(spark, d).select("seq", "source", "url", "posted_at"), path, mode="overwrite")
+    # a folder of its own for each call: an answer never comes from an older input
+    path = f"{checkpoint_dir(spark)}/landed-postings-{uuid.uuid4().hex}"
+    landed.write_landed(postings(spark, d), path)
     boards = [b.name for b in CFG.enabled_boards]
     out = landed.read_landed(spark, path, boards, RUN.run_ts, RUN.posted_within_hours)
-    return out.select("seq", "source", "url", format_ts("posted_at").alias("posted_at"))
+    return out.select("seq", "source", "url", "title", "company", "description", format_ts("posted_at").alias("posted_at"))
 
 
 register("pruned_scan", f"""
 WITH {O.postings_cte()}
-SELECT seq, source, url, strftime(posted_at, {TS_FMT}) AS posted_at FROM p
+SELECT seq, source, url, title, company, description, strftime(posted_at, {TS_FMT}) AS posted_at FROM p
 WHERE source IN ({", ".join(O.q(b.name) for b in CFG.enabled_boards)})
   AND (posted_at IS NULL OR posted_at >= TIMESTAMP '{CUTOFF}')
 """)(_pruned)
 
 
-# ---- B8: entity-decoded, tag-free page text (rows only: the HTML parser has no SQL twin) ----------
-@F.pandas_udf(T.StringType())
-def html_text_udf(s):
-    return s.map(page_text)
+# ---- B8: entity-decoded, tag-free text -------------------------------------------------------------
+# The pages' own text (rows only: an HTML parser has no SQL twin), and the
+# documents' texts wrapped and encoded as a board sends them, whose text is known.
+register("html_text")(lambda spark, d: table(spark, d, "pages").select(
+    "page_id", html_text_column()(F.col("html")).alias("text")))
 
 
-register("html_text")(lambda spark, d: table(spark, d, "pages").select(
-    "page_id", html_text_udf("html").alias("text")))
+def _known_text(spark, d):
+    body = FP.esc(F.concat(F.lit("<div><style>p{}</style><p>"), FP.esc("text"), F.lit("</p><br><ul><li>Apply &amp; go</ul>")))
+    return table(spark, d, "documents").select("doc_id", html_text_column()(body).alias("text"))
+
+
+register("html_text_known", f"""
+SELECT doc_id, trim({O.stripped_sql('text')} || ' Apply & go') AS text FROM documents
+""")(_known_text)

@@ -66,7 +66,7 @@ def card_html(board: str) -> Column:
                               '<a data-id="company-title" href="/company/acme"><span>'), company,
                         F.lit('</span></a></div><h2><a data-id="job-card-title" href="/job/opening/'), seq,
                         F.lit('">'), title, F.lit("</a></h2>"), t,
-                        F.lit('<div class="job-summary">'), esc(F.substring("description", 1, 200)),
+                        F.lit('<div class="job-summary">'), esc("description"),
                         F.lit("</div></div>"))
     if board == "roberthalf":
         worksite = F.element_at(F.array(F.lit("Remote"), F.lit("Hybrid"), F.lit("Onsite")),
@@ -81,7 +81,7 @@ def card_html(board: str) -> Column:
                         F.lit('</a><ul slot="job-info"><li data-subslot="location">'), esc("location"),
                         F.lit('</li><li data-subslot="worksite">'), worksite,
                         F.lit('</li><li data-subslot="type">'), emp,
-                        F.lit('</li><li data-subslot="copy">'), esc(F.substring("description", 1, 200)),
+                        F.lit('</li><li data-subslot="copy">'), esc(esc("description")),
                         F.lit('</li><li data-subslot="date">'), date,
                         F.lit('</li><li data-subslot="salary-min">'), smin,
                         F.lit('</li><li data-subslot="salary-max">'), smax,
@@ -90,15 +90,30 @@ def card_html(board: str) -> Column:
         label = F.element_at(F.array(F.lit("Remote"), F.lit("Hybrid"), F.lit("On-site")),
                              (F.col("seq") % 3 + 1).cast("int"))
         t = F.when(when_known, F.concat(F.lit('<time datetime="'), iso_z(), F.lit('"></time>'))).otherwise(F.lit(""))
+        # every third job is linked a second time on its page: one id, one card
+        again = F.when(F.col("seq") % 3 == 0, F.concat(F.lit('<a href="/jobs/'), seq, F.lit('">Apply</a>'))) \
+            .otherwise(F.lit(""))
         return F.concat(F.lit('<div class="job-listing"><div class="company-name"><a href="/company/acme-'), seq,
                         F.lit('">'), company, F.lit('</a></div><div class="job-name"><a href="/jobs/'), seq,
                         F.lit('">'), title, F.lit(" at "), company,
                         F.lit('</a></div><div class="job-details"><span class="job-location">'), esc("location"),
                         F.lit("</span><span>"), label, F.lit("</span>"), t,
-                        F.lit(f"</div><p>{TEAM_BLURB}</p></div>"))
+                        F.lit(f"</div><p>{TEAM_BLURB}</p>"), again, F.lit("</div>"))
     raise ValueError(board)
 
 
+#: Markup after the cards of a page: elements that look like cards but lack
+#: what a card needs, and (startup board) a second link to the first job.
+NO_CARDS = {
+    "linkedin": '<li><h3 class="title">No link</h3></li>',
+    "wellfound": '<div data-test="job-alert"><h2>No link</h2></div><div data-test="job-x"><p>No title, no link</p></div>',
+    "builtin": '<div data-id="job-card-title">No address</div>',
+    "roberthalf": '<rhcl-job-card job-id="X"><a slot="headline" href="/x">No info</a></rhcl-job-card>'
+                  '<rhcl-job-card job-id="Y"><a slot="headline">No address</a><ul slot="job-info"></ul></rhcl-job-card>',
+    "workatastartup": '<a href="/jobs/new">Not a number</a>',
+}
+
+
 def _grouped(df: DataFrame, body_item: Column, board: str, wrap: tuple[str, str]) -> DataFrame:
     b_idx = BOARD_NAMES.index(board)
     items = (df.filter(F.col("source") == board)
@@ -118,8 +133,8 @@ def card_pages(postings: DataFrame) -> DataFrame:
     """One HTML page per board and block of rows, in each board's card markup."""
     out = None
     for b in CARD_BOARDS:
-        wrap = ("<html><body><ul>", "</ul></body></html>") if b == "linkedin" else ("<html><body><main>",
-                                                                                     "</main></body></html>")
+        tag = "ul" if b == "linkedin" else "main"
+        wrap = (f"<html><body><{tag}>", f"{NO_CARDS[b]}</{tag}></body></html>")
         page = _grouped(postings, card_html(b), b, wrap)
         out = page if out is None else out.unionByName(page)
     return out
@@ -135,7 +150,7 @@ def jsonld_item(bad_every: int = 7) -> Column:
                  .alias("address")).alias("jobLocation"),
         F.concat(F.lit("https://wellfound.com/jobs/"), _s("seq")).alias("url"),
         F.coalesce(iso_z(), F.lit("")).alias("datePosted"),
-        F.substring("description", 1, 300).alias("description"))
+        F.col("description"))
     item = F.to_json(F.struct(F.lit("ListItem").alias("@type"), F.col("seq").alias("position"), posting.alias("item")))
     return F.when(F.col("seq") % bad_every == 0, F.lit('"withdrawn"')).otherwise(item)
 
@@ -173,7 +188,7 @@ def json_payloads(postings: DataFrame) -> DataFrame:
                   "location", "url", "description", (F.col("seq") % 2 == 0).alias("remote"),
                   F.coalesce(F.unix_seconds("posted_at"), F.lit(0)).alias("created_at"))
     company = F.struct(F.col("seq").alias("id"), "title", F.col("url").alias("absolute_url"),
-                       esc("description").alias("content"),
+                       esc(F.concat(F.lit("<div><p>"), esc("description"), F.lit("</p></div>"))).alias("content"),
                        F.when(F.col("seq") % 3 == 0, F.lit(None)).otherwise(iso_z()).alias("first_published"),
                        F.coalesce(iso_z(), F.lit("")).alias("updated_at"),
                        F.when(F.col("seq") % 4 == 0, F.lit("")).otherwise(F.col("company")).alias("company_name"),
@@ -194,7 +209,7 @@ def rss_feeds(postings: DataFrame) -> DataFrame:
     author = F.when(F.col("seq") % 3 == 0, F.lit("")).otherwise(
         F.concat(F.lit("<author>"), x("company"), F.lit("</author>")))
     region = F.when(F.col("seq") % 2 == 0, F.lit("")).otherwise(F.lit("<region>Anywhere in the World</region>"))
-    clean = F.regexp_replace(F.substring("description", 1, 300), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]", "")
+    clean = F.regexp_replace(esc("description"), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]", "")
     summary = F.concat(F.lit("<p>"), clean, F.lit("</p>"))
     item = F.concat(F.lit("<item><title>"), x(F.concat("company", F.lit(": "), "title", F.lit(" at "), "company")),
                     F.lit("</title><link>"), x("url"), F.lit("</link><guid>"), x("url"), F.lit("</guid><description>"),

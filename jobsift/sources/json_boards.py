@@ -117,6 +117,7 @@ def landed_from_payloads(payloads: DataFrame, feeds: DataFrame | None, cfg) -> D
     """
     from ..functions.html import html_text_column
     from ..operators.cells import attach_cells
+    from .html_cards import arrival
     src = F.col("source")
     parts = [remote_list_postings(payloads.filter(src == "remotive")),
              eu_board_postings(payloads.filter(src == "arbeitnow")),
@@ -125,7 +126,7 @@ def landed_from_payloads(payloads: DataFrame, feeds: DataFrame | None, cfg) -> D
     if feeds is not None:
         parts.append(rss_postings(feeds))
     # The feed board tests relevance on the whole entry title, the others on the title.
-    frames = [p.withColumns({"seq": F.col("payload_id") * F.lit(100000) + F.col("item_ord"),
+    frames = [p.withColumns({"seq": arrival("payload_id", F.lit(0), "item_ord"),
                              "relevance_title": F.col("entry_title") if "entry_title" in p.columns
                              else F.col("title")})
               .select(*LANDED_COLS) for p in parts]

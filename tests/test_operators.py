@@ -179,6 +179,65 @@ def test_jsonld_bad_item_ends_its_script(spark):
                                                                        ("C", "Austin, TX", None)}
 
 
+PAGE_SCHEMA = "page_id long, source string, role_id int, search_cell int, body string"
+
+
+def test_structured_data_counts_only_without_a_card_element(spark):
+    posting = '<script type="application/ld+json">{"@type": "JobPosting", "title": "A", "url": "u"}</script>'
+    pages = spark.createDataFrame(
+        [(1, "wellfound", 1, 0, posting), (2, "wellfound", 1, 0, '<div data-test="job-x">unreadable</div>' + posting)],
+        PAGE_SCHEMA)
+    assert [r.seq.page for r in html_cards.card_or_jsonld(pages, RUN_TS, 240.0).collect()] == [1]
+
+
+def test_a_page_of_any_depth_and_an_unreadable_card_leave_the_others(spark, monkeypatch):
+    deep = "<li>" * 100_000 + PAGE_LIST
+    pages = spark.createDataFrame([(1, "linkedin", 1, 0, deep), (2, "linkedin", 1, 0, PAGE_LIST),
+                                   (3, "linkedin", 1, 0, None)], PAGE_SCHEMA)
+    assert {r.seq.page for r in html_cards.card_postings(pages, RUN_TS).limit(50).collect()} <= {1, 2}
+    assert [r.title for r in html_cards.card_postings(pages.filter("page_id = 2"), RUN_TS).collect()] == ["Senior Engineer"]
+    from jobsift.functions.html import Page
+    read_card, first = html_cards._card, []
+
+    def failing(page, mark, rule):
+        if not first:
+            first.append(mark)
+            raise ValueError("unreadable")
+        return read_card(page, mark, rule)
+    monkeypatch.setattr(html_cards, "_card", failing)
+    page = Page('<li><a href="/jobs/view/1">x</a></li><li><a href="/jobs/view/2">y</a></li>')
+    got = list(html_cards.cards_of(page, html_cards.CARDS["linkedin"]))
+    assert got[0] == {"error": "ValueError: unreadable"} and got[1]["href"] == "/jobs/view/2"
+
+
+def test_answers_do_not_multiply_rows(spark):
+    from jobsift.plans import run
+    jobs = spark.createDataFrame([(1, "linkedin", 7, "u1"), (1, "builtin", 7, "u2"), (2, "linkedin", 7, "u1")],
+                                 "role_id int, source string, seq long, url string")
+    answers = spark.createDataFrame([(1, "linkedin", "u1", "b", 2), (1, "linkedin", "u1", "a", 1), (1, "builtin", "u2", "c", 1),
+                                     (9, "x", "y", "z", 1)],
+                                    "role_id int, source string, url string, raw string, scored_at int")
+    got = sorted((r.role_id, r.source, r.raw) for r in run.attach_responses(jobs, answers, 10).collect())
+    assert got == [(1, "builtin", "c"), (1, "linkedin", "b"), (2, "linkedin", None)]
+
+
+def test_cap_fold_equals_the_loop(spark):
+    import random
+    rng = random.Random(5)
+    rows = [(1, "linkedin", c, c * 1000 + i, f"k{rng.randrange(40)}") for c in range(12) for i in range(30)]
+    df = spark.createDataFrame(rows, "role_id int, source string, search_cell int, seq long, dedup_key string")
+    seen, kept = set(), []
+    for cell in range(12):
+        n = 0
+        for _, _, c, seq, key in rows:
+            if c == cell and n < 5 and key not in seen:
+                seen.add(key)
+                kept.append(seq)
+                n += 1
+    cand = dedup._cap_candidates(df, 5, 12)
+    assert sorted(r.seq for r in dedup.fold_cells(cand, 5).collect()) == kept
+
+
 def test_json_and_rss_adapters(spark):
     body = json.dumps({"jobs": [{"id": 7, "title": "Eng", "company_name": "Co", "url": "u",
                                  "publication_date": "2024-01-30T12:00:00Z"}, {"title": "No id"}]})
@@ -202,17 +261,19 @@ def test_incremental_replay_is_idempotent(spark):
     from jobsift.streaming import incremental
     root = tempfile.mkdtemp(prefix="jobsift-inc-")
     landed = landed_postings(spark, "/root/testdata/sf0.001", FIXTURE_CONFIG)
-    responses = landed.select("role_id", "seq", F.col("llm_raw").alias("raw"))
+    responses = landed.select("role_id", "source", "url", F.col("llm_raw").alias("raw"))
     batch = landed.filter(F.col("seq") < 120)
-    incremental.run_batch(batch, 0, root, responses, FIXTURE_CONFIG)
+    incremental.run_batch(batch, 0, root, responses, FIXTURE_CONFIG, "one")
     first = sorted(map(tuple, tracker.current_snapshot(spark, root).select("url", "match_score").collect()))
     assert first
-    incremental.run_batch(batch, 0, root, responses, FIXTURE_CONFIG)  # replayed batch id: no effect
+    # a replayed batch has no effect, wherever the run stopped: the pointer that shows its rows names it
+    incremental.run_batch(batch, 0, root, responses, FIXTURE_CONFIG, "one")
     again = sorted(map(tuple, tracker.current_snapshot(spark, root).select("url", "match_score").collect()))
     assert again == first
-    incremental.run_batch(landed.filter(F.col("seq") >= 120), 1, root, responses, FIXTURE_CONFIG)
+    # batch 0 of another stream is another batch
+    incremental.run_batch(landed.filter(F.col("seq") >= 120), 0, root, responses, FIXTURE_CONFIG, "two")
     after = tracker.current_snapshot(spark, root)
-    assert after.count() >= len(first) and after.select("url").distinct().count() == after.count()
+    assert after.count() > len(first) and after.select("url").distinct().count() == after.count()
 
 
 def test_pages_to_landed_shape(spark):
