@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import uuid
 
@@ -20,6 +19,7 @@ from ..streaming import incremental
 from . import oracle_sql as O
 from . import run as R
 from .catalog import register
+from .q_runs import merged_sql, responses
 
 RUN = CFG.run
 
@@ -133,38 +133,44 @@ N_ARRIVALS = 4
 
 
 def _incremental(spark, d):
-    """Landed rows arrive as four files, in seq order, one file per trigger;
-    each micro-batch is one run that skips URLs tracked by earlier batches."""
-    root = checkpoint_dir(spark)
-    tag = hashlib.sha1(os.path.abspath(d).encode()).hexdigest()[:12]
-    run_id = uuid.uuid4().hex[:8]
-    landing = os.path.join(root, f"arrivals-{tag}")
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(os.path.join(landing, "_COMPLETE"))
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Landed rows arrive in four lots, in seq order; each lot is one batch,
+    whose run skips the URLs that earlier batches tracked."""
+    root = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
     landed = landed_postings(spark, d, CFG)
-    if not fs.exists(marker):
-        width = (landed.agg(F.max("seq")).first()[0] or 0) // N_ARRIVALS + 1
-        for b in range(N_ARRIVALS):
-            # One file per arrival, written in order: the stream sees them in order.
-            (landed.filter((F.col("seq") / width).cast("long") == b).coalesce(1)
-                   .write.mode("append").parquet(landing))
-        fs.create(marker, True).close()
-    schema = spark.read.parquet(landing).schema
-    responses = landed.select("role_id", "seq", F.col("llm_raw").alias("raw"))
-    state = os.path.join(root, f"tracker-{tag}-{run_id}")
-    snap = incremental.incremental_run(spark, landing, schema, state, os.path.join(root, f"ckpt-{tag}-{run_id}"),
-                                       responses, CFG, files_per_batch=1)
+    answers = R.one_answer(responses(spark, d))
+    width = (landed.agg(F.max("seq")).first()[0] or 0) // N_ARRIVALS + 1
+    for lot in range(N_ARRIVALS):
+        landed.filter(F.expr(f"seq div {width}") == lot).write.mode("append").parquet(f"{root}/landing")
+        snap = incremental.incremental_run(spark, f"{root}/landing", landed.schema, f"{root}/tracker",
+                                           f"{root}/stream", answers, CFG)
     return snap.select("url", "title", "match_score", "status", "notes", format_ts("created_at").alias("created_at"))
 
 
-register("incremental_run")(_incremental)
+def _incremental_sql() -> str:
+    parts, names = [], []
+    for lot in range(N_ARRIVALS):
+        seen = " UNION ALL ".join(f"SELECT url FROM {n}" for n in names) or "SELECT NULL::VARCHAR AS url WHERE false"
+        run = merged_sql(tracked=f"tracked AS ({seen})", answers=f"answers AS (SELECT * FROM all_answers)",
+                         landed=f"seq // (SELECT max(seq) // {N_ARRIVALS} + 1 FROM all_landed) = {lot}")
+        names.append(f"lot{lot}")
+        parts.append(f"lot{lot} AS MATERIALIZED (WITH {run} SELECT url, title, match_score, status, notes FROM merged)")
+    return f"""
+WITH all_landed AS MATERIALIZED (WITH {O.landed_ctes()} SELECT * FROM landed),
+all_answers AS MATERIALIZED (
+  SELECT role_id, source, url, min(llm_raw) AS llm_raw FROM all_landed GROUP BY role_id, source, url),
+{", ".join(parts)}
+SELECT url, title, match_score, status, notes, strftime(TIMESTAMP '{RUN.run_ts}', '%Y-%m-%d %H:%M:%S.%f') AS created_at
+FROM ({" UNION ALL ".join(f"SELECT * FROM {n}" for n in names)})
+"""
+
+
+register("incremental_run", _incremental_sql())(_incremental)
 
 
 # ---- H3: watermark de-duplication of a sighting feed --------------------------------------------------
 def _stream_dedup(spark, d):
     root = checkpoint_dir(spark)
-    run_id = uuid.uuid4().hex[:8]
+    run_id = uuid.uuid4().hex
     schema = table(spark, d, "events").schema
     out = incremental.first_sightings(
         spark, d, "events.parquet", schema, ["user_id", "event_type"], "ts", "1 hour",

@@ -11,7 +11,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # HTML pages and descriptions are wide rows: keep Arrow batches small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -33,7 +33,7 @@ def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     }
 
 
@@ -53,34 +53,27 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder the cluster names in ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Read from the session: an already-set checkpoint directory is kept; else
-    the ``spark.checkpoint.dir`` setting is used. Only a local session (tests)
-    without either gets a fallback folder; on a cluster a missing setting is an
-    error rather than a machine-local temporary folder.
+    A checkpoint directory that is set already is kept; else the setting of the
+    context or session is used; where there is none (tests, a laptop), a folder
+    in the warehouse, which is shared by definition. Never a temporary folder
+    of one machine.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset
-            configured = None
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not (sc.master or "").startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    if fallback is None:
-        import tempfile
-        fallback = tempfile.mkdtemp(prefix="jobsift-ckpt-")
-    sc.setCheckpointDir(fallback)
-    return fallback
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote and no plan reads any more."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
 
 
 def utc(spark: SparkSession) -> None:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import age_label, safe_name, truncate
 from ..functions.timestamps import age_hours
 from ..operators.joins import bounded_broadcast
-from ..params import NOTES_DISPLAY_CHARS
-
-CSV_FIELDS = ["title", "company", "location", "source", "url", "posted_at", "work_type",
-              "match_score", "status", "notes"]
+from ..params import CSV_FIELDS, NOTES_DISPLAY_CHARS
+from ..session import materialize
 
 
 def iso_timestamp_text(c) -> Column:
@@ -23,15 +21,26 @@ def iso_timestamp_text(c) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def ranked_results(results: DataFrame) -> DataFrame:
+    """Results with their ``position``: highest score first, ties by URL. The
+    result set is bounded by roles x max_jobs, so one window orders it."""
+    order = Window.orderBy(F.col("match_score").desc(), "url")
+    return results.withColumn("position", F.row_number().over(order).cast("bigint"))
+
+
 def csv_rows(results: DataFrame, work_type: str = "job_work_type") -> DataFrame:
     """The ten CSV columns; unknown dates and work types become empty text."""
+    keep = ["position"] if "position" in results.columns else []
     return results.select(
-        "title", "company", "location", "source", "url",
+        *keep, "title", "company", "location", "source", "url",
         iso_timestamp_text("posted_at").alias("posted_at"),
         F.coalesce(F.col(work_type), F.lit("")).alias("work_type"),
         F.col("match_score").cast("int").alias("match_score"), "status", "notes")
 
 
+CSV_OPTIONS = {"header": True, "emptyValue": "", "escape": '"', "multiLine": True}
+
+
 def write_csv(results: DataFrame, path: str, work_type: str = "job_work_type") -> None:
     """Write the export as CSV with a header; an empty path disables it.
 
@@ -40,8 +49,14 @@ def write_csv(results: DataFrame, path: str, work_type: str = "job_work_type") -
     """
     if not path:
         return
-    rows = csv_rows(results, work_type).orderBy(F.col("match_score").desc(), "url")
-    rows.coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    rows = csv_rows(ranked_results(results), work_type).orderBy("position").drop("position")
+    rows.coalesce(1).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The export as it was written (a CSV field without text is empty text)."""
+    schema = ", ".join(f"{c} {'int' if c == 'match_score' else 'string'}" for c in CSV_FIELDS)
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path).na.fill("")
 
 
 def number_rows(df: DataFrame, partition_col: str, order_cols: list[Column], out: str = "pos") -> DataFrame:
@@ -50,13 +65,13 @@ def number_rows(df: DataFrame, partition_col: str, order_cols: list[Column], out
     Distributed and JVM-only: a range-partitioned sort, per-partition row
     counts turned into start offsets (one row per partition, so the broadcast
     is bounded by the partition count), then the offset of each group's first
-    row. No group is gathered into one task. ``order_cols`` must order rows
-    totally within a group (end with a unique column) so that both uses of the
-    sorted relation see the same order.
+    row. No group is gathered into one task. The sorted rows are written once:
+    range bounds are sampled anew by each evaluation, so both uses must read
+    the same one.
     """
-    from pyspark.sql import Window
     spark = df.sparkSession
-    sorted_df = df.orderBy(F.col(partition_col), *order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    sorted_df = materialize(df.orderBy(F.col(partition_col), *order_cols).withColumn(
+        "_mid", F.monotonically_increasing_id()), "sorted-rows")
     ids = (sorted_df.withColumn("_pid", F.shiftright("_mid", 33))
                     .withColumn("_off", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
     per_part = ids.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -81,7 +96,6 @@ def jobs_report(gathered: DataFrame, run_ts: str, order_cols: list[Column], boun
     base = gathered.select("role_id", "title", "company", "location", "source", "posted_at", "board_ord",
                            "search_cell", "seq")
     if bounded:
-        from pyspark.sql import Window
         w = Window.partitionBy("role_id").orderBy(*order_cols)
         numbered = base.withColumn("pos", F.row_number().over(w).cast("bigint"))
     else:
@@ -91,8 +105,9 @@ def jobs_report(gathered: DataFrame, run_ts: str, order_cols: list[Column], boun
 
 
 def results_report(results: DataFrame) -> DataFrame:
-    """Company, title, score, status and the first 60 characters of the notes."""
-    return results.select("company", "title", F.col("match_score").cast("int").alias("match_score"), "status",
+    """Position (highest score first), company, title, score, status and the
+    first 60 characters of the notes."""
+    return ranked_results(results).select("position", "company", "title", F.col("match_score").cast("int").alias("match_score"), "status",
                           truncate("notes", NOTES_DISPLAY_CHARS).alias("notes"))
 
 
@@ -111,6 +126,26 @@ def letter_paths(results: DataFrame, out_dir: str = "applications") -> DataFrame
                      .withColumn("collision", F.col("_n") > 1).drop("_n"))
 
 
+def with_letters(results: DataFrame, letters: DataFrame, row_bound: int) -> DataFrame:
+    """Results with the text of their letter in ``cover_letter`` (empty where
+    none was written, and for results that are not pending).
+
+    ``letters`` (role_id, source, url, letter) may be large: it is probed with
+    the keys of the pending results, at most ``row_bound``."""
+    keys = ["role_id", "source", "url"]
+    pending = bounded_broadcast(results.filter(F.col("status") == "pending").select(*keys).distinct(), row_bound,
+                                row_bytes=2048)
+    text = letters.join(pending, on=keys, how="left_semi").groupBy(*keys).agg(F.min("letter").alias("cover_letter"))
+    return results.drop("cover_letter").join(text, on=keys, how="left").withColumn(
+        "cover_letter", F.coalesce("cover_letter", F.lit("")))
+
+
+def letter_rows(results: DataFrame, out_dir: str = "applications") -> DataFrame:
+    """Path, URL and text of each letter: (path, url, company, source,
+    collision, cover_letter)."""
+    return letter_paths(results, out_dir).join(results.select("url", "cover_letter"), on="url")
+
+
 def write_letters(letters: DataFrame, root: str) -> None:
     """Letters as a Parquet dataset keyed by URL with the target path as a
     column (never one file per row from the driver)."""

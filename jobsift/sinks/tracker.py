@@ -7,7 +7,7 @@ pointer to the current snapshot moves only after the write has succeeded.
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import bounded_broadcast
+from ..session import materialize
 
 TRACKED_SCHEMA = T.StructType([
     T.StructField("job_id", T.StringType()),
@@ -64,12 +65,13 @@ def upsert(tracked: DataFrame, apps: DataFrame, run_ts: str, apps_row_bound: int
 
     Several writes to one URL in a run collapse first (the last write, in
     role then rank order, wins). When ``apps`` is bounded by configuration
-    (roles x max_jobs) it is broadcast and the tracked table is streamed once
-    without a shuffle; otherwise AQE picks the join strategy.
+    (roles x max_jobs) it is broadcast and the tracked table is streamed
+    without a shuffle; otherwise AQE picks the join strategy. The collapsed
+    applications are written once, so the scoring behind them runs once.
     """
     if "role_ord" in apps.columns and "rank" in apps.columns:
         apps = last_write_per_url(apps, ["role_ord", "rank"])
-    new = as_tracked(apps, run_ts)
+    new = materialize(as_tracked(apps, run_ts), "applications")
     nb = new.select("url", *[F.col(c).alias(f"_n_{c}") for c in REPLACE_ON_CONFLICT]).withColumn("_hit", F.lit(True))
     if apps_row_bound is not None:
         nb = bounded_broadcast(nb, apps_row_bound, row_bytes=8192)
@@ -94,57 +96,71 @@ def status_stats(tracked: DataFrame) -> DataFrame:
 
 
 # ---- snapshots -------------------------------------------------------------
-
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new snapshot directory under ``root`` and publish it.
-
-    A new pointer version is published only after the Parquet write
-    committed, so a lost executor or a failed job leaves the previous
-    snapshot current.
-    """
-    snap = os.path.join(root, f"snapshot-{uuid.uuid4().hex}")
+#
+# ``_pointers/<version>`` names the snapshot of a version and the last batch
+# applied of each stream, so a snapshot and the batches in it are published in
+# one step. Versions count up; a version's file is created once or not at all,
+# so of two writers one fails and nothing is lost.
+
+KEEP_SNAPSHOTS = 3
+END = "."  # a pointer without its end was cut off while being written and does not count
+
+
+def write_snapshot(df: DataFrame, root: str, stream: str | None = None, batch: int | None = None) -> str:
+    """Write a new snapshot under ``root`` and publish it, with the batch of
+    the stream that it includes. A lost executor or a failed job leaves the
+    previous snapshot current. Snapshots older than the last few are removed."""
+    spark = df.sparkSession
+    version, state = _newest(spark, root)
+    snap = f"{root}/snapshot-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(snap)
-    _write_pointer(df.sparkSession, root, snap)
+    batches = dict(state.get("batches", {}))
+    if stream is not None:
+        batches[stream] = batch
+    hp, fs = _fs(spark, f"{root}/_pointers/{version + 1:012d}")
+    out = fs.create(hp, False)  # fails if another writer published this version
+    out.write(bytearray((json.dumps({"snapshot": snap, "batches": batches}) + END).encode()))
+    out.close()
+    for old in _versions(spark, root)[:-KEEP_SNAPSHOTS]:
+        found = _read(spark, root, old)
+        for path in [*([found["snapshot"]] if found else []), f"{root}/_pointers/{old:012d}"]:
+            gone, fs = _fs(spark, path)
+            fs.delete(gone, True)
     return snap
 
 
 def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    snap = _read_pointer(spark, root)
-    if snap is None:
-        return empty_tracked(spark)
-    return spark.read.schema(TRACKED_SCHEMA).parquet(snap)
+    _, state = _newest(spark, root)
+    return spark.read.schema(TRACKED_SCHEMA).parquet(state["snapshot"]) if state else empty_tracked(spark)
+
+
+def applied(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
+    """Whether the current snapshot includes this batch of this stream."""
+    return _newest(spark, root)[1].get("batches", {}).get(stream, -1) >= batch
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hp, hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _write_pointer(spark: SparkSession, root: str, snap: str) -> None:
-    """Publish a new pointer version; older versions stay (append-only), so a
-    crash at any point leaves a readable CURRENT."""
-    import time
-    version = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-    tmp, fs = _fs(spark, os.path.join(root, "_pointers", f".{version}.tmp"))
-    out = fs.create(tmp, True)
-    out.write(bytearray(snap.encode("utf-8")))
-    out.close()
-    dst, _ = _fs(spark, os.path.join(root, "_pointers", version))
-    if not fs.rename(tmp, dst):
-        raise RuntimeError(f"could not publish snapshot pointer {version}")
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    base, fs = _fs(spark, f"{root}/_pointers")
+    names = [st.getPath().getName() for st in fs.listStatus(base)] if fs.exists(base) else []
+    return sorted(int(n) for n in names if n.isdigit())
 
 
-def _read_pointer(spark: SparkSession, root: str) -> str | None:
+def _read(spark: SparkSession, root: str, version: int) -> dict:
     jvm = spark.sparkContext._jvm
-    base, fs = _fs(spark, os.path.join(root, "_pointers"))
-    if not fs.exists(base):
-        return None
-    names = sorted(st.getPath().getName() for st in fs.listStatus(base) if not st.getPath().getName().startswith("."))
-    if not names:
-        return None
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(base, names[-1]))
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    line = reader.readLine()
-    reader.close()
-    return line
+    hp, fs = _fs(spark, f"{root}/_pointers/{version:012d}")
+    stream = fs.open(hp)
+    text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return json.loads(text[:-1]) if text.endswith("}" + END) else {}
+
+
+def _newest(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """The highest version, and the state of the highest complete one."""
+    versions = _versions(spark, root)
+    state = next((found for v in reversed(versions) if (found := _read(spark, root, v))), {})
+    return (versions[-1] if versions else 0), state

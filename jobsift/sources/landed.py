@@ -17,9 +17,17 @@ from pyspark.sql import functions as F
 from ..functions.timestamps import window_cutoff
 
 
-def write_landed(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    (df.withColumn("posted_date", F.to_date("posted_at"))
-       .write.mode(mode).partitionBy("source", "posted_date").parquet(path))
+#: Writers of one board and day, so that a large one is not written by one task.
+WRITERS = 16
+
+
+def write_landed(df: DataFrame, path: str, mode: str = "errorifexists", writers: int = WRITERS) -> None:
+    """Each (board, day) is written by at most ``writers`` tasks, as that many
+    files, whatever the number of input tasks."""
+    dated = df.withColumn("posted_date", F.to_date("posted_at"))
+    salt = F.pmod(F.xxhash64("url"), F.lit(writers))
+    (dated.repartition("source", "posted_date", salt)
+          .write.mode(mode).partitionBy("source", "posted_date").parquet(path))
 
 
 def read_landed(spark: SparkSession, path: str, boards: list[str], run_ts: str, hours: float) -> DataFrame:

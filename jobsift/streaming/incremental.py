@@ -2,13 +2,14 @@
 
 New landed files arrive in a folder; each micro-batch is one run: skip URLs
 already tracked, gather/score/select, upsert, and publish a new tracker
-snapshot. A batch id already published is skipped on replay, so a restarted
-query does not apply a batch twice.
+snapshot. The published pointer itself says which batch of which stream the
+snapshot includes, so a batch that is replayed after a stop at any point is
+applied once, and batch 0 of a new stream is not taken for that of an old one.
 """
 
 from __future__ import annotations
 
-import os
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,43 +20,39 @@ from ..plans import run as R
 from ..sinks import tracker
 
 
-def _committed_batches(spark: SparkSession, root: str) -> set[int]:
-    path = os.path.join(root, "_batches")
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Structured Streaming gave the stream of a checkpoint folder."""
     jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hp):
-        return set()
-    return {int(st.getPath().getName()) for st in fs.listStatus(hp)}
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/metadata")
+    file = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    text = jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    file.close()
+    return json.loads(text)["id"]
 
 
-def _mark_batch(spark: SparkSession, root: str, batch_id: int) -> None:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(os.path.join(root, "_batches", str(batch_id)))
-    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.create(hp, True).close()
-
-
-def run_batch(batch: DataFrame, batch_id: int, state_root: str, responses: DataFrame, cfg: SearchConfig) -> None:
+def run_batch(batch: DataFrame, batch_id: int, state_root: str, responses: DataFrame, cfg: SearchConfig,
+              stream: str = "") -> None:
+    """One run over a batch; the tracker takes the rows merged by URL."""
     spark = batch.sparkSession
-    if batch_id in _committed_batches(spark, state_root):
+    if tracker.applied(spark, state_root, stream, batch_id):
         return
     current = tracker.current_snapshot(spark, state_root)
     results = R.full_run(batch, current, responses, cfg)
     bound = len(cfg.roles) * cfg.run.max_jobs
     merged = tracker.upsert(current, results, cfg.run.run_ts, apps_row_bound=bound)
-    tracker.write_snapshot(merged, state_root)
-    _mark_batch(spark, state_root, batch_id)
+    tracker.write_snapshot(merged, state_root, stream, batch_id)
 
 
 def incremental_run(spark: SparkSession, landing_dir: str, schema: T.StructType, state_root: str,
-                    checkpoint: str, responses: DataFrame, cfg: SearchConfig, files_per_batch: int = 1) -> DataFrame:
-    """Process every file now in ``landing_dir`` (availableNow) and return the
-    tracker snapshot that results."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-                   .parquet(landing_dir))
-    q = (stream.writeStream
-               .foreachBatch(lambda df, bid: run_batch(df, bid, state_root, responses, cfg))
+                    checkpoint: str, responses: DataFrame, cfg: SearchConfig,
+                    files_per_batch: int | None = None) -> DataFrame:
+    """Process every new file in ``landing_dir`` (availableNow; all of them in
+    one batch, or ``files_per_batch``) and return the resulting snapshot."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    q = (reader.parquet(landing_dir).writeStream
+               .foreachBatch(lambda df, bid: run_batch(df, bid, state_root, responses, cfg, stream_id(spark, checkpoint)))
                .option("checkpointLocation", checkpoint)
                .trigger(availableNow=True)
                .start())

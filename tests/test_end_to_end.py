@@ -30,8 +30,11 @@ def test_payloads_to_tracker(spark):
     cols = sorted(set(card_landed.columns) & set(json_landed.columns))
     # Parse once and land the typed rows (as a landing job would); the run reads them.
     landed = materialize(card_landed.select(*cols).unionByName(json_landed.select(*cols)), "e2e-landed")
-    answers = landed.select("role_id", "seq", F.format_string('{"match_score": %d}', (F.col("seq") % 97).cast("int"))
-                            .alias("raw"))
+    assert landed.select("role_id", "source", "seq").distinct().count() == landed.count()
+    answers = landed.select("role_id", "source", "url", F.format_string(
+        '{"match_score": %d}', F.pmod(F.xxhash64("url"), F.lit(97)).cast("int")).alias("raw"))
+    gathered = run.gather(landed, CFG)
+    assert run.attach_responses(gathered, answers, 1000).count() == gathered.count()
     root = tempfile.mkdtemp(prefix="jobsift-e2e-")
     current = tracker.current_snapshot(spark, root)
     results = run.full_run(landed, current, answers, CFG)

@@ -62,6 +62,50 @@ def test_resumes_read_whole_files(spark):
     assert got == {1: "Line one\nLine two\n", 2: "Other resume"}
 
 
+def test_roles_share_a_resume_and_files_share_a_name(spark):
+    d = tempfile.mkdtemp(prefix="jobsift-resume-")
+    for sub, text in (("a", "one"), ("b", "two")):
+        os.makedirs(os.path.join(d, sub))
+        with open(os.path.join(d, sub, "cv.txt"), "w", encoding="utf-8") as f:
+            f.write(text)
+    a, b = os.path.join(d, "a", "cv.txt"), os.path.join(d, "b", "cv.txt")
+    cfg = SearchConfig(roles=(Role(1, "A", resume_path=a), Role(2, "B", resume_path=a), Role(3, "C", resume_path=b)),
+                       boards=(), locations=())
+    assert {r.role_id: r.resume_text for r in resumes.read_resumes(spark, cfg).collect()} == {1: "one", 2: "one", 3: "two"}
+
+
+def test_report_and_csv_are_ordered_by_score_with_stable_ties(spark):
+    df = results(spark).unionByName(results(spark).withColumn("url", F.concat(F.lit("a"), F.col("url"))))
+    assert [(r.position, r.match_score) for r in export.results_report(df).orderBy("position").collect()] == [
+        (1, 80), (2, 80), (3, 40), (4, 40)]
+    out = os.path.join(tempfile.mkdtemp(prefix="jobsift-csv-"), "jobs")
+    export.write_csv(df, out)
+    assert [r.url for r in export.read_csv(spark, out).collect()] == ["au1", "u1", "au2", "u2"]
+
+
+def test_letters_are_joined_to_pending_results(spark):
+    df = results(spark).withColumn("role_id", F.lit(1))
+    letters = spark.createDataFrame([(1, "linkedin", "u1", "Dear"), (1, "builtin", "u2", "No")],
+                                    "role_id int, source string, url string, letter string")
+    got = {r.url: r.cover_letter for r in export.with_letters(df, letters, 10).collect()}
+    assert got == {"u1": "Dear", "u2": ""}
+    assert [r.cover_letter for r in export.letter_rows(export.with_letters(df, letters, 10)).collect()] == ["Dear"]
+
+
+def test_pointer_cut_off_while_written_does_not_count(spark):
+    from jobsift.sinks import tracker
+    root = tempfile.mkdtemp(prefix="jobsift-pointer-")
+    one = tracker.as_tracked(results(spark).limit(1), RUN_TS)
+    tracker.write_snapshot(one, root, "s", 0)
+    with open(os.path.join(root, "_pointers", f"{2:012d}"), "w", encoding="utf-8") as f:
+        f.write('{"snapshot"')
+    assert tracker.current_snapshot(spark, root).count() == 1 and tracker.applied(spark, root, "s", 0)
+    assert not tracker.applied(spark, root, "t", 0)
+    for batch in range(1, 6):
+        tracker.write_snapshot(one, root, "s", batch)
+    assert len(glob.glob(os.path.join(root, "snapshot-*"))) <= tracker.KEEP_SNAPSHOTS + 1
+
+
 def test_results_report_truncates_notes(spark):
     df = results(spark).withColumn("notes", F.lit("x" * 100))
     assert {len(r.notes) for r in export.results_report(df).collect()} == {60}
