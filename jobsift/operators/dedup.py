@@ -62,28 +62,24 @@ def fold_cells(cand: DataFrame, cap: int, carry: tuple[str, ...] = ()) -> DataFr
 
     Cells in search order, arrival order inside a cell; a cell stops after
     ``cap`` new keys, and keys it did not reach stay available to later cells.
-    Runs JVM-side as an ``aggregate`` over the group's sorted candidate array,
-    whose length is bounded by configuration (cap x cells x (cells + 1) / 2).
+    Runs JVM-side, one step per cell: the cell's keys less those kept so far
+    (``array_except``, a hash set), cut at ``cap``. A group has at most
+    cap x cells x (cells + 1) / 2 candidates and cap x cells kept keys, both
+    bounded by configuration, and a step is linear in them.
     """
-    kept_type = "array<struct<seq:bigint" + "".join(
-        f",{c}:{cand.schema[c].dataType.simpleString()}" for c in carry) + ">>"
-    state0 = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(kept_type).alias("kept"),
-                      F.lit(-1).alias("cell"), F.lit(0).alias("n"))
-
-    def step(st, e):
-        n0 = F.when(e["search_cell"] == st["cell"], st["n"]).otherwise(F.lit(0))
-        take = (n0 < F.lit(cap)) & ~F.array_contains(st["seen"], e["dedup_key"])
-        row = F.struct(e["seq"].alias("seq"), *[e[c].alias(c) for c in carry])
-        return F.struct(
-            F.when(take, F.array_append(st["seen"], e["dedup_key"])).otherwise(st["seen"]).alias("seen"),
-            F.when(take, F.array_append(st["kept"], row)).otherwise(st["kept"]).alias("kept"),
-            e["search_cell"].alias("cell"),
-            (n0 + F.when(take, F.lit(1)).otherwise(F.lit(0))).alias("n"))
-
-    grouped = cand.groupBy(*GROUP).agg(
-        F.array_sort(F.collect_list(F.struct("search_cell", "seq", "dedup_key", *carry))).alias("_c"))
-    return (grouped.select(*GROUP, F.explode(F.aggregate("_c", state0, step)["kept"]).alias("_k"))
-                   .select(*GROUP, "_k.*"))
+    row = F.struct("seq", "dedup_key", *carry)
+    by_cell = cand.groupBy(*GROUP, "search_cell").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    cells = by_cell.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("search_cell", "_rows"))).alias("_cells"))
+
+    def step(kept, cell):
+        keys = F.transform(cell["_rows"], lambda r: r["dedup_key"])
+        return F.array_append(kept, F.slice(F.array_except(keys, F.flatten(kept)), 1, cap))
+
+    kept = F.aggregate("_cells", F.array().cast("array<array<string>>"), step)
+    each = cells.select(*GROUP, F.explode(F.arrays_zip("_cells", kept.alias("_kept"))).alias("_z")).select(
+        *GROUP, F.col("_z._cells._rows").alias("_rows"), F.col("_z._kept").alias("_keys"))
+    rows = F.filter("_rows", lambda r: F.array_contains(F.col("_keys"), r["dedup_key"]))
+    return each.select(*GROUP, F.explode(rows).alias("_k")).select(*GROUP, "_k.seq", *[f"_k.{c}" for c in carry])
 
 
 def cap_per_cell(df: DataFrame, cfg: SearchConfig) -> DataFrame:

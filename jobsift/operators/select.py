@@ -29,8 +29,10 @@ def status_notes(df: DataFrame, min_score: int, score: str = "match_score") -> D
 
 def merge_roles(df: DataFrame, score: str = "match_score") -> DataFrame:
     """One row per URL: the highest score; on a tie the earlier role, then the
-    earlier row of that role's ranking."""
-    w = Window.partitionBy("url").orderBy(F.col(score).desc(), F.col("role_ord").asc(), F.col("rank").asc())
+    earlier row of that role's ranking (its rank, if ranked, else the order
+    that ranks are given in)."""
+    order = [F.col("rank").asc()] if "rank" in df.columns else newest_first_cols()
+    w = Window.partitionBy("url").orderBy(F.col(score).desc(), F.col("role_ord").asc(), *order)
     return df.withColumn("_m", F.row_number().over(w)).filter(F.col("_m") == 1).drop("_m")
 
 

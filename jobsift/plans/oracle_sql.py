@@ -7,13 +7,46 @@ sides see the same roles, locations and parameters.
 
 from __future__ import annotations
 
-from ..params import (
-    ENG_KEYWORDS, EMPLOYMENT_TYPE_MAP, SENIORITY_ORDER, SENIORITY_PATTERNS, STATE_NAMES,
-    YEARS_EXPERIENCE_PATTERN, YEARS_PLUS_PATTERN, YEARS_RANGE_PATTERN, SearchConfig,
-)
+from ..params import SearchConfig
 from ..sources.fixtures import FIXTURE_CONFIG, POSTINGS_SQL
 
 
+# Written out here, apart from the values the Spark side uses, so that a wrong
+# value on either side shows.
+SENIORITY_ORDER = ["junior", "mid", "senior", "staff", "principal"]
+SENIORITY_PATTERNS = [
+    (r"\b(junior|jr\.?|entry.?level|associate)\b", "junior"), (r"\b(mid|intermediate|mid.?level)\b", "mid"),
+    (r"\b(senior|sr\.?)\b", "senior"), (r"\bstaff\b", "staff"),
+    (r"\b(principal|distinguished|fellow|director|vp)\b", "principal")]
+YEARS_RANGE_PATTERN = r"(\d+)\s*(?:to|-)\s*(\d+)\s*years?"
+YEARS_PLUS_PATTERN = r"(\d+)\+\s*years?"
+YEARS_EXPERIENCE_PATTERN = r"(\d+)\s*years?\s+(?:of\s+)?(?:[\w-]+\s+){0,2}(?:experience|exp)"
+ENG_KEYWORDS = [
+    "software", "engineer", "developer", "backend", "frontend", "full stack", "fullstack", "swe",
+    "sde", "platform", "infrastructure", "devops", "ml", "machine learning", "data",
+]
+EMPLOYMENT_TYPE_MAP = [
+    ("permanent / full time", "full-time"), ("full time", "full-time"), ("contract to hire", "contract"),
+    ("contract", "contract"), ("temporary to hire", "temporary"), ("temporary", "temporary"),
+    ("part time", "part-time"), ("part-time", "part-time"),
+]
+STATE_NAMES = [
+    ("AL", "Alabama"), ("AK", "Alaska"), ("AZ", "Arizona"), ("AR", "Arkansas"),
+    ("CA", "California"), ("CO", "Colorado"), ("CT", "Connecticut"), ("DE", "Delaware"),
+    ("FL", "Florida"), ("GA", "Georgia"), ("HI", "Hawaii"), ("ID", "Idaho"),
+    ("IL", "Illinois"), ("IN", "Indiana"), ("IA", "Iowa"), ("KS", "Kansas"),
+    ("KY", "Kentucky"), ("LA", "Louisiana"), ("ME", "Maine"), ("MD", "Maryland"),
+    ("MA", "Massachusetts"), ("MI", "Michigan"), ("MN", "Minnesota"), ("MS", "Mississippi"),
+    ("MO", "Missouri"), ("MT", "Montana"), ("NE", "Nebraska"), ("NV", "Nevada"),
+    ("NH", "New Hampshire"), ("NJ", "New Jersey"), ("NM", "New Mexico"), ("NY", "New York"),
+    ("NC", "North Carolina"), ("ND", "North Dakota"), ("OH", "Ohio"), ("OK", "Oklahoma"),
+    ("OR", "Oregon"), ("PA", "Pennsylvania"), ("RI", "Rhode Island"), ("SC", "South Carolina"),
+    ("SD", "South Dakota"), ("TN", "Tennessee"), ("TX", "Texas"), ("UT", "Utah"),
+    ("VT", "Vermont"), ("VA", "Virginia"), ("WA", "Washington"), ("WV", "West Virginia"),
+    ("WI", "Wisconsin"), ("WY", "Wyoming"), ("DC", "District of Columbia"),
+]
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -26,6 +59,17 @@ def num(x) -> str:
     return "NULL" if x is None else repr(x)
 
 
+def stripped_sql(c: str) -> str:
+    """Text without white space at its ends (as Python's strip)."""
+    return f"regexp_replace({c}, '^[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g')"
+
+
+def escaped_sql(c: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = f"replace({c}, {q(a)}, {q(b)})"
+    return c
+
+
 def roles_cte(cfg: SearchConfig = FIXTURE_CONFIG) -> str:
     rows = []
     for i, r in enumerate(cfg.roles):

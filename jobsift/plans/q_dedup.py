@@ -32,14 +32,11 @@ NO_PAY_BOARDS = ["remotive", "weworkremotely", "arbeitnow"]
 
 
 def _union(spark, d):
-    p = postings(spark, d)
-    frames = []
-    for b in BOARD_NAMES + ["monster"]:
-        cols = ["seq", "source", "url", "title"]
-        if b not in NO_PAY_BOARDS:
-            cols += ["salary", "employment_type"]
-        frames.append(p.filter(F.col("source") == b).select(*cols))
-    return dedup.union_boards(frames, CFG).select("seq", "source", "board_ord", "url", "salary", "employment_type")
+    # one scan: boards that never state pay or employment type have none
+    states_pay = ~F.col("source").isin(NO_PAY_BOARDS)
+    p = postings(spark, d).select("seq", "source", "url", "title", *[
+        F.when(states_pay, F.col(c)).alias(c) for c in ("salary", "employment_type")])
+    return dedup.union_boards([p], CFG).select("seq", "source", "board_ord", "url", "salary", "employment_type")
 
 
 _ords = CFG.board_ord()

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import format_ts, window_cutoff
+from ..operators import dedup
 from ..operators.cells import n_cells
 from ..params import GLOBAL_SEARCH_BOARDS
 from ..sources.fixtures import FIXTURE_CONFIG as CFG
-from ..sources.fixtures import landed_postings, tracked_seed
+from ..session import checkpoint_dir
+from ..sources import fixture_pages, html_cards, json_boards, landed
+from ..sources.fixtures import landed_postings, postings, tracked_seed
 from . import oracle_sql as O
 from . import run as R
 from .catalog import register
@@ -23,16 +28,17 @@ GLOBALS = ", ".join(O.q(b) for b in GLOBAL_SEARCH_BOARDS)
 
 
 def responses(spark, d):
-    """Model answers landed per (role, posting): the fixture's answer column."""
-    return landed_postings(spark, d, CFG).select("role_id", "seq", F.col("llm_raw").alias("raw"))
+    """Model answers landed per (role, board, url): the fixture's answer column."""
+    return landed_postings(spark, d, CFG).select("role_id", "source", "url", F.col("llm_raw").alias("raw"))
 
 
 def inputs(spark, d):
     return landed_postings(spark, d, CFG), tracked_seed(spark, d), responses(spark, d)
 
 
-def gathered_sql() -> str:
-    """CTEs up to ``gathered`` (board rules, caps, cross-board dedup)."""
+def gathered_sql(landed: str = "true") -> str:
+    """CTEs up to ``gathered`` (board rules, caps, cross-board dedup) of the
+    landed rows that fulfil a condition."""
     rel = O.relevance_sql("role_terms")
     rel_eng = O.relevance_sql(O.eng_terms_sql("role_terms"))
     simple = ("(COALESCE(mapped_work_type = 'remote', false) OR contains(lower(location), lower(city)) "
@@ -40,6 +46,7 @@ def gathered_sql() -> str:
     return f"""{O.landed_ctes()},
 mw AS (
   SELECT *, CASE WHEN source IN ('greenhouse', 'roberthalf') THEN {O.WT_LOC_SQL} END AS mapped_work_type FROM landed
+  WHERE {landed}
 ),
 ruled AS (
   SELECT *, CASE WHEN source IN ('arbeitnow', 'workatastartup') THEN mapped_work_type
@@ -61,11 +68,15 @@ xb AS (SELECT *, rank() OVER (PARTITION BY role_id, url ORDER BY board_ord) AS x
 gathered AS (SELECT * EXCLUDE (xrk) FROM xb WHERE xrk = 1)"""
 
 
-def chosen_sql() -> str:
-    return f"""{gathered_sql()},
-{O.tracked_cte()},
+ANSWERS_SQL = "answers AS (SELECT role_id, source, url, min(llm_raw) AS llm_raw FROM landed GROUP BY role_id, source, url)"
+
+
+def chosen_sql(tracked: str | None = None, answers: str = ANSWERS_SQL, landed: str = "true") -> str:
+    return f"""{gathered_sql(landed)},
+{tracked or O.tracked_cte()},
+{answers},
 cand AS (
-  SELECT * FROM gathered g
+  SELECT g.* EXCLUDE (llm_raw), a.llm_raw FROM gathered g JOIN answers a USING (role_id, source, url)
   WHERE {O.salary_ok_sql(RUN)} AND {O.company_ok_sql(RUN)} AND {O.employment_ok_sql(RUN)}
     AND NOT EXISTS (SELECT 1 FROM tracked t WHERE t.url = g.url)
 ),
@@ -89,6 +100,15 @@ SELECT role_id, seq, source, board_ord, search_cell, job_work_type FROM gathered
      .select("role_id", "seq", "source", "board_ord", "search_cell", "job_work_type"))
 
 
+# ---- D9: every gathered posting with its model answer ---------------------------------
+register("score_attach", f"""
+WITH {gathered_sql()},
+answers AS (SELECT role_id, source, url, min(llm_raw) AS raw FROM landed GROUP BY role_id, source, url)
+SELECT g.role_id, g.source, g.seq, g.url, a.raw FROM gathered g LEFT JOIN answers a USING (role_id, source, url)
+""")(lambda spark, d: R.attach_responses(R.gather(landed_postings(spark, d, CFG), CFG), responses(spark, d),
+                                         dedup.gather_bound(CFG)).select("role_id", "source", "seq", "url", "raw"))
+
+
 # ---- per-role results -----------------------------------------------------------------
 register("role_results", f"""
 WITH {chosen_sql()}
@@ -107,8 +127,8 @@ def _full(spark, d):
     return out.select(*[format_ts(c).alias(c) if c == "posted_at" else F.col(c) for c in FULL_COLS])
 
 
-def merged_sql() -> str:
-    return f"""{chosen_sql()},
+def merged_sql(tracked: str | None = None, answers: str = ANSWERS_SQL, landed: str = "true") -> str:
+    return f"""{chosen_sql(tracked, answers, landed)},
 mm AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY match_score DESC, role_ord, rank) AS mr FROM chosen),
 merged AS (SELECT * EXCLUDE (mr) FROM mm WHERE mr = 1)"""
 
@@ -119,3 +139,27 @@ SELECT url, role_id, seq, title, company, source, strftime(posted_at, {TS_FMT})
        match_score, status, notes
 FROM merged
 """)(_full)
+
+
+# ---- H1 from raw payloads: adapters, partitioned landing, pruned read, run -----------------
+def payload_landed(spark, d):
+    """All boards' payloads parsed, landed by board and day, and read back for
+    the run's boards and window only."""
+    p = postings(spark, d)
+    cards = html_cards.landed_from_pages(fixture_pages.card_pages(p), CFG)
+    feeds = json_boards.landed_from_payloads(fixture_pages.json_payloads(p), fixture_pages.rss_feeds(p), CFG)
+    path = f"{checkpoint_dir(spark)}/payload-landing-{uuid.uuid4().hex}"
+    landed.write_landed(cards.unionByName(feeds, allowMissingColumns=True), path)
+    return landed.read_landed(spark, path, [b.name for b in CFG.enabled_boards], RUN.run_ts, RUN.posted_within_hours)
+
+
+def _full_payloads(spark, d):
+    rows = payload_landed(spark, d)
+    answers = rows.select("role_id", "source", "url", F.format_string(
+        '{"match_score": %d}', F.pmod(F.length("description"), F.lit(101)).cast("int")).alias("raw"))
+    out = R.full_run(rows, tracked_seed(spark, d), answers, CFG)
+    return out.select("url", "role_id", "title", "company", "source", format_ts("posted_at").alias("posted_at"),
+                      "job_work_type", "match_score", "status", "notes")
+
+
+register("full_run_payloads")(_full_payloads)

@@ -51,9 +51,11 @@ SELECT seq, {O.required_years_sql('description')} AS required_years FROM p
 
 # ---- E8 ---------------------------------------------------------------------
 def _experience_adjust(spark, d):
-    df = pair_roles(postings(spark, d).select("seq", "description"), CFG)
-    req = scoring.required_years("description")
-    return df.select("role_id", "seq", scoring.experience_adjust(req, "years", "sigma").alias("experience_adj"))
+    # the texts are scanned once per posting, before the role fan-out
+    known = scoring.posting_features(postings(spark, d).select("seq", "title", "description")).select(
+        "seq", "required_years")
+    return pair_roles(known, CFG).select(
+        "role_id", "seq", scoring.experience_adjust("required_years", "years", "sigma").alias("experience_adj"))
 
 
 register("experience_adjust", f"""
@@ -132,23 +134,19 @@ SELECT role_id, rank, seq, url, match_score FROM ranked WHERE rank <= {RUN.max_j
 """)(_topk)
 
 
-# ---- F2 (k = 500 so that the skipped branch is exercised) ------------------
-STATUS_K = 500
-
-
+# ---- F2: every scored row ---------------------------------------------------
 def _status(spark, d):
-    top = select.status_notes(select.topk_per_role(_scored(spark, d), STATUS_K), RUN.min_match_score)
-    return top.select("role_id", "rank", "seq", "match_score", "status", "notes")
+    return select.status_notes(_scored(spark, d), RUN.min_match_score).select(
+        "role_id", "seq", "match_score", "status", "notes")
 
 
 register("status_notes", f"""
-WITH {O.landed_ctes()}, {O.scored_cte('landed', 'base_score')},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY {TOPK_ORDER}) AS rank FROM scored)
-SELECT role_id, rank, seq, match_score,
+WITH {O.landed_ctes()}, {O.scored_cte('landed', 'base_score')}
+SELECT role_id, seq, match_score,
   CASE WHEN match_score < {RUN.min_match_score} THEN 'skipped' ELSE 'pending' END AS status,
   CASE WHEN match_score < {RUN.min_match_score}
        THEN 'score ' || match_score || ' < threshold {RUN.min_match_score}' ELSE 'ready for manual review' END AS notes
-FROM ranked WHERE rank <= {STATUS_K}
+FROM scored
 """)(_status)
 
 

@@ -90,18 +90,29 @@ def gather(landed: DataFrame, cfg: SearchConfig, materialize: bool = True) -> Da
     return materialize_df(gathered, "gathered") if materialize else gathered
 
 
+ANSWER_KEY = ["role_id", "source", "url"]
+
+
+def one_answer(responses: DataFrame) -> DataFrame:
+    """One model answer per (role, board, url): the latest if answers carry
+    ``scored_at``, else the first in text order."""
+    best = F.max_by("raw", "scored_at") if "scored_at" in responses.columns else F.min("raw")
+    return responses.groupBy(*ANSWER_KEY).agg(best.alias("raw"))
+
+
 def attach_responses(df: DataFrame, responses: DataFrame, row_bound: int | None = None) -> DataFrame:
-    """Model answers per (role, posting); a posting without one parses as 0.
+    """Model answers per (role, board, url); a posting without one parses as 0.
 
-    With a bounded left side, the answers table is first probed with the
-    broadcast keys (streamed once, never shuffled)."""
-    answers = responses.select("role_id", "seq", "raw")
+    The rows of ``df`` stay as many as they are: answers are reduced to one
+    per key first. With a bounded left side, the answers table is probed with
+    the broadcast keys before that (streamed once, never shuffled); the answers
+    themselves are as wide as models wrote them, so Spark chooses their join.
+    """
+    answers = responses
     if row_bound is not None:
-        keys = bounded_broadcast(df.select("role_id", "seq"), row_bound)
-        answers = answers.join(keys, on=["role_id", "seq"], how="left_semi")
-        # A model answer is at most a few KB of JSON.
-        return df.join(bounded_broadcast(answers, row_bound, row_bytes=8192), on=["role_id", "seq"], how="left")
-    return df.join(answers, on=["role_id", "seq"], how="left")
+        keys = bounded_broadcast(df.select(*ANSWER_KEY).distinct(), row_bound, row_bytes=2048)
+        answers = answers.join(keys, on=ANSWER_KEY, how="left_semi")
+    return df.join(one_answer(answers), on=ANSWER_KEY, how="left")
 
 
 def score(gathered: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig,
