@@ -76,14 +76,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _variants(fps: DataFrame, segments: int) -> DataFrame:
-    """(key, bit, fp): each segment of each fingerprint with one bit deleted."""
+    """(bit, part, fp): each segment of each fingerprint with one bit deleted,
+    dealt out by (bit, part). Only bit and fp travel, as they give the part."""
     width = 64 // segments
     low = [width * s for s in range(segments)]
     high = [*low[1:], 64]
     mask = "CASE " + " ".join(
         f"WHEN bit < {b} THEN {_signed(((1 << b) - 1) ^ ((1 << a) - 1))}L" for a, b in zip(low, high, strict=True)) + " END"
-    kept = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
-    return kept.selectExpr(f"fp & ({mask}) & ~shiftleft(1L, bit) AS part", "bit", "fp")
+    part = F.expr(f"fp & ({mask}) & ~shiftleft(1L, bit)")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = fps.repartition(tasks, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    return kept.repartition(F.col("bit"), part).select("bit", part.alias("part"), "fp")
 
 
 def _signed(value: int) -> int:
@@ -99,21 +102,21 @@ def links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
         raise ValueError("max_distance must be 0 to 3")
     variants = _variants(fps, max_distance // 2 + 1)
     near = f"bit_count(a ^ b) <= {max_distance}"
-    buckets = written(variants.groupBy("part", "bit").agg(
-        F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-buckets")
-    pairs = buckets.where("n = 2").where(near).select("a", "b")
+    # the members of buckets of two and more; both sides read the variants as they are dealt out
+    sizes = variants.groupBy("bit", "part").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(variants.join(sizes.hint("shuffle_hash"), ["bit", "part"]), "simhash-members")
 
-    some = variants.join(buckets.where(f"n > 2 AND n <= {BUCKET}").select("part", "bit"), ["part", "bit"])
-    left, right = some.withColumnRenamed("fp", "a"), some.withColumnRenamed("fp", "b")
-    groups = left.join(right, ["part", "bit"]).where(f"a < b AND {near}").select("a", "b")
+    some = members.where(f"n <= {BUCKET}")
+    left, right = some.withColumnRenamed("fp", "a"), some.select("bit", "part", F.col("fp").alias("b"))
+    groups = left.join(right, ["bit", "part"]).where(f"a < b AND {near}").select("a", "b")
 
-    crowded = variants.join(buckets.where(f"n > {BUCKET}").select("part", "bit"), ["part", "bit"]).select("fp").distinct()
+    crowded = members.where(f"n > {BUCKET}").select("fp").distinct()
     masks = [_signed(((1 << 64) - 1) ^ sum(1 << i for i in bits)) for bits in combinations(range(64), max_distance)]
     deleted = crowded.select("fp", F.posexplode(F.array(*map(F.lit, masks))).alias("which", "mask"))
     stars = deleted.groupBy("which", (F.col("fp").bitwiseAND(F.col("mask"))).alias("part")).agg(
         F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where("size(all) > 1")
     stars = stars.select("a", F.explode("all").alias("b")).where("a < b")
-    return pairs.unionAll(groups).unionAll(stars).distinct()
+    return groups.unionAll(stars).distinct()
 
 
 def classes(prints: DataFrame, max_distance: int = 2) -> DataFrame:
