@@ -44,7 +44,8 @@ KEPT = 1024
 #: How far, in standard errors, a kept feature is commoner among positives.
 CLEAR = 6.0
 CLASSIFIERS = 3
-EPOCHS = 25
+#: Steps of gradient descent, about, over batches of both kinds of examples.
+STEPS = 600
 THRESHOLD = 0.7
 #: Lengths of the word beginnings that are features besides the word.
 BEGINNINGS = (4, 5)
@@ -99,7 +100,8 @@ class Model:
 
         def score(text: str | None) -> float:
             # sorted, so that equal texts get equal scores in any order of words
-            return float(1 / (1 + np.exp(-(self.bias + sum(weight_of[f] for f in sorted(find(text)))))))
+            logit = self.bias + sum(weight_of[f] for f in sorted(find(text)))
+            return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
         return score
 
@@ -135,8 +137,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         w = np.zeros(len(kept) + 1)
         m, v, step = np.zeros_like(w), np.zeros_like(w), 0
         w[-1] = -2.0
-        for _ in range(EPOCHS):
-            batches = max(1, min(len(xp), len(xu)) // 128)
+        batches = max(1, min(len(xp), len(xu)) // 128)
+        for _ in range(-(-STEPS // batches)):
             pi = np.array_split(rng.permutation(len(xp)), batches)
             ui = np.array_split(rng.permutation(len(xu)), batches)
             for a, b in zip(pi, ui, strict=True):
