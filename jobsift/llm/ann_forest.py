@@ -144,7 +144,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     """(query_id, rank, id, score): the ``k`` nearest found for each row that
     ``is_query`` (a condition on ``id``) picks, among all other rows."""
     spark = vectors.sparkSession
-    rows = valid(vectors, id_col, vector_col)
+    rows = valid(vectors, id_col, vector_col).distinct()
     few = Window.partitionBy("v").orderBy("id")
     rows = written(rows.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).drop("n"), "ann-rows")
     queries = valid(vectors, id_col, vector_col).where(is_query).groupBy("id").agg(F.min("v").alias("v"))
