@@ -2,44 +2,63 @@
 
 ``score_with`` is where a real model scorer plugs in: a batch function over
 pandas frames run by ``mapInPandas`` after all cheap filters, with
-per-partition initialisation and failures mapped to a zero score.
+per-partition initialisation; a row that fails scores zero and says why.
 
-``lexical_match`` is a stand-in scorer computed entirely with DataFrame
-operations: TF-IDF weights over whole descriptions and resumes, and the
-cosine of each (posting, role) pair from a term join. It is not the same
-number a language model would produce.
+``lexical_match`` is a stand-in scorer: TF-IDF weights over whole descriptions
+and resumes, and the cosine of each landed (posting, role) pair. It is not the
+same number a language model would produce.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: Document frequencies are counted for this many hash values of terms, so
+#: their number is fixed whatever the corpus.
+BUCKETS = 1 << 16
 
 
 def score_with(df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.Series]],
                cols: list[str]) -> DataFrame:
-    """Append ``raw`` (the scorer's answer text) to every row.
+    """Append ``raw`` (the scorer's answer text) and ``error`` to every row.
 
     ``make_scorer`` is called once per partition (model load, client setup);
     the returned function maps a pandas frame of ``cols`` to answer strings.
-    A failing batch yields NULL answers, which parse to score 0.
+    If a batch fails, its rows are scored one by one; a row that fails has a
+    NULL answer, which parses to score 0, and the message in ``error``.
     """
-    out_schema = T.StructType(df.select(*cols).schema.fields + [T.StructField("raw", T.StringType())])
+    out_schema = T.StructType(df.select(*cols).schema.fields + [T.StructField("raw", T.StringType()),
+                                                                T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for pdf in batches:
+            errors: list[str | None] = [None] * len(pdf)
             try:
-                raw = scorer(pdf).astype(object)
-            except Exception:  # noqa: BLE001 - a failed call scores 0
-                raw = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            yield pdf.assign(raw=raw.where(raw.notna(), None))
+                raw = list(scorer(pdf))
+            except Exception:  # noqa: BLE001 - find the rows that fail
+                raw = []
+                for i in range(len(pdf)):
+                    try:
+                        raw.append(scorer(pdf.iloc[i:i + 1]).iloc[0])
+                    except Exception as e:  # noqa: BLE001 - a failed call scores 0
+                        raw.append(None)
+                        errors[i] = f"{type(e).__name__}: {e}"[:500]
+            raw = [None if pd.isna(x) else x for x in raw]
+            yield pdf.assign(raw=pd.Series(raw, index=pdf.index, dtype=object),
+                             error=pd.Series(errors, index=pdf.index, dtype=object))
 
     return df.select(*cols).mapInPandas(run, out_schema)
 
@@ -59,41 +78,63 @@ def keyword_scorer():
     return score
 
 
-def term_weights(docs: DataFrame, key: list[str], text: str, idf: DataFrame) -> DataFrame:
-    """(key..., term, w) with w = tf * idf over the whole text."""
-    toks = docs.select(*key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("term"))
-    tf = toks.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.join(idf, on="term").select(*key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+def _bucket(term: str) -> int:
+    return int(hashlib.md5(term.encode()).hexdigest()[:4], 16)
 
 
-def inverse_document_frequency(postings: DataFrame, key: str, text: str) -> DataFrame:
-    """idf(t) = ln((N + 1) / (df(t) + 1)) over the postings corpus (N is one
-    scalar count; document frequencies are a partial-aggregated count)."""
-    n_docs = postings.count()
-    terms = postings.select(key, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0)))).alias("term"))
-    dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return dfreq.select("term", F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1)).alias("idf"))
+def document_frequencies(postings: DataFrame, text: str) -> tuple[int, dict[int, int]]:
+    """Number of postings, and of postings with a term of each hash value: one
+    partial aggregation of at most BUCKETS + 1 rows for each task."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0)))
+    hashed = F.array_distinct(F.transform(terms, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int")))
+    counts = postings.select(F.explode(F.array_append(hashed, F.lit(-1))).alias("b")).groupBy("b").agg(
+        F.count(F.lit(1)).alias("n")).toArrow()
+    found = dict(zip(counts.column("b").to_pylist(), counts.column("n").to_pylist()))
+    return found.pop(-1, 0), found
 
 
-def lexical_match(postings: DataFrame, resumes: DataFrame, role_ids: list[int], key: str = "seq",
+def lexical_match(landed: DataFrame, corpus: DataFrame, resumes: DataFrame, key: str = "seq",
                   text: str = "description") -> DataFrame:
-    """(role_id, key, lexical_score 0..100) for every posting and role: the
-    cosine of TF-IDF vectors (0 without a shared term).
-
-    Posting terms are joined to the (small) resume term table on ``term``;
-    dot products and norms are partial-aggregated sums.
+    """(role_id, key, lexical_score 0..100) of every landed (posting, role)
+    row: the cosine of TF-IDF vectors (0 without a shared term), with
+    idf(t) = ln((N + 1) / (df(t) + 1)) over ``corpus``.
+
+    The fixed-size frequencies and the resumes (one per role, bounded by
+    configuration) go to the tasks; each row is then scored where it is, with
+    no shuffle. Rows of one posting follow each other after the role fan-out,
+    so its terms are counted once.
     """
-    idf = inverse_document_frequency(postings, key, text)
-    pw = term_weights(postings, [key], text, idf)
-    rw = term_weights(resumes, ["role_id"], "resume_text", idf)
-    pnorm = pw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn"))
-    rnorm = rw.groupBy("role_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
-    dots = (pw.join(rw.withColumnRenamed("w", "rw"), on="term")
-              .groupBy("role_id", key).agg(F.sum(F.col("w") * F.col("rw")).alias("dot")))
-    cos = (dots.join(pnorm, on=key).join(rnorm, on="role_id")
-               .select("role_id", key, F.try_divide(F.col("dot"), F.col("pn") * F.col("rn")).alias("cos")))
-    pairs = postings.select(key, F.explode(F.array(*[F.lit(r) for r in role_ids])).alias("role_id"))
-    scored = pairs.join(cos, on=["role_id", key], how="left")
-    return scored.select("role_id", key, F.bround(F.coalesce(F.col("cos"), F.lit(0.0)) * 100, 0).cast("int")
-                         .alias("lexical_score"))
+    n_docs, found = document_frequencies(corpus, text)
+    roles = {r["role_id"]: r["resume_text"] for r in resumes.select("role_id", "resume_text").collect()}
+    shared = landed.sparkSession.sparkContext.broadcast((n_docs, found, roles))
+
+    def run(batches):
+        n, frequency, texts = shared.value
+        pattern = regex.compile(TOKEN)
+
+        @lru_cache(maxsize=1 << 17)
+        def idf(term: str) -> float:
+            return math.log((n + 1) / (frequency.get(_bucket(term), 0) + 1))
+
+        def vector(t: str | None) -> dict[str, float]:
+            return {w: c * idf(w) for w, c in Counter(pattern.findall((t or "").lower())).items()}
+
+        def norm(v: dict[str, float]) -> float:
+            return math.sqrt(math.fsum(x * x for x in v.values()))
+        role_vectors = {r: (v, norm(v)) for r, v in ((r, vector(t)) for r, t in texts.items())}
+        last, mine, size = object(), {}, 0.0
+        for batch in batches:
+            scores = []
+            for role, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if t != last:
+                    last, mine = t, vector(t)
+                    size = norm(mine)
+                other, length = role_vectors.get(role, ({}, 0.0))
+                dot = math.fsum(x * mine[w] for w, x in other.items() if w in mine)
+                scores.append(round(100 * dot / (size * length)) if size * length else 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(scores, pa.int32())], ["role_id", key, "lexical_score"])
+
+    rows = landed.select("role_id", key, text)
+    return rows.mapInArrow(run, T.StructType([rows.schema["role_id"], rows.schema[key],
+                                              T.StructField("lexical_score", T.IntegerType())]))

@@ -26,6 +26,34 @@ def test_lexical_scores_are_bounded_and_identity_is_full(spark):
                                    (3, "python backend services")], "seq long, description string")
     resumes = spark.createDataFrame([(1, "python spark data pipelines"), (2, "cooking")],
                                     "role_id int, resume_text string")
-    got = {(r.role_id, r.seq): r.lexical_score for r in lexical.lexical_match(posts, resumes, [1, 2]).collect()}
-    assert len(got) == 6 and all(0 <= v <= 100 for v in got.values())
+    landed = posts.selectExpr("explode(array(1, 2)) AS role_id", "seq", "description").filter("NOT (role_id = 2 AND seq = 1)")
+    got = {(r.role_id, r.seq): r.lexical_score for r in lexical.lexical_match(landed, posts, resumes).collect()}
+    assert len(got) == 5 and all(0 <= v <= 100 for v in got.values())
     assert got[(1, 1)] == 100 and got[(1, 2)] == 0 and got[(2, 2)] > 0 and got[(1, 3)] > 0
+
+
+def test_a_failing_row_does_not_take_its_batch_along(spark):
+    import pandas as pd
+
+    def make():
+        def score(pdf):
+            if (pdf["seq"] == 2).any():
+                raise ValueError("no answer")
+            return pd.Series(["ok"] * len(pdf), index=pdf.index)
+        return score
+    got = {r.seq: (r.raw, r.error) for r in lexical.score_with(spark.range(1, 5).withColumnRenamed("id", "seq"), make, ["seq"]).collect()}
+    assert got == {1: ("ok", None), 2: (None, "ValueError: no answer"), 3: ("ok", None), 4: ("ok", None)}
+
+
+def test_sightings_expire_and_late_rows_are_dropped(spark):
+    d = tempfile.mkdtemp(prefix="jobsift-feed-")
+    lots = [[(1, "2024-01-01 00:00:00", 7)], [(2, "2024-01-01 05:00:00", 8)],
+            [(3, "2024-01-01 05:30:00", 7), (4, "2024-01-01 05:30:00", 8), (5, "2024-01-01 00:30:00", 9)]]
+    for lot in lots:
+        df = spark.createDataFrame(lot, "event_id long, t string, user_id long").selectExpr(
+            "event_id", "CAST(t AS TIMESTAMP_NTZ) AS ts", "user_id")
+        df.coalesce(1).write.mode("append").parquet(os.path.join(d, "feed"))
+        out = incremental.first_sightings(spark, os.path.join(d, "feed"), "*.parquet", df.schema, ["user_id"], "ts", "1 hour",
+                                          os.path.join(d, "out"), os.path.join(d, "ckpt"))
+    # 3: user 7's first sighting has expired; 4: user 8's has not; 5 is older than the watermark
+    assert sorted(r.event_id for r in out.collect()) == [1, 2, 3]
