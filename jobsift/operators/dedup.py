@@ -183,10 +183,10 @@ def anti_tracked(df: DataFrame, tracked: DataFrame) -> DataFrame:
     return df.join(tracked.select("url"), on="url", how="left_anti")
 
 
-def anti_tracked_bounded(df: DataFrame, tracked: DataFrame, row_bound: int) -> DataFrame:
-    """``anti_tracked`` for a left side of proven size: the tracked table is
-    streamed once against the broadcast URLs (no shuffle of tracked), and the
-    few hits are then removed with a broadcast anti join."""
-    urls = bounded_broadcast(df.select("url"), row_bound, row_bytes=2048)
-    hits = tracked.select("url").join(urls, on="url", how="left_semi")
-    return df.join(bounded_broadcast(hits, row_bound, row_bytes=2048), on="url", how="left_anti")
+def anti_tracked_bounded(df: DataFrame, tracked: DataFrame) -> DataFrame:
+    """``anti_tracked`` for a written left side bounded by configuration:
+    the tracked table is streamed once against its URLs, and the few hits are
+    removed. URLs have no fixed width, so Spark decides on actual sizes whether
+    to broadcast them; the written side is small enough in practice."""
+    hits = tracked.select("url").join(df.select("url"), on="url", how="left_semi")
+    return df.join(hits, on="url", how="left_anti")

@@ -158,14 +158,18 @@ def render(template: str, **cols: Column) -> Column:
     return F.concat(*pieces)
 
 
+def with_summary_prompt(resumes: DataFrame) -> DataFrame:
+    """Resumes with their ``summary_prompt``: once per role, not per posting."""
+    return resumes.withColumn("summary_prompt", render(SUMMARY_TEMPLATE, resume=F.col("resume_text")))
+
+
 def render_prompts(df: DataFrame, contact_name: str = "", contact_email: str = "") -> DataFrame:
-    """Analysis, letter and summary prompts per (posting, role); descriptions
-    cut to the context guards (4000 / 3000 characters)."""
+    """Analysis and letter prompts per (posting, role) that is still to be
+    scored; descriptions cut to the context guards (4000 / 3000 characters)."""
     return (df.withColumn("analysis_prompt", render(
                 ANALYSIS_TEMPLATE, resume=F.col("resume_text"), title=F.col("title"), company=F.col("company"),
                 description=F.substring("description", 1, DESCRIPTION_ANALYSIS_CHARS)))
               .withColumn("letter_prompt", render(
                 LETTER_TEMPLATE, resume=F.col("resume_text"), title=F.col("title"), company=F.col("company"),
                 description=F.substring("description", 1, DESCRIPTION_LETTER_CHARS),
-                name=F.lit(contact_name), email=F.lit(contact_email)))
-              .withColumn("summary_prompt", render(SUMMARY_TEMPLATE, resume=F.col("resume_text"))))
+                name=F.lit(contact_name), email=F.lit(contact_email))))

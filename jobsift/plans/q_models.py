@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.timestamps import format_ts
 from ..operators import dedup, filters, lexical, scoring
-from ..operators.joins import bounded_broadcast
 from ..params import DESCRIPTION_ANALYSIS_CHARS, DESCRIPTION_LETTER_CHARS
 from ..session import checkpoint_dir
 from ..sources import resumes
@@ -29,9 +28,12 @@ def _resumes(spark, d):
 
 # ---- E1: prompts ------------------------------------------------------------------------
 def _prompts(spark, d):
-    df = landed_postings(spark, d, CFG).select("role_id", "seq", "title", "company", "description")
-    # One resume per role; a resume text is bounded at 64 KB for the broadcast decision.
-    df = df.join(bounded_broadcast(_resumes(spark, d), len(CFG.roles), row_bytes=65536), on="role_id", how="left")
+    """Prompts of the rows that need a score: after the cheap filters, and
+    without those whose URL is tracked. Resumes (one per role, of any length)
+    join as Spark sees fit."""
+    cand = dedup.anti_tracked(filters.prefilter(landed_postings(spark, d, CFG), RUN), tracked_seed(spark, d))
+    df = cand.select("role_id", "seq", "title", "company", "description").join(
+        scoring.with_summary_prompt(_resumes(spark, d)), on="role_id", how="left")
     out = scoring.render_prompts(df, CFG.contact_name, CFG.contact_email)
     return out.select("role_id", "seq", F.length("analysis_prompt").cast("bigint").alias("analysis_chars"),
                       F.md5("analysis_prompt").alias("analysis_md5"), F.md5("letter_prompt").alias("letter_md5"),
@@ -57,10 +59,12 @@ _L = _render_sql(scoring.LETTER_TEMPLATE, resume="b.text", title="l.title", comp
 _S = _render_sql(scoring.SUMMARY_TEMPLATE, resume="b.text")
 
 register("render_prompts", f"""
-WITH {O.landed_ctes()}
+WITH {O.landed_ctes()}, {O.tracked_cte()}
 SELECT l.role_id, l.seq, length({_A}) AS analysis_chars, md5({_A}) AS analysis_md5, md5({_L}) AS letter_md5,
        md5({_S}) AS summary_md5
 FROM landed l LEFT JOIN benchmark b ON b.item_id = l.role_id
+WHERE {O.salary_ok_sql(RUN)} AND {O.company_ok_sql(RUN)} AND {O.employment_ok_sql(RUN)}
+  AND NOT EXISTS (SELECT 1 FROM tracked t WHERE t.url = l.url)
 """)(_prompts)
 
 
@@ -68,7 +72,7 @@ FROM landed l LEFT JOIN benchmark b ON b.item_id = l.role_id
 def score_hook_plan(spark, d):
     gathered = R.gather(landed_postings(spark, d, CFG), CFG)
     bound = dedup.gather_bound(CFG)
-    cand = dedup.anti_tracked_bounded(filters.prefilter(gathered, RUN), tracked_seed(spark, d), bound)
+    cand = dedup.anti_tracked_bounded(filters.prefilter(gathered, RUN), tracked_seed(spark, d))
     answered = lexical.score_with(cand, lexical.keyword_scorer,
                                   ["role_id", "seq", "url", "title", "description", "role_terms"])
     return scoring.parse_response(answered, "raw")

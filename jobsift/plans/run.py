@@ -104,14 +104,14 @@ def attach_responses(df: DataFrame, responses: DataFrame, row_bound: int | None
     """Model answers per (role, board, url); a posting without one parses as 0.
 
     The rows of ``df`` stay as many as they are: answers are reduced to one
-    per key first. With a bounded left side, the answers table is probed with
-    the broadcast keys before that (streamed once, never shuffled); the answers
-    themselves are as wide as models wrote them, so Spark chooses their join.
+    per key first. With a bounded, written left side, the answers table is
+    probed with its keys before that. Neither URLs nor answers have a width
+    that is known beforehand, so Spark chooses the joins from actual sizes
+    (the keys of a written side are small enough to be broadcast).
     """
     answers = responses
     if row_bound is not None:
-        keys = bounded_broadcast(df.select(*ANSWER_KEY).distinct(), row_bound, row_bytes=2048)
-        answers = answers.join(keys, on=ANSWER_KEY, how="left_semi")
+        answers = answers.join(df.select(*ANSWER_KEY).distinct(), on=ANSWER_KEY, how="left_semi")
     return df.join(one_answer(answers), on=ANSWER_KEY, how="left")
 
 
@@ -124,7 +124,7 @@ def score(gathered: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: Se
     if "lvl_lo" not in gathered.columns:
         gathered = attach_roles(gathered, cfg)
     pre = attach_responses(filters.prefilter(gathered, cfg.run), responses, row_bound)
-    cand = (dedup.anti_tracked_bounded(pre, tracked, row_bound) if row_bound is not None
+    cand = (dedup.anti_tracked_bounded(pre, tracked) if row_bound is not None
             else dedup.anti_tracked(pre, tracked))
     parsed = scoring.parse_response(cand, "raw")
     return scoring.adjust_scores(parsed, base="match_score", out="match_score")

@@ -126,15 +126,14 @@ def letter_paths(results: DataFrame, out_dir: str = "applications") -> DataFrame
                      .withColumn("collision", F.col("_n") > 1).drop("_n"))
 
 
-def with_letters(results: DataFrame, letters: DataFrame, row_bound: int) -> DataFrame:
+def with_letters(results: DataFrame, letters: DataFrame) -> DataFrame:
     """Results with the text of their letter in ``cover_letter`` (empty where
     none was written, and for results that are not pending).
 
     ``letters`` (role_id, source, url, letter) may be large: it is probed with
-    the keys of the pending results, at most ``row_bound``."""
+    the keys of the pending results first."""
     keys = ["role_id", "source", "url"]
-    pending = bounded_broadcast(results.filter(F.col("status") == "pending").select(*keys).distinct(), row_bound,
-                                row_bytes=2048)
+    pending = results.filter(F.col("status") == "pending").select(*keys).distinct()
     text = letters.join(pending, on=keys, how="left_semi").groupBy(*keys).agg(F.min("letter").alias("cover_letter"))
     return results.drop("cover_letter").join(text, on=keys, how="left").withColumn(
         "cover_letter", F.coalesce("cover_letter", F.lit("")))

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import bounded_broadcast
 from ..session import materialize
 
 TRACKED_SCHEMA = T.StructType([
@@ -59,22 +58,20 @@ def as_tracked(apps: DataFrame, run_ts: str) -> DataFrame:
     return apps.select(*cols)
 
 
-def upsert(tracked: DataFrame, apps: DataFrame, run_ts: str, apps_row_bound: int | None = None) -> DataFrame:
+def upsert(tracked: DataFrame, apps: DataFrame, run_ts: str) -> DataFrame:
     """Insert new URLs; on an existing URL replace only score, reasons, letter,
     status and notes, keeping everything else (title, posted_at, created_at...).
 
     Several writes to one URL in a run collapse first (the last write, in
-    role then rank order, wins). When ``apps`` is bounded by configuration
-    (roles x max_jobs) it is broadcast and the tracked table is streamed
-    without a shuffle; otherwise AQE picks the join strategy. The collapsed
-    applications are written once, so the scoring behind them runs once.
+    role then rank order, wins). The collapsed applications are written once,
+    so the scoring behind them runs once and Spark knows their size: a few
+    (roles x max_jobs in a run) are broadcast and the tracked table is streamed
+    without a shuffle; letters have no fixed width, so no broadcast is forced.
     """
     if "role_ord" in apps.columns and "rank" in apps.columns:
         apps = last_write_per_url(apps, ["role_ord", "rank"])
     new = materialize(as_tracked(apps, run_ts), "applications")
     nb = new.select("url", *[F.col(c).alias(f"_n_{c}") for c in REPLACE_ON_CONFLICT]).withColumn("_hit", F.lit(True))
-    if apps_row_bound is not None:
-        nb = bounded_broadcast(nb, apps_row_bound, row_bytes=8192)
     updated = tracked.join(nb, on="url", how="left").select(
         *[(F.when(F.col("_hit"), F.col(f"_n_{f.name}")).otherwise(F.col(f.name)) if f.name in REPLACE_ON_CONFLICT
            else F.col(f.name)).alias(f.name) for f in TRACKED_SCHEMA.fields])

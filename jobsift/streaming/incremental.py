@@ -39,7 +39,7 @@ def run_batch(batch: DataFrame, batch_id: int, state_root: str, responses: DataF
     current = tracker.current_snapshot(spark, state_root)
     results = R.full_run(batch, current, responses, cfg)
     bound = len(cfg.roles) * cfg.run.max_jobs
-    merged = tracker.upsert(current, results, cfg.run.run_ts, apps_row_bound=bound)
+    merged = tracker.upsert(current, results, cfg.run.run_ts)
     tracker.write_snapshot(merged, state_root, stream, batch_id)
 
 

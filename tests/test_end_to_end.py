@@ -43,7 +43,7 @@ def test_payloads_to_tracker(spark):
     assert len({r.url for r in rows}) == len(rows)
     assert all(r.status in ("pending", "skipped") for r in rows)
     assert {r.source for r in rows} <= {b.name for b in CFG.boards}
-    tracker.write_snapshot(tracker.upsert(current, results, CFG.run.run_ts, apps_row_bound=CFG.run.max_jobs), root)
+    tracker.write_snapshot(tracker.upsert(current, results, CFG.run.run_ts), root)
     snap = tracker.current_snapshot(spark, root)
     assert snap.count() == len(rows)
     # a second run skips every tracked URL

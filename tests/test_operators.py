@@ -102,11 +102,11 @@ def test_upsert_keeps_identity_columns_and_is_idempotent(spark):
                                   ("Other", "Beta", "u2", "builtin", 70, "pending", "ready for manual review")],
                                  "title string, company string, url string, source string, match_score int, "
                                  "status string, notes string")
-    once = tracker.upsert(base, apps, RUN_TS, apps_row_bound=10)
+    once = tracker.upsert(base, apps, RUN_TS)
     rows = {r.url: r for r in once.collect()}
     assert rows["u1"].title == "Old title" and rows["u1"].match_score == 80 and rows["u1"].status == "pending"
     assert str(rows["u1"].created_at) == "2024-01-01 00:00:00" and str(rows["u2"].created_at) == "2024-01-31 00:00:00"
-    twice = tracker.upsert(once, apps, RUN_TS, apps_row_bound=10)
+    twice = tracker.upsert(once, apps, RUN_TS)
     assert sorted(map(tuple, twice.drop("match_reasons", "gap_reasons").collect()), key=repr) == \
         sorted(map(tuple, once.drop("match_reasons", "gap_reasons").collect()), key=repr)
     stats = {r.status: r.n for r in tracker.status_stats(twice).collect()}

@@ -13,6 +13,22 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pruning_reaches_through_the_run(spark):
+    """Landed once by board and day; the run's keys read only its boards and days."""
+    from jobsift.plans.q_runs import payload_landed
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    p = plan(dedup.capped_keys(R.board_rules(R.with_mapped_work_type(payload_landed(spark, SF_SMALL)), FIXTURE_CONFIG),
+                               FIXTURE_CONFIG, carry=("url", "board_ord")))
+    assert p.count("PartitionFilters: []") == 0 and "posted_date" in p.split("PartitionFilters: [")[1].split("]")[0]
+    assert "description" not in p
+
+
+def test_upsert_reads_tracker_twice_and_scores_once(spark):
+    p = plan(E.queries()["upsert_tracked"](spark, SF_SMALL))
+    # tracker rows and tracker URLs, and the written applications; no document is read again
+    assert "documents.parquet" not in p and p.count("regexp_extract_all") == 0
+
+
 def test_landed_scan_prunes_partitions_and_pushes_the_window(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     p = plan(E.queries()["pruned_scan"](spark, SF_SMALL))
@@ -52,5 +68,5 @@ def test_scoring_hook_sits_above_filters_and_tracked_join(spark):
 def test_tracked_probe_does_not_shuffle_tracked(spark):
     gathered = R.gather(landed_postings(spark, SF_SMALL, FIXTURE_CONFIG), FIXTURE_CONFIG)
     from jobsift.sources.fixtures import tracked_seed
-    p = plan(dedup.anti_tracked_bounded(gathered, tracked_seed(spark, SF_SMALL), dedup.gather_bound(FIXTURE_CONFIG)))
+    p = plan(dedup.anti_tracked_bounded(gathered, tracked_seed(spark, SF_SMALL)))
     assert "BroadcastHashJoin" in p and "LeftSemi" in p and "LeftAnti" in p

@@ -87,9 +87,9 @@ def test_letters_are_joined_to_pending_results(spark):
     df = results(spark).withColumn("role_id", F.lit(1))
     letters = spark.createDataFrame([(1, "linkedin", "u1", "Dear"), (1, "builtin", "u2", "No")],
                                     "role_id int, source string, url string, letter string")
-    got = {r.url: r.cover_letter for r in export.with_letters(df, letters, 10).collect()}
+    got = {r.url: r.cover_letter for r in export.with_letters(df, letters).collect()}
     assert got == {"u1": "Dear", "u2": ""}
-    assert [r.cover_letter for r in export.letter_rows(export.with_letters(df, letters, 10)).collect()] == ["Dear"]
+    assert [r.cover_letter for r in export.letter_rows(export.with_letters(df, letters)).collect()] == ["Dear"]
 
 
 def test_pointer_cut_off_while_written_does_not_count(spark):
