@@ -92,3 +92,9 @@ def materialize(df, tag: str):
     path = os.path.join(checkpoint_dir(spark), "materialized", f"{tag}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_materialized(spark) -> None:
+    """Remove what ``materialize`` wrote, once a run's results are stored and
+    none of its DataFrames is read again."""
+    delete_folder(spark, f"{checkpoint_dir(spark)}/materialized")

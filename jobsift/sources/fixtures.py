@@ -8,6 +8,8 @@ reads ``documents.text``).
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,16 +53,17 @@ POSTINGS_COLUMNS = [
 POSTINGS_SQL = "SELECT " + ",\n ".join(POSTINGS_COLUMNS) + "\nFROM documents"
 
 
-_VIEWS: dict = {}
+# Plans by session; a session's plans go with it.
+_VIEWS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def _memo(spark: SparkSession, *key):
     """Lazy views are plans: build (and analyse) each once per session."""
     def deco(build):
-        k = (id(spark._jsparkSession),) + key
-        if k not in _VIEWS:
-            _VIEWS[k] = build()
-        return _VIEWS[k]
+        plans = _VIEWS.setdefault(spark, {})
+        if key not in plans:
+            plans[key] = build()
+        return plans[key]
     return deco
 
 
@@ -120,7 +123,7 @@ def landed_postings(spark: SparkSession, sf_dir: str, cfg: SearchConfig = FIXTUR
             # Role-independent scoring features before the role fan-out.
             p = posting_features(p)
         return attach_cells(assign_cells(p, cfg), cfg)
-    return _memo(spark, "landed", sf_dir, features, id(cfg))(build)
+    return _memo(spark, "landed", sf_dir, features, cfg)(build)
 
 
 TRACKED_CREATED_AT = "2024-01-01 00:00:00"
