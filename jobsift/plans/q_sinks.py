@@ -137,8 +137,7 @@ def _letters(spark, d):
     landed = landed_postings(spark, d, CFG)
     letters = landed.select("role_id", "source", "url", F.concat(
         F.lit("Dear "), "company", F.lit(",\n\n"), "description").alias("letter"))
-    results = export.with_letters(R.full_run(*inputs(spark, d), CFG), letters)
-    return export.letter_rows(results)
+    return export.letter_rows(R.full_run(*inputs(spark, d), CFG, letters))
 
 
 register("letter_paths", f"""

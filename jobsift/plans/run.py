@@ -22,6 +22,7 @@ from ..operators.cells import attach_roles, role_terms_col
 from ..operators.joins import bounded_broadcast
 from ..session import materialize as materialize_df
 from ..params import NO_FALLBACK_WORK_TYPE_BOARDS, SearchConfig
+from ..sinks.export import with_letters
 
 # Which board applies which local rule (the others filter server-side or not at all).
 RELEVANCE_BOARDS = ["weworkremotely", "arbeitnow", "greenhouse", "builtin"]
@@ -136,12 +137,15 @@ def choose(scored: DataFrame, cfg: SearchConfig) -> DataFrame:
 
 
 def role_results(landed: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Per-role applications before the URL merge (what each role upserts)."""
+    """Per-role applications before the URL merge."""
     gathered = gather(landed, cfg)
     return choose(score(gathered, tracked, responses, cfg, row_bound=dedup.gather_bound(cfg)), cfg)
 
 
-def full_run(landed: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Merged applications, one per URL (highest score wins)."""
-    return select.merge_roles(role_results(landed, tracked, responses, cfg))
-
+def full_run(landed: DataFrame, tracked: DataFrame, responses: DataFrame, cfg: SearchConfig,
+             letters: DataFrame | None = None) -> DataFrame:
+    """Merged applications, one per URL (highest score wins); these are what
+    the tracker takes. With ``letters`` (role_id, source, url, letter), and
+    unless ``cover_letter`` is off, pending ones carry their letter's text."""
+    merged = select.merge_roles(role_results(landed, tracked, responses, cfg))
+    return with_letters(merged, letters) if letters is not None and cfg.run.cover_letter else merged
