@@ -3,8 +3,8 @@
 The UTF-8 bytes of a document are cut into overlapping chunks that cover all
 of it. FILTERS filters of WIDTH bytes are slid over each chunk (a filter has
 one learned weight for each byte value at each place, so sliding it is a sum
-of table look-ups), max-pooled over the chunk, and put through a small hidden
-layer to one value for each chunk. The document's logit combines the largest,
+of table look-ups), max-pooled over the chunk, and put, with the share of the
+chunk that is text, through a small hidden layer to one value for each chunk. The document's logit combines the largest,
 the smallest and the mean of these values with learned weights; its sigmoid is
 the score.
 
@@ -39,6 +39,8 @@ WIDTH = 5
 FILTERS = 16
 HIDDEN = 16
 EPOCHS = 8
+#: Share of the fitting rows of which a short cut is another example.
+CUTS = 0.3
 THRESHOLD = 0.7
 #: Chunks scored at once.
 BLOCK = 256
@@ -73,7 +75,7 @@ class Network:
 
     def values(self, block: np.ndarray) -> np.ndarray:
         """One value for each chunk."""
-        pooled = self.slide(block).max(axis=1)
+        pooled = with_fill(self.slide(block).max(axis=1), block)
         return np.maximum(pooled @ self.w1 + self.b1, 0) @ self.w2
 
     def score_many(self, texts: list[str | None]) -> list[float]:
@@ -90,6 +92,12 @@ class Network:
         return out
 
 
+def with_fill(pooled: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Pooled responses and the share of each chunk that is text: a short text
+    has weaker maxima without being worse."""
+    return np.concatenate([pooled, (block != 0).mean(axis=1, dtype=np.float32)[:, None]], axis=1)
+
+
 def _blocks(parts):
     group, n = [], 0
     for p in parts:
@@ -115,7 +123,7 @@ def fit_network(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 11) -
     weigh the same."""
     rng = np.random.default_rng(seed)
     f = rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32)
-    w1 = rng.normal(0, 0.4, (FILTERS, HIDDEN)).astype(np.float32)
+    w1 = rng.normal(0, 0.4, (FILTERS + 1, HIDDEN)).astype(np.float32)
     net = Network(f, w1, np.zeros(HIDDEN, np.float32), rng.normal(0, 0.4, HIDDEN).astype(np.float32),
                   np.array([0.3, 0.3, 0.4, 0.0], np.float32))
     if not good or not bad:
@@ -123,6 +131,12 @@ def fit_network(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 11) -
     docs = []
     for label, texts in ((1, good), (0, bad)):
         docs += [(c, label, 0.5 / len(texts)) for c in texts]
+        for c in texts:  # short texts are few: cuts of others stand in for them
+            if rng.random() < CUTS:
+                short = np.zeros((1, CHUNK), np.uint8)
+                n = rng.integers(8, 200)
+                short[0, :n] = c[rng.integers(len(c)), :n]
+                docs.append((short, label, 0.5 / len(texts)))
     params = [net.filters, net.w1, net.b1, net.w2, net.combine]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step, scale = 0, len(docs)
@@ -135,7 +149,7 @@ def fit_network(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 11) -
             ends = np.cumsum([len(c) for c, _, _ in group])
             response = net.slide(block)
             place = response.argmax(axis=1)
-            pooled = np.take_along_axis(response, place[:, None, :], axis=1)[:, 0, :]
+            pooled = with_fill(np.take_along_axis(response, place[:, None, :], axis=1)[:, 0, :], block)
             hidden = np.maximum(pooled @ net.w1 + net.b1, 0)
             value = hidden @ net.w2
             dv, dc = np.zeros_like(value), np.zeros(4)
@@ -150,7 +164,7 @@ def fit_network(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 11) -
                 dv[a + v.argmax()] += g * net.combine[0]
                 dv[a + v.argmin()] += g * net.combine[1]
             dh = np.outer(dv, net.w2) * (hidden > 0)
-            dp = dh @ net.w1.T
+            dp = (dh @ net.w1.T)[:, :FILTERS]
             df = np.zeros_like(net.filters)
             for k in range(WIDTH):
                 np.add.at(df[k], (np.take_along_axis(block, place + k, axis=1), np.arange(FILTERS)[None, :]), dp)
