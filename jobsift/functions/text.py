@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..params import BOARD_BASE_URLS
+from ..params import BOARD_BASE_URLS, JOB_ID_PATTERNS
 
 
 def _col(c) -> Column:
@@ -17,15 +17,6 @@ def strip_tags(c) -> Column:
     return F.regexp_replace(_col(c), r"<[^>]+>", " ")
 
 
-# Job-id patterns per board (first capture group is the id).
-JOB_ID_PATTERNS = {
-    "linkedin": r"/jobs/view/(\d+)",
-    "wellfound": r"/jobs/(\d+)",
-    "workatastartup": r"/jobs/(\d+)",
-    "builtin": r"/jobs/(\d+|[a-z0-9-]+)/?$",
-}
-
-
 def job_id_from_href(href, board: str) -> Column:
     """Board id from a link; NULL when the link carries none."""
     return F.nullif(F.regexp_extract(_col(href), JOB_ID_PATTERNS[board], 1), F.lit(""))

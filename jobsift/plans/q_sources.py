@@ -106,10 +106,10 @@ WITH {O.postings_cte()}
 SELECT source,
   CASE source WHEN 'linkedin' THEN 'https://www.linkedin.com/jobs/view/' || CAST(seq AS VARCHAR)
     WHEN 'wellfound' THEN 'https://wellfound.com/jobs/' || CAST(seq AS VARCHAR) || '-opening'
-    WHEN 'builtin' THEN 'https://builtin.com/job/opening/' || CAST(seq AS VARCHAR)
+    WHEN 'builtin' THEN 'https://builtin.com/' || CASE WHEN seq % 2 = 0 THEN 'jobs/' ELSE 'job/opening/' END || CAST(seq AS VARCHAR)
     WHEN 'roberthalf' THEN 'https://www.roberthalf.com/us/en/job/' || CAST(seq AS VARCHAR)
     ELSE 'https://www.workatastartup.com/jobs/' || CAST(seq AS VARCHAR) END AS url,
-  CASE source WHEN 'builtin' THEN NULL WHEN 'roberthalf' THEN 'JOB-' || CAST(seq AS VARCHAR)
+  CASE source WHEN 'builtin' THEN CASE WHEN seq % 2 = 0 THEN CAST(seq AS VARCHAR) END WHEN 'roberthalf' THEN 'JOB-' || CAST(seq AS VARCHAR)
     ELSE CAST(seq AS VARCHAR) END AS job_id,
   title,
   CASE source WHEN 'roberthalf' THEN 'Robert Half' ELSE company END AS company,

@@ -64,7 +64,8 @@ def card_html(board: str) -> Column:
             .otherwise(F.lit(""))
         return F.concat(F.lit('<div class="job-bounded-responsive"><div class="company-row">'
                               '<a data-id="company-title" href="/company/acme"><span>'), company,
-                        F.lit('</span></a></div><h2><a data-id="job-card-title" href="/job/opening/'), seq,
+                        F.lit('</span></a></div><h2><a data-id="job-card-title" href="'),
+                        F.when(F.col("seq") % 2 == 0, F.lit("/jobs/")).otherwise(F.lit("/job/opening/")), seq,
                         F.lit('">'), title, F.lit("</a></h2>"), t,
                         F.lit('<div class="job-summary">'), esc("description"),
                         F.lit("</div></div>"))
