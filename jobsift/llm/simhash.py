@@ -158,7 +158,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = written(docs.mapInArrow(run, schema), "simhash-rows")
     prints = marked.select(F.col(id_col).cast("long").alias("id"), F.col(name).alias("fp"))
     kept = classes(prints, max_distance).where("winner").select(
-        F.col("fp").alias(name), "root", "component").withColumnsRenamed({"root": "_llm_root", "component": "_llm_least"})
+        F.col("fp").alias(name), F.col("component").alias("_llm_least"))
     rows = marked.join(kept, name).where(F.col(id_col).cast("long").eqNullSafe(F.col("_llm_least")))
-    order = Window.partitionBy("_llm_root").orderBy(text_col)
+    # a class keeps rows of one fingerprint only, so those of one class are together already
+    order = Window.partitionBy(name).orderBy(text_col)
     return rows.withColumn("_llm_rank", F.row_number().over(order)).where("_llm_rank = 1").select(*columns)
