@@ -12,9 +12,10 @@ documents are taken by ascending key until the rest is filled.
 The keys of a source are cut into ranges of equal ratio, STEPS to a factor of
 e. Whatever the weights, a range holds at most 1 / (e * STEPS) of an
 exponential draw, so no source, however large, is sorted in one task: sizes
-are summed for each range first, the ranges prefix-summed, and rows sorted
-only within a range. The boundary document is taken if that brings the source
-nearer to its target.
+are summed for each range first and the ranges prefix-summed; only the one
+range in which a source's rest ends has its rows sorted and summed. All other
+rows stay where they are and are taken or not by their range. The boundary
+document is taken if that brings the source nearer to its target.
 
 Only DataFrame functions are used. Cases: a null or empty text has size 0 and
 gets taken 0; a null source is a source of its own, last in order; equal
@@ -97,20 +98,29 @@ def mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str
         F.xxhash64(text_col).alias("_llm_text"))
     rows = rows.withColumn("_llm_range", F.floor(F.log("_llm_key") * STEPS).cast("int"))
     rows = written(rows, "mix-rows")
-    ranges = written(rows.groupBy("_llm_source", "_llm_range").agg(F.sum("size").alias("_llm_sum")), "mix-ranges")
+    sums = Window.partitionBy("_llm_source").orderBy("_llm_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = written(rows.groupBy("_llm_source", "_llm_range").agg(F.sum("size").alias("_llm_sum")).withColumn(
+        "_llm_before", F.coalesce(F.sum("_llm_sum").over(sums), F.lit(0))), "mix-ranges")
     goal = targets(ranges.groupBy("_llm_source").agg(F.sum("_llm_sum").alias("source_size")))
-    earlier = Window.partitionBy("_llm_source").orderBy("_llm_range").rowsBetween(Window.unboundedPreceding, -1)
-    known = ranges.withColumn("_llm_before", F.coalesce(F.sum("_llm_sum").over(earlier), F.lit(0))).withColumnRenamed(
-        "_llm_source", "_llm_s").join(goal, F.col("_llm_s").eqNullSafe(F.col("_llm_source"))).drop("_llm_s")
-    known = known.withColumnsRenamed({"_llm_source": "_llm_s", "_llm_range": "_llm_r"})
-    rows = rows.join(known, F.col("_llm_source").eqNullSafe(F.col("_llm_s")) & (F.col("_llm_range") == F.col("_llm_r")))
-    inside = Window.partitionBy("_llm_source", "_llm_range").orderBy("_llm_key", "_llm_id", "size", "_llm_text")
-    so_far = F.col("_llm_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    extra = F.when(so_far + F.col("size") / 2 <= rest, 1).otherwise(0)
-    return rows.withColumn("_llm_times", F.least(epochs + extra, F.lit(CAP))).select(
-        *[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", (F.col("size") * F.col("_llm_times")).alias("taken"))
+    goal = goal.withColumn("_llm_epochs", epochs).withColumn(
+        "_llm_rest", F.col("target") - F.col("_llm_epochs") * F.col("source_size")).withColumnRenamed("_llm_source", "_llm_s")
+    # the one range of each source in which the rest ends; those before it are taken, those after it not
+    cut = F.min(F.when((F.col("_llm_before") <= F.col("_llm_rest")) & (F.col("_llm_before") + F.col("_llm_sum") > F.col("_llm_rest")),
+                       F.struct(F.col("_llm_range").alias("at"), F.col("_llm_before").alias("before"))))
+    plan = ranges.join(goal, F.col("_llm_source").eqNullSafe(F.col("_llm_s"))).groupBy(
+        "_llm_s", "source_size", "target", "_llm_epochs", "_llm_rest").agg(cut.alias("_llm_cut"))
+    plan = written(plan, "mix-plan")
+    rows = rows.join(plan, F.col("_llm_source").eqNullSafe(F.col("_llm_s")))
+    whole = rows.where(F.col("_llm_cut").isNull() | (F.col("_llm_range") != F.col("_llm_cut.at"))).withColumn(
+        "_llm_extra", F.coalesce((F.col("_llm_range") < F.col("_llm_cut.at")).cast("int"), F.lit(0)))
+    inside = Window.partitionBy("_llm_source").orderBy("_llm_key", "_llm_id", "size", "_llm_text")
+    so_far = F.col("_llm_cut.before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    parted = rows.where(F.col("_llm_range") == F.col("_llm_cut.at")).withColumn(
+        "_llm_extra", (so_far + F.col("size") / 2 <= F.col("_llm_rest")).cast("int"))
+    times = F.least(F.col("_llm_epochs") + F.col("_llm_extra"), F.lit(CAP))
+    return whole.unionByName(parted).select(
+        *[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
