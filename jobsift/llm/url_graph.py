@@ -12,7 +12,10 @@ are blocked.
 
 Links are counted for each pair of hosts before anything is joined, so a host
 with a third of all pages is one row of the graph for each host it links to.
-Each round is one join and one sum; it is written to the shared folder.
+Each round is one join and one sum; it is written to the shared folder. Rounds
+go on until scores have settled, on paths and cycles of any length: a round
+adds at most DAMPING times what the one before it added, so ROUNDS are always
+enough, and less than SETTLED * DAMPING / (1 - DAMPING) of the sum is missing.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no
 rule, is no part of the graph and is allowed; so is a host no trust or
@@ -23,6 +26,7 @@ empty result. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -31,9 +35,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import discard, written
 
 DAMPING = 0.85
-ROUNDS = 20
-#: Scores have settled when a round adds less than this share to their sum.
+#: Scores have settled when a round adds at most this share to their sum.
 SETTLED = 1e-6
+#: Round n adds at most DAMPING ** n of the seeds' sum, so no graph needs more.
+ROUNDS = math.ceil(math.log(SETTLED) / math.log(DAMPING))
 THRESHOLD = 0.5 * (1 - DAMPING)
 #: An absolute or protocol-relative link and its host.
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
