@@ -97,7 +97,9 @@ def lexical_match(landed: DataFrame, corpus: DataFrame, resumes: DataFrame, key:
                   text: str = "description") -> DataFrame:
     """(role_id, key, lexical_score 0..100) of every landed (posting, role)
     row: the cosine of TF-IDF vectors (0 without a shared term), with
-    idf(t) = ln((N + 1) / (df(t) + 1)) over ``corpus``.
+    idf(t) = ln((N + 1) / (df(t) + 1)) over ``corpus``, where df(t) is the
+    number of postings that hold any term of t's hash value (BUCKETS), not t
+    alone: rare terms weigh less once the vocabulary is larger than that.
 
     The fixed-size frequencies and the resumes (one per role, bounded by
     configuration) go to the tasks; each row is then scored where it is, with
