@@ -15,7 +15,11 @@ exponential draw, so no source, however large, is sorted in one task: sizes
 are summed for each range first and the ranges prefix-summed; only the one
 range in which a source's rest ends has its rows sorted and summed. All other
 rows stay where they are and are taken or not by their range. The boundary
-document is taken if that brings the source nearer to its target.
+document is taken if that brings the source nearer to its target, and no
+document after it is, whether it was taken or not. So a source can miss its
+target by half the size of its longest document, and not by more: where the
+rest is 400,000 words and the first key has a text of a million, nothing is
+taken of the rest.
 
 Only DataFrame functions are used. Cases: a null or empty text has size 0 and
 gets taken 0; a null source is a source of its own, last in order; equal

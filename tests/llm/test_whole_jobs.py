@@ -1,6 +1,8 @@
 """Operators do the whole job where an earlier version stopped short of it."""
 
-from jobsift.llm import url_graph
+from collections import defaultdict
+
+from jobsift.llm import mixing, url_graph
 
 
 # --- 3: URL filter
@@ -16,3 +18,15 @@ def test_scores_settle_on_cycles_and_long_paths(spark):
     want |= {("distrust", f"p{i}"): (1 - d) * d ** i for i in range(41)}
     assert got.keys() == want.keys()
     assert sum(abs(got[k] - want[k]) for k in want) < 1e-5 * sum(want.values())
+
+
+# --- 8: mixing
+
+def test_a_source_misses_its_target_by_half_its_longest_document_at_most(spark):
+    rows = [(i, s, "w " * (3000 if i % 50 == 0 else 1 + i % 7)) for i, s in enumerate("abcd" * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got, longest, goal = defaultdict(int), defaultdict(int), {}
+    for r in mixing.mix(df, ["source"]).collect():
+        got[r.source] += r.taken
+        longest[r.source], goal[r.source] = max(longest[r.source], r.size), r.target
+    assert all(abs(got[s] - goal[s]) <= longest[s] / 2 for s in goal)
