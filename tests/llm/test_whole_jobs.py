@@ -1,8 +1,9 @@
 """Operators do the whole job where an earlier version stopped short of it."""
 
+import itertools
 from collections import defaultdict
 
-from jobsift.llm import mixing, url_graph
+from jobsift.llm import mixing, queries, rule_ledger, url_graph
 
 
 # --- 3: URL filter
@@ -30,3 +31,13 @@ def test_a_source_misses_its_target_by_half_its_longest_document_at_most(spark):
         got[r.source] += r.taken
         longest[r.source], goal[r.source] = max(longest[r.source], r.size), r.target
     assert all(abs(got[s] - goal[s]) <= longest[s] / 2 for s in goal)
+
+
+# --- 9: rules
+
+def test_a_clean_text_is_kept_whatever_its_length(spark, tmp_path):
+    words = list(map("".join, itertools.product("abcdefghij", repeat=6)))
+    spark.createDataFrame([(1, " ".join([*words, "end"]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = queries.QUERIES["op9_rule_ledger"](spark, str(tmp_path)).first()
+    assert row.n_words == 1000001 and row.failed == rule_ledger.BIT["too_long"]
+    assert row.kept and not row.base_failed
