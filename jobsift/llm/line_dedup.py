@@ -14,7 +14,7 @@ own text boilerplate.
 Only DataFrame functions are used. Counting moves hashes of lines and pages,
 never texts, and sums them before the shuffle, so neither a hot host nor a
 common line lands in one task; host's boilerplate meets the texts in a join
-salted by SALTS. Two different lines of one host share a 64-bit hash with a
+salted by SALTS, drawn from whole rows, so copies of a text part by their ids. Two different lines of one host share a 64-bit hash with a
 chance that is negligible beside the number of its boilerplate lines.
 
 Cases: a null text stays null and has no line; a page of only boilerplate
@@ -45,6 +45,13 @@ def _site(host: Column) -> Column:
     return F.when(host.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), host.cast("string")))
 
 
+def _salt(pages: DataFrame) -> Column:
+    """A number below SALTS from all columns of a row that can be hashed."""
+    known = [F.col(f"`{f.name}`") for f in pages.schema.fields
+             if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.pmod(F.xxhash64(*known, F.lit("salt")), F.lit(SALTS)).cast("int")
+
+
 def boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
                 min_pages: int = MIN_PAGES) -> DataFrame:
     """(_llm_site, _llm_lines): hashes of each host's boilerplate lines. There
@@ -71,8 +78,7 @@ def clean(pages: DataFrame, host_col: str = "source", text_col: str = "text", ra
     ``_llm_n_lines`` (its lines that are not blank) and ``_llm_n_dropped``."""
     found = boilerplate(pages, host_col, text_col, ratio, min_pages).select(
         "_llm_site", "_llm_drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_llm_salt"))
-    rows = pages.withColumn("_llm_site", _site(F.col(host_col))).withColumn(
-        "_llm_salt", F.pmod(F.xxhash64(text_col, F.lit("salt")), F.lit(SALTS)).cast("int"))
+    rows = pages.withColumns({"_llm_site": _site(F.col(host_col)), "_llm_salt": _salt(pages)})
     joined = rows.join(found, ["_llm_site", "_llm_salt"], "left")
     lines = F.split(text_col, "\n")
     none = F.array().cast("array<bigint>")

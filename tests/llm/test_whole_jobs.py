@@ -3,7 +3,9 @@
 import itertools
 from collections import defaultdict
 
-from jobsift.llm import mixing, queries, rule_ledger, url_graph
+from pyspark.sql import functions as F
+
+from jobsift.llm import line_dedup, mixing, queries, rule_ledger, url_graph
 
 
 # --- 3: URL filter
@@ -21,6 +23,24 @@ def test_scores_settle_on_cycles_and_long_paths(spark):
     assert sum(abs(got[k] - want[k]) for k in want) < 1e-5 * sum(want.values())
 
 
+# --- 7: line de-duplication
+
+def test_copies_of_a_text_do_not_share_one_task(spark):
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in own}
+    rows = [(i, "a", t, {"k": "v"}) for i, t in enumerate(["copied", None] * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, more map<string,string>")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        tasks = line_dedup.clean(df).withColumn("task", F.spark_partition_id()).groupBy("text").agg(
+            F.count_distinct("task").alias("n"), F.count("*").alias("rows")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(tasks) == 2 and all(r.n > 1 and r.rows == 200 for r in tasks)
+
+
 # --- 8: mixing
 
 def test_a_source_misses_its_target_by_half_its_longest_document_at_most(spark):
