@@ -61,3 +61,41 @@ SELECT doc_id, size, source_size, target,
        CAST(size * least(3, epochs + CASE WHEN before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ordered
 """
+
+
+def _lloyd() -> str:
+    """Two rounds and a last assignment of 16 parts of 4 components."""
+    assigned = """
+SELECT i, p, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+  SELECT s.i, s.p, b.j, (s.a - b.a) ** 2 + (s.b - b.b) ** 2 + (s.c - b.c) ** 2 + (s.d - b.d) ** 2 AS d
+  FROM parts s JOIN {book} b ON s.p = b.p) GROUP BY i, p"""
+    moved = """
+SELECT b.p, b.j, coalesce(m.a, b.a) AS a, coalesce(m.b, b.b) AS b, coalesce(m.c, b.c) AS c, coalesce(m.d, b.d) AS d
+FROM {book} b LEFT JOIN (
+  SELECT s.p, t.j, floor(sum(s.a) / count(*)) AS a, floor(sum(s.b) / count(*)) AS b, floor(sum(s.c) / count(*)) AS c,
+         floor(sum(s.d) / count(*)) AS d
+  FROM parts s JOIN {at} t ON s.i = t.i AND s.p = t.p GROUP BY s.p, t.j) m ON b.p = m.p AND b.j = m.j"""
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS i, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+parts AS MATERIALIZED (
+  SELECT i, p, x[4 * p + 1] AS a, x[4 * p + 2] AS b, x[4 * p + 3] AS c, x[4 * p + 4] AS d FROM kept, range(16) AS r(p)),
+book0 AS MATERIALIZED (SELECT p, i - 1 AS j, a, b, c, d FROM parts WHERE i <= 64),
+at0 AS MATERIALIZED ({assigned.format(book='book0')}),
+book1 AS MATERIALIZED ({moved.format(book='book0', at='at0')}),
+at1 AS MATERIALIZED ({assigned.format(book='book1')}),
+book2 AS MATERIALIZED ({moved.format(book='book1', at='at1')}),
+at2 AS MATERIALIZED ({assigned.format(book='book2')}),
+coded AS (SELECT i, string_agg(printf('%02x', j), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM at2 GROUP BY i),
+books AS (
+  SELECT sha256(string_agg(printf('%d,%d,%d,%d', CAST(a AS BIGINT), CAST(b AS BIGINT), CAST(c AS BIGINT), CAST(d AS BIGINT)), ','
+                           ORDER BY p, j)) AS h FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (i), books
+"""
+
+
+DUAL_LLOYD = _lloyd()

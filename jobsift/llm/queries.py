@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    ann_forest, bpe, html_mincut, line_dedup, mixing, oracle, quality_cnn, rule_ledger, simhash, toxicity, url_graph,
+    ann_forest, bpe, dual_lloyd, html_mincut, line_dedup, mixing, oracle, quality_cnn, rule_ledger, simhash, toxicity, url_graph, whitening,
 )
 from .common import read
 from .sampling import fold
@@ -114,3 +114,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann_forest.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op11_dual_lloyd", oracle.DUAL_LLOYD)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = dual_lloyd.encode(read(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), dual_lloyd.hex_code().alias("code"), "error", "label_error",
+                        F.lit(dual_lloyd.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
