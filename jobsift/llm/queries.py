@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    ann_forest, bpe, dual_lloyd, html_mincut, line_dedup, mixing, oracle, quality_cnn, rule_ledger, simhash, toxicity, url_graph, whitening,
+    ann_forest, bpe, dual_lloyd, hnsw_dedup, html_mincut, line_dedup, mixing, oracle, quality_cnn, rule_ledger, simhash, toxicity, url_graph, whitening,
 )
 from .common import read
 from .sampling import fold
@@ -126,3 +126,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op13_hnsw_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hnsw_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
