@@ -187,6 +187,14 @@ def anti_tracked_bounded(df: DataFrame, tracked: DataFrame) -> DataFrame:
     """``anti_tracked`` for a written left side bounded by configuration:
     the tracked table is streamed once against its URLs, and the few hits are
     removed. URLs have no fixed width, so Spark decides on actual sizes whether
-    to broadcast them; the written side is small enough in practice."""
-    hits = tracked.select("url").join(df.select("url"), on="url", how="left_semi")
+    to broadcast them; the written side is small enough in practice. A tracker
+    in hash partitions is probed by (bucket, url), which prunes at run time the
+    buckets that no URL of the left side falls in."""
+    probe, keys = df.select("url"), ["url"]
+    if "bucket" in tracked.columns:
+        n = tracked.schema["bucket"].metadata["buckets"]
+        # Spark prunes partitions at run time only by a side that is filtered; this comparison is always true
+        probe = probe.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(n)).cast("int")).filter(F.col("bucket") >= 0)
+        keys = ["bucket", "url"]
+    hits = tracked.select(*keys).join(probe, on=keys, how="left_semi").select("url")
     return df.join(hits, on="url", how="left_anti")

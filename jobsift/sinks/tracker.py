@@ -1,15 +1,9 @@
-"""Tracked-postings state: schema, upsert by URL, statistics, snapshots.
-
-The tracker is a Parquet snapshot keyed by URL. An upsert never rewrites what
-it reads: the merged relation is written to a new snapshot directory, and the
-pointer to the current snapshot moves only after the write has succeeded.
+"""Tracked-postings relation: schema, upsert by URL, statistics. Its storage is
+in ``bucketed``.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,7 +64,11 @@ def upsert(tracked: DataFrame, apps: DataFrame, run_ts: str) -> DataFrame:
     """
     if "role_ord" in apps.columns and "rank" in apps.columns:
         apps = last_write_per_url(apps, ["role_ord", "rank"])
-    new = materialize(as_tracked(apps, run_ts), "applications")
+    return merge(tracked, materialize(as_tracked(apps, run_ts), "applications"))
+
+
+def merge(tracked: DataFrame, new: DataFrame) -> DataFrame:
+    """``upsert`` of written tracker rows, one per URL."""
     nb = new.select("url", *[F.col(c).alias(f"_n_{c}") for c in REPLACE_ON_CONFLICT]).withColumn("_hit", F.lit(True))
     updated = tracked.join(nb, on="url", how="left").select(
         *[(F.when(F.col("_hit"), F.col(f"_n_{f.name}")).otherwise(F.col(f.name)) if f.name in REPLACE_ON_CONFLICT
@@ -90,74 +88,3 @@ def last_write_per_url(apps: DataFrame, order_cols: list[str]) -> DataFrame:
 def status_stats(tracked: DataFrame) -> DataFrame:
     """Count of tracked postings per status (partial + final hash aggregate)."""
     return tracked.groupBy("status").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-
-
-# ---- snapshots -------------------------------------------------------------
-#
-# ``_pointers/<version>`` names the snapshot of a version and the last batch
-# applied of each stream, so a snapshot and the batches in it are published in
-# one step. Versions count up; a version's file is created once or not at all,
-# so of two writers one fails and nothing is lost.
-
-KEEP_SNAPSHOTS = 3
-END = "."  # a pointer without its end was cut off while being written and does not count
-
-
-def write_snapshot(df: DataFrame, root: str, stream: str | None = None, batch: int | None = None) -> str:
-    """Write a new snapshot under ``root`` and publish it, with the batch of
-    the stream that it includes. A lost executor or a failed job leaves the
-    previous snapshot current. Snapshots older than the last few are removed."""
-    spark = df.sparkSession
-    version, state = _newest(spark, root)
-    snap = f"{root}/snapshot-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(snap)
-    batches = dict(state.get("batches", {}))
-    if stream is not None:
-        batches[stream] = batch
-    hp, fs = _fs(spark, f"{root}/_pointers/{version + 1:012d}")
-    out = fs.create(hp, False)  # fails if another writer published this version
-    out.write(bytearray((json.dumps({"snapshot": snap, "batches": batches}) + END).encode()))
-    out.close()
-    for old in _versions(spark, root)[:-KEEP_SNAPSHOTS]:
-        found = _read(spark, root, old)
-        for path in [*([found["snapshot"]] if found else []), f"{root}/_pointers/{old:012d}"]:
-            gone, fs = _fs(spark, path)
-            fs.delete(gone, True)
-    return snap
-
-
-def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    _, state = _newest(spark, root)
-    return spark.read.schema(TRACKED_SCHEMA).parquet(state["snapshot"]) if state else empty_tracked(spark)
-
-
-def applied(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
-    """Whether the current snapshot includes this batch of this stream."""
-    return _newest(spark, root)[1].get("batches", {}).get(stream, -1) >= batch
-
-
-def _fs(spark: SparkSession, path: str):
-    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hp, hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    base, fs = _fs(spark, f"{root}/_pointers")
-    names = [st.getPath().getName() for st in fs.listStatus(base)] if fs.exists(base) else []
-    return sorted(int(n) for n in names if n.isdigit())
-
-
-def _read(spark: SparkSession, root: str, version: int) -> dict:
-    jvm = spark.sparkContext._jvm
-    hp, fs = _fs(spark, f"{root}/_pointers/{version:012d}")
-    stream = fs.open(hp)
-    text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    stream.close()
-    return json.loads(text[:-1]) if text.endswith("}" + END) else {}
-
-
-def _newest(spark: SparkSession, root: str) -> tuple[int, dict]:
-    """The highest version, and the state of the highest complete one."""
-    versions = _versions(spark, root)
-    state = next((found for v in reversed(versions) if (found := _read(spark, root, v))), {})
-    return (versions[-1] if versions else 0), state

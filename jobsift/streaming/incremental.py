@@ -1,10 +1,10 @@
 """Incremental runs with Structured Streaming.
 
 New landed files arrive in a folder; each micro-batch is one run: skip URLs
-already tracked, gather/score/select, upsert, and publish a new tracker
-snapshot. The published pointer itself says which batch of which stream the
-snapshot includes, so a batch that is replayed after a stop at any point is
-applied once, and batch 0 of a new stream is not taken for that of an old one.
+already tracked, gather/score/select, and merge the results into the buckets of
+the tracker that they fall in. A batch that is replayed after a stop at any
+point is applied once, and batch 0 of a new stream is not taken for that of an
+old one (see ``sinks.bucketed``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..params import SearchConfig
 from ..plans import run as R
-from ..sinks import tracker
+from ..sinks import bucketed
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -31,23 +31,18 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def run_batch(batch: DataFrame, batch_id: int, state_root: str, responses: DataFrame, cfg: SearchConfig,
-              stream: str = "") -> None:
+              stream: str = "batch") -> None:
     """One run over a batch; the tracker takes the rows merged by URL."""
     spark = batch.sparkSession
-    if tracker.applied(spark, state_root, stream, batch_id):
-        return
-    current = tracker.current_snapshot(spark, state_root)
-    results = R.full_run(batch, current, responses, cfg)
-    bound = len(cfg.roles) * cfg.run.max_jobs
-    merged = tracker.upsert(current, results, cfg.run.run_ts)
-    tracker.write_snapshot(merged, state_root, stream, batch_id)
+    bucketed.apply(spark, state_root, stream, batch_id,
+                   lambda: R.full_run(batch, bucketed.read(spark, state_root), responses, cfg), cfg.run.run_ts)
 
 
 def incremental_run(spark: SparkSession, landing_dir: str, schema: T.StructType, state_root: str,
                     checkpoint: str, responses: DataFrame, cfg: SearchConfig,
                     files_per_batch: int | None = None) -> DataFrame:
     """Process every new file in ``landing_dir`` (availableNow; all of them in
-    one batch, or ``files_per_batch``) and return the resulting snapshot."""
+    one batch, or ``files_per_batch``) and return the tracker."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -57,7 +52,7 @@ def incremental_run(spark: SparkSession, landing_dir: str, schema: T.StructType,
                .trigger(availableNow=True)
                .start())
     q.awaitTermination()
-    return tracker.current_snapshot(spark, state_root)
+    return bucketed.read(spark, state_root).drop("bucket")
 
 
 def first_sightings(spark: SparkSession, source_dir: str, file_glob: str, schema: T.StructType, key: list[str],

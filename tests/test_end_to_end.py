@@ -8,7 +8,7 @@ from conftest import SF_SMALL
 from jobsift.params import Board, Location, Role, RunParams, SalaryParams, SearchConfig
 from jobsift.plans import run
 from jobsift.session import materialize
-from jobsift.sinks import export, tracker
+from jobsift.sinks import bucketed, export
 from jobsift.sources import fixture_pages as FP
 from jobsift.sources import html_cards, json_boards
 from jobsift.sources.fixtures import postings
@@ -36,15 +36,15 @@ def test_payloads_to_tracker(spark):
     gathered = run.gather(landed, CFG)
     assert run.attach_responses(gathered, answers, 1000).count() == gathered.count()
     root = tempfile.mkdtemp(prefix="jobsift-e2e-")
-    current = tracker.current_snapshot(spark, root)
+    current = bucketed.read(spark, root)
     results = run.full_run(landed, current, answers, CFG)
     rows = results.collect()
     assert 0 < len(rows) <= CFG.run.max_jobs
     assert len({r.url for r in rows}) == len(rows)
     assert all(r.status in ("pending", "skipped") for r in rows)
     assert {r.source for r in rows} <= {b.name for b in CFG.boards}
-    tracker.write_snapshot(tracker.upsert(current, results, CFG.run.run_ts), root)
-    snap = tracker.current_snapshot(spark, root)
+    bucketed.apply(spark, root, "runs", 0, lambda: results, CFG.run.run_ts)
+    snap = bucketed.read(spark, root)
     assert snap.count() == len(rows)
     # a second run skips every tracked URL
     again = run.full_run(landed, snap, answers, CFG)

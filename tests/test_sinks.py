@@ -92,20 +92,6 @@ def test_letters_are_joined_to_pending_results(spark):
     assert [r.cover_letter for r in export.letter_rows(export.with_letters(df, letters)).collect()] == ["Dear"]
 
 
-def test_pointer_cut_off_while_written_does_not_count(spark):
-    from jobsift.sinks import tracker
-    root = tempfile.mkdtemp(prefix="jobsift-pointer-")
-    one = tracker.as_tracked(results(spark).limit(1), RUN_TS)
-    tracker.write_snapshot(one, root, "s", 0)
-    with open(os.path.join(root, "_pointers", f"{2:012d}"), "w", encoding="utf-8") as f:
-        f.write('{"snapshot"')
-    assert tracker.current_snapshot(spark, root).count() == 1 and tracker.applied(spark, root, "s", 0)
-    assert not tracker.applied(spark, root, "t", 0)
-    for batch in range(1, 6):
-        tracker.write_snapshot(one, root, "s", batch)
-    assert len(glob.glob(os.path.join(root, "snapshot-*"))) <= tracker.KEEP_SNAPSHOTS + 1
-
-
 def test_results_report_truncates_notes(spark):
     df = results(spark).withColumn("notes", F.lit("x" * 100))
     assert {len(r.notes) for r in export.results_report(df).collect()} == {60}
