@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..session import checkpoint_dir
 from ..sources import resumes
 from ..sources.fixtures import FIXTURE_CONFIG as CFG
 from ..sources.fixtures import landed_postings, postings, table, tracked_seed
-from ..streaming import incremental
+from ..streaming import incremental, lifespans
 from . import oracle_sql as O
 from . import run as R
 from .catalog import register
@@ -195,3 +196,53 @@ register("stream_dedup", f"""
 SELECT user_id, event_type, min(event_id // (SELECT max(event_id) // {FEED_LOTS} + 1 FROM events)) AS lot
 FROM events GROUP BY user_id, event_type
 """)(_stream_dedup)
+
+
+# ---- H3: lives of postings, with state that expires ------------------------------------------------------
+GAP, DELAY = dt.timedelta(days=2), dt.timedelta(days=1)
+LIVES_PARTITIONS = 8  # of the state: open keys are few
+
+
+def _lives(spark, d):
+    """Events arrive in three lots, one trigger each; every 50th comes a lot
+    late, most of those behind the watermark. Gap and delay are shorter than a
+    lot, so keys expire and open again within the feed."""
+    root = f"{checkpoint_dir(spark)}/lives-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    width = (events.agg(F.max("event_id")).first()[0] or 0) // FEED_LOTS + 1
+    feed = events.withColumn("lot", F.expr(f"event_id div {width} + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END")).drop("event_id")
+    for lot in range(FEED_LOTS + 1):
+        feed.filter(F.col("lot") == lot).drop("lot").write.mode("append").parquet(f"{root}/feed")
+        out = lifespans.record(spark, f"{root}/feed", feed.drop("lot").schema, ["user_id", "event_type"], "ts", GAP, DELAY,
+                               f"{root}/out", f"{root}/stream", partitions=LIVES_PARTITIONS)
+    return out.select("user_id", "event_type", "event", format_ts("first_ts").alias("first_ts"),
+                      format_ts("last_ts").alias("last_ts"), "sightings")
+
+
+_GAP, _DELAY = (int(x.total_seconds() * 1_000_000) for x in (GAP, DELAY))
+_FMT = "'%Y-%m-%d %H:%M:%S.%f'"
+
+register("posting_lives", f"""
+WITH feed AS (
+  SELECT user_id, event_type, epoch_us(ts) AS us, (epoch_us(ts) // {_GAP} + 1) * {_GAP} AS slot_end,
+         event_id // (SELECT max(event_id) // {FEED_LOTS} + 1 FROM events) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS lot
+  FROM events),
+ends AS (SELECT lot, max(slot_end) AS e FROM feed GROUP BY lot),
+marks AS (SELECT lot, max(e) OVER (ORDER BY lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {_DELAY} AS wm FROM ends),
+kept AS (SELECT feed.* FROM feed JOIN marks USING (lot) WHERE wm IS NULL OR slot_end > wm),
+gaps AS (
+  SELECT *, max(us) OVER (PARTITION BY user_id, event_type ORDER BY lot, us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM kept),
+numbered AS (
+  SELECT *, sum(CASE WHEN prev IS NULL OR us > prev + {_GAP} THEN 1 ELSE 0 END) OVER (
+    PARTITION BY user_id, event_type ORDER BY lot, us ROWS UNBOUNDED PRECEDING) AS life FROM gaps),
+lives AS (
+  SELECT user_id, event_type, life, arg_min(us, (lot, us)) AS first_us, max(us) AS last_us, count(*) AS n,
+         life < max(life) OVER (PARTITION BY user_id, event_type) AS followed
+  FROM numbered GROUP BY user_id, event_type, life)
+SELECT user_id, event_type, 'opened' AS event, strftime(make_timestamp(first_us), {_FMT}) AS first_ts,
+       strftime(make_timestamp(first_us), {_FMT}) AS last_ts, 0 AS sightings FROM lives
+UNION ALL
+SELECT user_id, event_type, 'closed', strftime(make_timestamp(first_us), {_FMT}), strftime(make_timestamp(last_us), {_FMT}), n
+FROM lives WHERE followed OR last_us + 2 * {_GAP} < (SELECT max(e) - {_DELAY} FROM ends)
+""")(_lives)
