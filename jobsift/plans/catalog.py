@@ -39,4 +39,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-MODULES = ["q_scoring", "q_filters", "q_scalars", "q_dedup", "q_runs", "q_sinks", "q_sources", "q_models"]
+MODULES = ["q_scoring", "q_filters", "q_scalars", "q_dedup", "q_runs", "q_sinks", "q_sources", "q_models", "q_many"]
