@@ -8,6 +8,7 @@ from ..functions.timestamps import format_ts
 from ..operators import dedup
 from ..operators.cells import n_cells, pair_roles
 from ..params import BOARD_NAMES, GLOBAL_SEARCH_BOARDS
+from ..session import materialize
 from ..sources.fixtures import FIXTURE_CONFIG as CFG
 from ..sources.fixtures import landed_postings, postings, tracked_seed
 from . import oracle_sql as O
@@ -28,23 +29,32 @@ SELECT role_id, seq, source, board_ord, search_cell, work_type, city, state, loc
 
 
 # ---- A6 -----------------------------------------------------------------------
-NO_PAY_BOARDS = ["remotive", "weworkremotely", "arbeitnow"]
+FEED_BOARDS = ["remotive", "weworkremotely", "arbeitnow"]
+API_BOARDS = ["greenhouse"]
+UNION_COLS = ["seq", "source", "url", "title"]
 
 
 def _union(spark, d):
-    # one scan: boards that never state pay or employment type have none
-    states_pay = ~F.col("source").isin(NO_PAY_BOARDS)
-    p = postings(spark, d).select("seq", "source", "url", "title", *[
-        F.when(states_pay, F.col(c)).alias(c) for c in ("salary", "employment_type")])
-    return dedup.union_boards([p], CFG).select("seq", "source", "board_ord", "url", "salary", "employment_type")
+    """Card, feed and company-board relations, each with columns of its own,
+    from one written scan: cards state pay, feeds a text for relevance, the
+    company boards a location."""
+    p = materialize(postings(spark, d).select(*UNION_COLS, "salary", "employment_type", "location"), "board-rows")
+    src = F.col("source")
+    cards = p.filter(~src.isin(FEED_BOARDS + API_BOARDS)).select(*UNION_COLS, "salary", "employment_type")
+    feeds = p.filter(src.isin(FEED_BOARDS)).select("title", "url", F.concat_ws(": ", src, "title").alias("relevance_title"), "seq", "source")
+    api = p.filter(src.isin(API_BOARDS)).select(*UNION_COLS, "location")
+    return dedup.union_boards([cards, feeds, api], CFG).select(*UNION_COLS, "board_ord", "salary", "employment_type", "relevance_title", "location")
 
 
 _ords = CFG.board_ord()
+_feeds, _api = (", ".join(O.q(b) for b in boards) for boards in (FEED_BOARDS, API_BOARDS))
 register("union_boards", f"""
 WITH {O.postings_cte()}
-SELECT seq, source, CASE source {" ".join(f"WHEN {O.q(n)} THEN {o}" for n, o in _ords.items())} END AS board_ord, url,
-  CASE WHEN source IN ({", ".join(O.q(b) for b in NO_PAY_BOARDS)}) THEN NULL ELSE salary END AS salary,
-  CASE WHEN source IN ({", ".join(O.q(b) for b in NO_PAY_BOARDS)}) THEN NULL ELSE employment_type END AS employment_type
+SELECT seq, source, url, title, CASE source {" ".join(f"WHEN {O.q(n)} THEN {o}" for n, o in _ords.items())} END AS board_ord,
+  CASE WHEN source NOT IN ({_feeds}, {_api}) THEN salary END AS salary,
+  CASE WHEN source NOT IN ({_feeds}, {_api}) THEN employment_type END AS employment_type,
+  CASE WHEN source IN ({_feeds}) THEN source || ': ' || title END AS relevance_title,
+  CASE WHEN source IN ({_api}) THEN location END AS location
 FROM p
 """)(_union)
 

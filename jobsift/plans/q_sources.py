@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from ..functions.html import html_text_column
 from ..functions.timestamps import format_ts, window_cutoff
 from ..session import checkpoint_dir
 from ..sources import fixture_pages as FP
-from ..sources import html_cards, json_boards, landed, resumes
+from ..params import Role
+from ..sources import html_cards, json_boards, landed, quarantine, resumes
 from ..sources.fixtures import FIXTURE_CONFIG as CFG
 from ..sources.fixtures import postings, table
 from . import oracle_sql as O
@@ -133,30 +136,95 @@ register("html_card_postings", _cards_sql())(_cards)
 
 
 # ---- A5: JSON-LD fallback ---------------------------------------------------------------------
+#: A window in which most of the fixture's postings lie.
+JSONLD_HOURS = 480.0
+JSONLD_CUTOFF = window_cutoff(RUN.run_ts, JSONLD_HOURS).isoformat(sep=" ")
+
+
 def _jsonld(spark, d):
+    """Pages with cards and pages with structured data alone, in one input."""
     pages = FP.jsonld_pages(postings(spark, d))
-    out = html_cards.card_or_jsonld(pages, RUN.run_ts, RUN.posted_within_hours)
-    return out.select("url", "title", "company", "location", format_ts("posted_at").alias("posted_at"), "description")
+    out = html_cards.card_or_jsonld(pages, RUN.run_ts, JSONLD_HOURS)
+    return out.select("url", "job_id", "title", "company", "location", format_ts("posted_at").alias("posted_at"), "description")
 
 
-register("jsonld_postings", f"""
-WITH {O.postings_cte()},
+_SCRIPTS = f"""
 w AS (SELECT *, seq // {PG} AS pg FROM p WHERE source = 'wellfound'),
-fb AS (SELECT pg, min(seq) AS first_bad FROM w WHERE seq % 7 = 0 GROUP BY pg)
-SELECT 'https://wellfound.com/jobs/' || CAST(seq AS VARCHAR) AS url, title, company, location,
+fb AS (SELECT pg, min(seq) AS first_bad FROM w WHERE pg % {FP.BAD_PAGE_EVERY} = 1 AND seq % {FP.BAD_ITEM_EVERY} = 0 GROUP BY pg)"""
+
+register("jsonld_postings", f"""
+WITH {O.postings_cte()}, {_SCRIPTS}
+SELECT 'https://wellfound.com/jobs/' || CAST(seq AS VARCHAR) AS url, NULL AS job_id, title, company, location,
        strftime(posted_at, {TS_FMT}) AS posted_at, description
 FROM w LEFT JOIN fb USING (pg)
-WHERE (first_bad IS NULL OR seq < first_bad) AND (posted_at IS NULL OR posted_at >= TIMESTAMP '{CUTOFF}')
+WHERE pg % {FP.CARD_PAGE_EVERY} <> 0 AND (first_bad IS NULL OR seq < first_bad)
+  AND (posted_at IS NULL OR posted_at >= TIMESTAMP '{JSONLD_CUTOFF}')
+UNION ALL
+SELECT 'https://wellfound.com/jobs/' || CAST(seq AS VARCHAR) || '-opening', CAST(seq AS VARCHAR), title, company, NULL,
+       strftime(posted_at, {TS_FMT}), title || ' ' || company || CASE WHEN posted_at IS NULL THEN '' ELSE
+         ' ' || CAST(date_diff('hour', posted_at, TIMESTAMP '{RUN.run_ts}') AS VARCHAR) || ' hours ago' END
+FROM w WHERE pg % {FP.CARD_PAGE_EVERY} = 0
 """)(_jsonld)
 
 
+# ---- A2-A5: what could not be read, and what could ------------------------------------------------
+def _read_report(spark, d):
+    """For each board: payloads or script items in all, those read and those
+    quarantined, with the reason."""
+    p = postings(spark, d)
+    number = F.col("payload_id")
+    report = json_boards.payload_report(FP.damaged(FP.json_payloads(p), number), FP.damaged(FP.rss_feeds(p), number))
+    items = html_cards.parsed_pages(FP.jsonld_pages(p))
+    filed = quarantine.rejected_items(items, RUN.run_ts, JSONLD_HOURS)
+    counted = report.groupBy("source", F.coalesce("reason", F.lit("read")).alias("reason")).agg(
+        F.count("*").alias("n"), F.sum("n_items").alias("n_items"))
+    scripts = filed.groupBy("source", "reason").agg(F.count("*").alias("n")).withColumn("n_items", F.col("n"))
+    kept = html_cards.postings_of(items, RUN.run_ts, 24.0 * 365 * 100).groupBy("source").agg(F.count("*").alias("n")).select(
+        "source", F.lit("read").alias("reason"), "n", F.col("n").alias("n_items"))
+    return counted.unionByName(scripts).unionByName(kept)
+
+
+register("read_report", f"""
+WITH {O.postings_cte()}, {_SCRIPTS},
+pages AS (
+  SELECT source, seq // {PG} AS pg, count(*) AS items FROM p
+  WHERE source IN ('remotive', 'arbeitnow', 'greenhouse', 'weworkremotely') GROUP BY ALL),
+judged AS (
+  SELECT source, CASE pg % {FP.CUT_EVERY} WHEN 3 THEN 'malformed' WHEN 2 THEN 'no body' ELSE 'read' END AS reason,
+         CASE WHEN pg % {FP.CUT_EVERY} IN (2, 3) THEN 0 ELSE items END AS items FROM pages),
+scripts AS (
+  SELECT CASE WHEN pg % {FP.CARD_PAGE_EVERY} = 0 OR first_bad IS NULL OR seq < first_bad THEN 'read'
+              WHEN seq % {FP.BAD_ITEM_EVERY} = 0 THEN 'unreadable item' ELSE 'after an unreadable item' END AS reason
+  FROM w LEFT JOIN fb USING (pg))
+SELECT source, reason, count(*) AS n, CAST(sum(items) AS BIGINT) AS n_items FROM judged GROUP BY ALL
+UNION ALL
+SELECT 'wellfound', reason, count(*), count(*) FROM scripts GROUP BY ALL
+""")(_read_report)
+
+
 # ---- A7: resume texts ---------------------------------------------------------------------------
+#: The third role uses the first one's file.
+RESUME_OF = {1: 1, 2: 2, 3: 1}
+
+
+def _resume_text(spark, d):
+    """Resumes are written as text files, one for each role that has its own,
+    and read back by the roles' paths."""
+    root = f"{checkpoint_dir(spark)}/resumes-{uuid.uuid4().hex}"
+    own = resumes.resumes_from_table(table(spark, d, "benchmark"), CFG)
+    own.repartition(1).write.partitionBy("role_id").text(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path").collect()  # one a role
+    paths = {int(re.search(r"role_id=(\d+)", f["path"])[1]): f["path"] for f in files}
+    cfg = dataclasses.replace(CFG, roles=tuple(Role(r, f"Role {r}", resume_path=paths[f]) for r, f in RESUME_OF.items() if f in paths))
+    return resumes.read_resumes(spark, cfg).select(
+        "role_id", F.length("resume_text").cast("bigint").alias("resume_chars"), F.md5("resume_text").alias("resume_md5"))
+
+
 register("resume_text", f"""
-WITH {O.roles_cte()}
-SELECT r.role_id, length(b.text) AS resume_chars, md5(b.text) AS resume_md5
-FROM roles r JOIN benchmark b ON b.item_id = r.role_id
-""")(lambda spark, d: resumes.resumes_from_table(table(spark, d, "benchmark"), CFG)
-     .select("role_id", F.length("resume_text").cast("bigint").alias("resume_chars"), F.md5("resume_text").alias("resume_md5")))
+WITH {O.roles_cte()}, of(role_id, item_id) AS (VALUES {", ".join(map(str, RESUME_OF.items()))})
+SELECT of.role_id, length(b.text) + 1 AS resume_chars, md5(b.text || chr(10)) AS resume_md5
+FROM of JOIN roles r ON r.role_id = of.item_id JOIN benchmark b ON b.item_id = r.role_id
+""")(_resume_text)
 
 
 # ---- A8: partitioned landing + pruned read ----------------------------------------------------------

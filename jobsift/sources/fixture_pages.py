@@ -141,9 +141,18 @@ def card_pages(postings: DataFrame) -> DataFrame:
     return out
 
 
-def jsonld_item(bad_every: int = 7) -> Column:
-    """An ItemList element wrapping a JobPosting; every ``bad_every``-th seq
-    is a bare string, which ends the reading of its script."""
+#: Of the structured-data board's pages, every third shows cards beside its
+#: script; on every fourth (from the second) each seventh item is a bare string,
+#: which ends the reading of its script.
+CARD_PAGE_EVERY, BAD_PAGE_EVERY, BAD_ITEM_EVERY = 3, 4, 7
+
+
+def page_number(seq: str = "seq") -> Column:
+    return (F.col(seq) / (PAGE_ITEMS * 9)).cast("long")
+
+
+def jsonld_item() -> Column:
+    """An ItemList element wrapping a JobPosting, or a bare string."""
     posting = F.struct(
         F.lit("JobPosting").alias("@type"), F.col("title").alias("title"),
         F.struct(F.lit("Organization").alias("@type"), F.col("company").alias("name")).alias("hiringOrganization"),
@@ -153,24 +162,36 @@ def jsonld_item(bad_every: int = 7) -> Column:
         F.coalesce(iso_z(), F.lit("")).alias("datePosted"),
         F.col("description"))
     item = F.to_json(F.struct(F.lit("ListItem").alias("@type"), F.col("seq").alias("position"), posting.alias("item")))
-    return F.when(F.col("seq") % bad_every == 0, F.lit('"withdrawn"')).otherwise(item)
+    bad = (page_number() % BAD_PAGE_EVERY == 1) & (F.col("seq") % BAD_ITEM_EVERY == 0)
+    return F.when(bad, F.lit('"withdrawn"')).otherwise(item)
 
 
 def jsonld_pages(postings: DataFrame) -> DataFrame:
-    """Card-less pages of the startup-list board carrying an ld+json ItemList."""
+    """Pages of the startup-list board carrying an ld+json ItemList; some with
+    cards of the same postings, which then count instead."""
     head = ('<html><head><script type="application/ld+json">'
             '{"@context":"https://schema.org","@type":"ItemList","itemListElement":[')
-    tail = ']}</script></head><body><div id="root"></div></body></html>'
     b_idx = BOARD_NAMES.index("wellfound")
     items = (postings.filter(F.col("source") == "wellfound")
-                     .select((F.col("seq") / (PAGE_ITEMS * 9)).cast("long").alias("_pg"), "seq",
-                             F.replace(jsonld_item(), F.lit("</"), F.lit("<\\/")).alias("_item")))
-    pages = items.groupBy("_pg").agg(F.array_sort(F.collect_list(F.struct("seq", "_item"))).alias("_items"))
+                     .select(page_number().alias("_pg"), "seq", F.replace(jsonld_item(), F.lit("</"), F.lit("<\\/")).alias("_item"),
+                             card_html("wellfound").alias("_card")))
+    pages = items.groupBy("_pg").agg(F.array_sort(F.collect_list(F.struct("seq", "_item", "_card"))).alias("_items"))
+    cards = F.when(F.col("_pg") % CARD_PAGE_EVERY == 0, F.array_join(F.transform("_items", lambda x: x["_card"]), "")).otherwise(F.lit(""))
     return pages.select(
         (F.col("_pg") * 16 + b_idx).alias("page_id"), F.lit("wellfound").alias("source"), F.lit(1).alias("role_id"),
         F.lit(0).alias("search_cell"),
-        F.concat(F.lit(head), F.array_join(F.transform("_items", lambda x: x["_item"]), ","), F.lit(tail))
-        .alias("body"))
+        F.concat(F.lit(head), F.array_join(F.transform("_items", lambda x: x["_item"]), ","),
+                 F.lit(']}</script></head><body><div id="root">'), cards, F.lit("</div></body></html>")).alias("body"))
+
+
+#: Every fifth payload, feed and structured-data page (from the fourth) is cut
+#: off in the middle of its body, and every fifth from the third has none.
+CUT_EVERY = 5
+
+
+def damaged(pages: DataFrame, number: Column) -> DataFrame:
+    return pages.withColumn("body", F.when(number % CUT_EVERY == 3, F.substring("body", F.lit(1), F.length("body") - 40))
+                            .when(number % CUT_EVERY != 2, F.col("body")))
 
 
 def json_payloads(postings: DataFrame) -> DataFrame:

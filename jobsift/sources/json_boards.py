@@ -39,10 +39,45 @@ RSS_SCHEMA = T.StructType([T.StructField("channel", T.StructType([T.StructField(
 KEYS = ["role_id", "source", "search_cell", "payload_id"]
 
 
+#: Boards by the shape of their payloads, and the path of the items in it.
+JSON_SHAPES = {"remotive": (REMOTE_LIST_SCHEMA, "jobs"), "arbeitnow": (EU_BOARD_SCHEMA, "data"),
+               "greenhouse": (COMPANY_BOARD_SCHEMA, "jobs")}
+CORRUPT = "_unread"
+
+
 def _d(c: str):
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def _with_reason(payloads: DataFrame, parsed, path: str) -> DataFrame:
+    """Payloads with the reason why one gives no items, or not all of them."""
+    items = F.col(f"_p.{path}")
+    reason = (F.when(F.col("body").isNull(), "no body")
+               .when(items.isNull() & F.col(f"_p.{CORRUPT}").isNotNull(), "malformed")
+               .when(items.isNull(), "no item list")
+               .when(F.col(f"_p.{CORRUPT}").isNotNull(), "field of another type"))
+    return payloads.withColumn("_p", parsed).select(
+        "source", "role_id", "search_cell", "payload_id", reason.alias("reason"),
+        F.coalesce(F.size(items), F.lit(0)).alias("n_items"), "body")
+
+
+def payload_report(payloads: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """(source, role_id, search_cell, payload_id, reason, n_items, body): every
+    payload and feed with the number of its items, and why it gives none or not
+    all of their fields (reason NULL: all read). Payloads of unknown boards
+    give "unknown board"."""
+    def marked(schema: T.StructType) -> T.StructType:
+        return T.StructType([*schema.fields, T.StructField(CORRUPT, S)])
+    option = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
+    out = payloads.filter(~F.coalesce(F.col("source").isin(list(JSON_SHAPES)), F.lit(False))).select(
+        "source", "role_id", "search_cell", "payload_id", F.lit("unknown board").alias("reason"), F.lit(0).alias("n_items"), "body")
+    for board, (schema, path) in JSON_SHAPES.items():
+        out = out.unionByName(_with_reason(payloads.filter(F.col("source") == board), F.from_json("body", marked(schema), option), path))
+    if feeds is not None:
+        out = out.unionByName(_with_reason(feeds, F.from_xml("body", marked(RSS_SCHEMA), option), "channel.item"))
+    return out
+
+
 def _explode(payloads: DataFrame, parsed, path: str) -> DataFrame:
     return (payloads.withColumn("_p", parsed)
                     .select(*KEYS, *([c for c in ["token"] if c in payloads.columns]),

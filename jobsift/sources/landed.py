@@ -17,16 +17,14 @@ from pyspark.sql import functions as F
 from ..functions.timestamps import window_cutoff
 
 
-#: Writers of one board and day, so that a large one is not written by one task.
-WRITERS = 16
-
-
-def write_landed(df: DataFrame, path: str, mode: str = "errorifexists", writers: int = WRITERS) -> None:
-    """Each (board, day) is written by at most ``writers`` tasks, as that many
-    files, whatever the number of input tasks."""
+def write_landed(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Rows of a (board, day) are dealt to one task, and to as many as their
+    bytes need (``spark.sql.adaptive.advisoryPartitionSizeInBytes`` each) where
+    they are many: adaptive execution splits and merges the rebalanced
+    partitions by size, so small days are one file and large ones are not
+    written by one task."""
     dated = df.withColumn("posted_date", F.to_date("posted_at"))
-    salt = F.pmod(F.xxhash64("url"), F.lit(writers))
-    (dated.repartition("source", "posted_date", salt)
+    (dated.hint("rebalance", "source", "posted_date")
           .write.mode(mode).partitionBy("source", "posted_date").parquet(path))
 
 
