@@ -13,9 +13,12 @@ own text boilerplate.
 
 Only DataFrame functions are used. Counting moves hashes of lines and pages,
 never texts, and sums them before the shuffle, so neither a hot host nor a
-common line lands in one task; host's boilerplate meets the texts in a join
-salted by SALTS, drawn from whole rows, so copies of a text part by their ids. Two different lines of one host share a 64-bit hash with a
-chance that is negligible beside the number of its boilerplate lines.
+common line lands in one task. The lists of boilerplate are written before they
+meet the texts, so their size is known: up to LISTED lines in all they are
+broadcast and no text is shuffled; beyond that they meet in a join salted by
+SALTS, drawn from whole rows, so copies of a text part by their ids. Two
+different lines of one host share a 64-bit hash with a chance that is negligible
+beside the number of its boilerplate lines.
 
 Cases: a null text stays null and has no line; a page of only boilerplate
 keeps an empty text; a null host is a site of its own; repeated rows stay,
@@ -27,13 +30,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-RATIO = 0.08
+from .common import written
+
+RATIO = 0.01
 MIN_PAGES = 5
 SALTS = 64
+#: Boilerplate lines of all hosts, 8 bytes each and a host's name, that are broadcast at most.
+LISTED = 1 << 20
+SPACE = " \t\n\v\f\r"
 
 
 def _key(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(SPACE))
 
 
 def _hash(line: Column) -> Column:
@@ -76,23 +84,31 @@ def clean(pages: DataFrame, host_col: str = "source", text_col: str = "text", ra
           min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``_llm_clean`` (the text without boilerplate lines),
     ``_llm_n_lines`` (its lines that are not blank) and ``_llm_n_dropped``."""
-    found = boilerplate(pages, host_col, text_col, ratio, min_pages).select(
-        "_llm_site", "_llm_drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_llm_salt"))
-    rows = pages.withColumns({"_llm_site": _site(F.col(host_col)), "_llm_salt": _salt(pages)})
-    joined = rows.join(found, ["_llm_site", "_llm_salt"], "left")
-    lines = F.split(text_col, "\n")
+    found = written(boilerplate(pages, host_col, text_col, ratio, min_pages), "line-lists")
+    size = found.agg(F.sum(F.size("_llm_drop")).alias("lines"), F.sum(F.octet_length("_llm_site")).alias("names")).first()
+    rows = pages.withColumn("_llm_site", _site(F.col(host_col)))
+    if 8 * (size["lines"] or 0) + (size["names"] or 0) <= 8 * LISTED:
+        joined = rows.join(F.broadcast(found), "_llm_site", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_llm_salt")
+        joined = rows.withColumn("_llm_salt", _salt(pages)).join(
+            found.select("_llm_site", "_llm_drop", salts), ["_llm_site", "_llm_salt"], "left").drop("_llm_salt")
+    # each line once with its hash
+    joined = joined.withColumn("_llm_lines", F.transform(
+        F.split(text_col, "\n"), lambda x: F.struct(x.alias("line"), _hash(x).alias("hash"))))
+    hashes = F.transform("_llm_lines", lambda x: x["hash"])
     none = F.array().cast("array<bigint>")
     joined = joined.withColumn("_llm_drop", F.coalesce(F.array_intersect(
-        F.array_compact(F.transform(lines, _hash)), F.coalesce("_llm_drop", none)), none))
+        F.array_compact(hashes), F.coalesce("_llm_drop", none)), none))
     # only a page that has such lines is taken apart
-    stays = F.filter(lines, lambda x: _hash(x).isNull() | ~F.array_contains("_llm_drop", F.coalesce(_hash(x), F.lit(0))))
+    gone = lambda x: F.coalesce(F.array_contains("_llm_drop", x["hash"]), F.lit(False))
+    stays = F.transform(F.filter("_llm_lines", lambda x: ~gone(x)), lambda x: x["line"])
     text = F.when(F.size("_llm_drop") == 0, F.col(text_col)).otherwise(F.array_join(stays, "\n"))
-    count = lambda a: F.coalesce(F.size(F.filter(a, lambda x: _key(x) != "")), F.lit(0))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(count(lines))
-    n_left = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(
-        F.when(F.size("_llm_drop") == 0, n_lines).otherwise(count(stays)))
-    return joined.withColumn("_llm_clean", text).withColumn("_llm_n_lines", n_lines).withColumn(
-        "_llm_n_dropped", n_lines - n_left).drop("_llm_site", "_llm_salt", "_llm_drop")
+    count = lambda test: F.coalesce(F.size(F.filter("_llm_lines", test)), F.lit(0))
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(count(lambda x: x["hash"].isNotNull()))
+    n_dropped = F.when(F.col(text_col).isNull() | (F.size("_llm_drop") == 0), F.lit(0)).otherwise(count(gone))
+    return joined.withColumns({"_llm_clean": text, "_llm_n_lines": n_lines, "_llm_n_dropped": n_dropped}).drop(
+        "_llm_site", "_llm_lines", "_llm_drop")
 
 
 def cleaned(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,

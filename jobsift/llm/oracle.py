@@ -18,7 +18,7 @@ often AS (
   WHERE l.key <> '' GROUP BY ALL),
 boiler AS (
   SELECT o.s, o.n, o.key FROM often o JOIN totals t ON o.s = t.s AND o.n = t.n
-  WHERE o.c >= 5 AND o.c > 0.08 * t.total),
+  WHERE o.c >= 5 AND o.c > 0.01 * t.total),
 marked AS (
   SELECT l.*, b.key IS NOT NULL AS dropped FROM lines l LEFT JOIN boiler b ON l.s = b.s AND l.n = b.n AND l.key = b.key),
 cleaned AS (

@@ -49,7 +49,7 @@ def key(line):
     return re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line)
 
 
-def line_dedup(rows, ratio=0.08, min_pages=5):
+def line_dedup(rows, ratio=0.01, min_pages=5):
     """Cleaned text of each row (host, text)."""
     pages = defaultdict(set)
     for host, text in rows:

@@ -25,7 +25,8 @@ def test_scores_settle_on_cycles_and_long_paths(spark):
 
 # --- 7: line de-duplication
 
-def test_copies_of_a_text_do_not_share_one_task(spark):
+def test_copies_of_a_text_do_not_share_one_task(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LISTED", -1)  # lists too long to be broadcast
     own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
     old = {k: spark.conf.get(k) for k in own}
     rows = [(i, "a", t, {"k": "v"}) for i, t in enumerate(["copied", None] * 200)]
@@ -41,6 +42,24 @@ def test_copies_of_a_text_do_not_share_one_task(spark):
     assert len(tasks) == 2 and all(r.n > 1 and r.rows == 200 for r in tasks)
 
 
+def test_long_and_short_lists_meet_the_texts_alike(spark, monkeypatch):
+    rows = [(i, h, f"own {i}\nshared {h}\nrare {i % 90}\n{i}") for i, h in enumerate(["a", "a", None, "b"] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    short = sorted(map(tuple, line_dedup.clean(df).drop("source").collect()))
+    assert "BroadcastHashJoin" in line_dedup.clean(df)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(line_dedup, "LISTED", -1)
+    assert sorted(map(tuple, line_dedup.clean(df).drop("source").collect())) == short
+    assert all("shared" not in t[2] and "own" in t[2] for t in short)
+
+
+def test_unicode_line_ends_are_part_of_a_line(spark):
+    ends = ["\u2028", " \u2028", "\x85", "\u2029", "\x1c", "\xa0"]
+    rows = [(i, "a", f"foo{ends[i % 6]}\nbar \t\x0b\n{i}") for i in range(24)] + [(24 + i, "a", f"foo\nown {i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(df).collect()}
+    assert all(got[i] == f"foo{ends[i % 6]}\n{i}" for i in range(24)) and all(got[24 + i] == f"own {i}" for i in range(9))
+
+
 # --- 8: mixing
 
 def test_a_source_misses_its_target_by_half_its_longest_document_at_most(spark):
