@@ -8,9 +8,9 @@ chunk that is text, through a small hidden layer to one value for each chunk. Th
 the smallest and the mean of these values with learned weights; its sigmoid is
 the score.
 
-All weights are learned with Adam from a bounded sample (MAX_EACH rows of each
-label, about, and of each at most MAX_CHUNKS chunks, evenly spaced); scoring
-reads every byte.
+All weights are learned with Adam from all chunks of a bounded sample of rows
+(MAX_EACH of each label, about; fewer where their chunks hold over MAX_BYTES);
+scoring reads every byte.
 
 Cases: null and empty texts are one chunk of padding; without labels of both
 kinds every score is 0.5; repeated rows score alike; very long texts are
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices, small_batches
-from .sampling import thinned
+from .common import discard, slices, small_batches
+from .sampling import collected, picked
 
 #: Bounds of the fitting sample.
 MAX_EACH = 2500
-MAX_CHUNKS = 6
+MAX_BYTES = 8 << 20
 CHUNK = 320
 STEP = 256
 WIDTH = 5
@@ -73,6 +73,12 @@ class Network:
             out += np.take(self.filters[k], block[:, k: k + places], axis=0)
         return out
 
+    def pool(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each filter's largest response in each chunk, and it."""
+        response = self.slide(block)
+        place = response.argmax(axis=1)
+        return place, np.take_along_axis(response, place[:, None, :], axis=1)[:, 0, :]
+
     def values(self, block: np.ndarray) -> np.ndarray:
         """One value for each chunk."""
         pooled = with_fill(self.slide(block).max(axis=1), block)
@@ -114,12 +120,6 @@ def _blocks(parts):
         yield group
 
 
-def looked_at(text: str | None) -> np.ndarray:
-    """The chunks of a text that fitting looks at."""
-    c = chunks(text)
-    return c[np.linspace(0, len(c) - 1, MAX_CHUNKS).astype(int)] if len(c) > MAX_CHUNKS else c
-
-
 def fit_network(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 11) -> Network:
     """Learn from the chunks of texts of label 1 and of label 0; both labels
     weigh the same."""
@@ -149,9 +149,8 @@ def fit_network(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 11) -
             group = [docs[i] for i in order[at: at + 32]]
             block = np.concatenate([c for c, _, _ in group])
             ends = np.cumsum([len(c) for c, _, _ in group])
-            response = net.slide(block)
-            place = response.argmax(axis=1)
-            pooled = with_fill(np.take_along_axis(response, place[:, None, :], axis=1)[:, 0, :], block)
+            place, pooled = zip(*[net.pool(block[i: i + BLOCK]) for i in range(0, len(block), BLOCK)], strict=True)
+            place, pooled = np.concatenate(place), with_fill(np.concatenate(pooled), block)
             hidden = np.maximum(pooled @ net.w1 + net.b1, 0)
             value = hidden @ net.w2
             dv, dc = np.zeros_like(value), np.zeros(4)
@@ -181,22 +180,29 @@ def fit_network(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 11) -
 
 def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Network:
-    """Fit on the labelled rows where ``learn`` (a condition on the id) holds."""
+    """Fit on the labelled rows where ``learn`` (a condition on the id) holds.
+    Ids and labels meet first, without texts; then one pass reads the sample's."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("mark")).where(learn).where(
         "mark in (0, 1)").groupBy("id").agg(F.min("mark").alias("mark"))
 
+    sample = picked(rows, marks, MAX_EACH)
+
     def run(batches):
         for part in slices(batches):
-            kept = [looked_at(t).tobytes() for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["found"])
-
-    def gathered(mark: int) -> list:
-        some = thinned(rows.join(marks.where(F.col("mark") == mark).select("id"), "id", "left_semi"), F.col("id"), MAX_EACH)
-        got = some.select("text").mapInArrow(run, "found binary").toArrow().column(0).to_pylist()
-        return [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in sorted(got)]
-    return fit_network(gathered(1), gathered(0))
+            found = [chunks(t).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), part.column(2)], ["id", "found", "mark"])
+
+    some = rows.join(F.broadcast(sample), "id").select("id", "text", F.col("mark").cast("int"))  # 2 x MAX_EACH ids, about
+    kind = StructType([some.schema["id"]]).add("found", "binary").add("mark", "integer")
+    table = collected(some.mapInArrow(run, kind), MAX_BYTES)
+    discard(sample)
+    found, mark = table.column("found").to_pylist(), table.column("mark").to_pylist()
+
+    def those(label: int) -> list[np.ndarray]:  # sorted: the order of tasks doesn't matter
+        return [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in sorted(f for f, m in zip(found, mark, strict=True) if m == label)]
+    return fit_network(those(1), those(0))
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,10 +9,15 @@ positives among it cause, and is kept from falling below zero (Kiryo et al.,
     risk = p E_P[l(+)] + max(0, E_U[l(-)] - p E_P[l(-)])
 
 A few classifiers, each with its own order of examples, are averaged in the
-logit. The score is a probability-like value in [0, 1].
+logit. The score, in [0, 1], is that of the logit shifted so that even odds of
+being toxic score THRESHOLD.
 
-Fitting reads a bounded sample (MAX_POSITIVE confirmed and MAX_UNLABELLED
-other rows, about); scoring reads every whole text. A word counts once per
+The unlabelled text is a sample of all text there is, confirmed rows among it,
+so that its share of positives is the class prior: that of the labelled rows.
+
+Fitting reads a bounded sample (MAX_POSITIVE confirmed and MAX_UNLABELLED rows
+of all, about; fewer where their features hold over MAX_BYTES); scoring reads
+every whole text. A word counts once per
 document (and a beginning twice at most), so a long text is not judged by its
 length.
 
@@ -33,12 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices, small_batches
-from .sampling import thinned
+from .common import discard, slices, small_batches
+from .sampling import collected, picked
 
-#: Bounds of the fitting sample, in rows.
+#: Bounds of the fitting sample, in rows, and in bytes of their features.
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 6000
+MAX_BYTES = 64 << 20
 #: Hashed feature space, and how many features a classifier keeps.
 SPACE = 1 << 22
 KEPT = 1024
@@ -51,6 +57,7 @@ STEPS = 300
 RATE = 0.05
 RIDGE = 3e-4
 THRESHOLD = 0.7
+EVEN = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 #: Lengths of the word beginnings that are features besides the word.
 BEGINNINGS = (4, 5)
 #: Words whose features a task remembers.
@@ -105,7 +112,7 @@ class Model:
 
         def score(text: str | None) -> float:
             # sorted, so that equal texts get equal scores in any order of words
-            logit = self.bias + sum(weight_of[f] for f in sorted(find(text)))
+            logit = self.bias + EVEN + sum(weight_of[f] for f in sorted(find(text)))
             return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
         return score
@@ -121,6 +128,19 @@ def _choose(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndar
     return np.sort(best[(clear[best] > CLEAR) & (p[best] * n > 2)])
 
 
+def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of the logistic loss, l(+) = -log s and l(-) =
+    -log(1 - s), and its gradient; the last weight is the bias."""
+    sp = 1 / (1 + np.exp(-(positive @ w[:-1] + w[-1])))
+    su = 1 / (1 + np.exp(-(unlabelled @ w[:-1] + w[-1])))
+    loss = lambda s: -np.log(np.maximum(s, 1e-9)).mean()
+    as_clean = loss(1 - su) - prior * loss(1 - sp)
+    gp, gu = prior * (sp - 1) / len(sp), np.zeros(len(su))
+    if as_clean >= 0:
+        gp, gu = gp - prior * sp / len(sp), su / len(su)
+    return prior * loss(sp) + max(0.0, as_clean), np.concatenate([gp @ positive + gu @ unlabelled, [gp.sum() + gu.sum()]])
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> Model:
     """Average of CLASSIFIERS linear classifiers under the non-negative risk."""
     kept = _choose(positive, unlabelled)
@@ -148,15 +168,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
             pi = np.array_split(rng.permutation(len(xp)), batches)
             ui = np.array_split(rng.permutation(len(xu)), batches)
             for a, b in zip(pi, ui, strict=True):
-                p, u = xp[a], xu[b]
-                sp = 1 / (1 + np.exp(-(p @ w[:-1] + w[-1])))
-                su = 1 / (1 + np.exp(-(u @ w[:-1] + w[-1])))
-                # logistic loss: l(+) = -log s, l(-) = -log(1 - s)
-                as_clean = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-                gp, gu = prior * (sp - 1) / len(a), np.zeros(len(b))
-                if as_clean >= 0:
-                    gp, gu = gp - prior * sp / len(a), su / len(b)
-                grad = np.concatenate([gp @ p + gu @ u, [gp.sum() + gu.sum()]])
+                _, grad = risk(w, xp[a], xu[b], prior)
                 grad[:-1] += RIDGE * w[:-1]
                 step += 1
                 m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -168,7 +180,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", prior: float | None = None) -> Model:
     """Fit on rows where ``learn`` (a condition on the id) holds. Confirmed
-    rows have label 1; all other rows, labelled or not, are unlabelled text.
+    rows have label 1; all rows, labelled or not, are unlabelled text. Ids and
+    labels meet first, without texts; then one pass reads the sample's texts.
     ``prior``: share of toxic text; if None, that among the labelled rows."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn)
@@ -176,20 +189,27 @@ def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", tex
         "mark is not null").groupBy("id").agg(F.max("mark").alias("mark"))
     if prior is None:
         prior = marks.agg(F.avg((F.col("mark") == 1).cast("double"))).first()[0] or 0.0
-    confirmed = marks.where("mark = 1").select("id")
+    confirmed = picked(rows, marks.where("mark = 1"), MAX_POSITIVE)
 
     def run(batches):
         find = featurizer()
         for part in slices(batches):
-            packed = [np.array(sorted(find(t)), np.int32).tobytes() for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["found"])
-
-    def gathered(some: DataFrame) -> list[np.ndarray]:
-        got = some.select("text").mapInArrow(run, "found binary").toArrow().column(0).to_pylist()
-        return [np.frombuffer(x, np.int32) for x in sorted(got)]  # sorted: the order of tasks doesn't matter
-    toxic = thinned(rows.join(confirmed, "id", "left_semi"), F.col("id"), MAX_POSITIVE)
-    other = thinned(rows.join(confirmed, "id", "left_anti"), F.col("id"), MAX_UNLABELLED)
-    return fit_nnpu(gathered(toxic), gathered(other), prior)
+            packed = [np.array(sorted(find(t)), np.int32).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), *part.columns[2:]],
+                                             ["id", "found", "toxic", "other"])
+
+    share = int(min(1.0, MAX_UNLABELLED / max(1, rows.count())) * (1 << 30))
+    other = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < share
+    some = rows.join(F.broadcast(confirmed.withColumnRenamed("mark", "toxic")), "id", "left").select(  # MAX_POSITIVE ids, about
+        "id", "text", F.col("toxic").isNotNull().alias("toxic"), other.alias("other")).where("toxic or other")
+    kind = StructType([some.schema["id"]]).add("found", "binary").add("toxic", "boolean").add("other", "boolean")
+    table = collected(some.mapInArrow(run, kind), MAX_BYTES)
+    discard(confirmed)
+    found, toxic, unlabelled = (table.column(c).to_pylist() for c in ("found", "toxic", "other"))
+
+    def those(flags: list[bool]) -> list[np.ndarray]:  # sorted: the order of tasks doesn't matter
+        return [np.frombuffer(x, np.int32) for x in sorted(f for f, flag in zip(found, flags, strict=True) if flag)]
+    return fit_nnpu(those(toxic), those(unlabelled), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
