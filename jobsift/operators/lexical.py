@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 TOKEN = r"[\p{L}\p{N}]+"
 #: Document frequencies are counted for this many hash values of terms, so
 #: their number is fixed whatever the corpus.
@@ -93,13 +95,66 @@ def document_frequencies(postings: DataFrame, text: str) -> tuple[int, dict[int,
     return found.pop(-1, 0), found
 
 
+def term_counts(corpus: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf): a posting's terms and how often it has them. Counted
+    within a row, so nothing is shuffled."""
+    tokens = F.array_sort(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0)))
+    # in sorted tokens a term ends where the next differs; the distance between ends is its count
+    ends = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: (i == F.size("_t")) | (F.get("_t", i) != F.get("_t", i - 1)))
+    runs = F.transform("_e", lambda e, at: F.struct(F.get("_t", e - 1).alias("term"), (
+        e - F.coalesce(F.get("_e", at - 1), F.lit(0))).cast("long").alias("tf")))
+    return (corpus.select(key, tokens.alias("_t")).filter(F.size("_t") > 0).withColumn("_e", ends)
+                  .select(key, F.explode(runs).alias("_r")).select(key, "_r.term", "_r.tf"))
+
+
+#: Terms that stand for more than one in this many (posting, term) pairs take
+#: their idf from a broadcast; they are that many at most.
+COMMON = 100_000
+
+
 def lexical_match(landed: DataFrame, corpus: DataFrame, resumes: DataFrame, key: str = "seq",
                   text: str = "description") -> DataFrame:
     """(role_id, key, lexical_score 0..100) of every landed (posting, role)
     row: the cosine of TF-IDF vectors (0 without a shared term), with
-    idf(t) = ln((N + 1) / (df(t) + 1)) over ``corpus``, where df(t) is the
-    number of postings that hold any term of t's hash value (BUCKETS), not t
-    alone: rare terms weigh less once the vocabulary is larger than that.
+    idf(t) = ln((N + 1) / (df(t) + 1)) and df(t) counted exactly over ``corpus``
+    (one row a key).
+
+    A posting's terms are counted within its row and written once, narrow.
+    Frequencies are summed before their shuffle. Common terms (COMMON) take
+    their idf from a broadcast, so the shuffle by term that gives the others
+    theirs has no large group and few of the pairs. Resume vectors (one per
+    role, bounded by configuration) meet the pairs by term, and sums by posting
+    are made in the tasks first.
+    """
+    n = corpus.count()
+    pairs = materialize(term_counts(corpus.select(key, text), key, text), "term-counts")
+    frequency = materialize(pairs.groupBy("term").agg(F.count("*").alias("df")), "term-frequencies")
+    total = frequency.agg(F.sum("df")).first()[0] or 0
+    idf = F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1))
+    known = frequency.select("term", idf.alias("idf"), (F.col("df") * COMMON > total).alias("common"))
+    common = F.broadcast(known.filter("common").select("term", "idf"))
+    weighed = pairs.join(common, "term").unionByName(
+        pairs.join(common.select("term"), "term", "left_anti").join(known.filter("NOT common").select("term", "idf"), "term"))
+    weighed = weighed.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    own = term_counts(resumes.select("role_id", "resume_text"), "role_id", "resume_text").join(
+        frequency, "term", "left").select("role_id", "term", (F.col("tf") * idf).alias("rw"))
+    own = materialize(own, "resume-terms")
+    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    lengths = own.groupBy("role_id").agg(F.sqrt(F.sum(F.col("rw") * F.col("rw"))).alias("length"))
+    dots = weighed.join(own, "term").groupBy("role_id", key).agg(F.sum(F.col("w") * F.col("rw")).alias("dot"))
+    cosine = F.try_divide(F.col("dot"), F.col("size") * F.col("length"))
+    scores = dots.join(norms, key).join(lengths, "role_id").select(
+        "role_id", key, F.bround(F.lit(100) * F.coalesce(cosine, F.lit(0.0))).cast("int").alias("_s"))
+    return landed.select("role_id", key).join(scores, ["role_id", key], "left").select(
+        "role_id", key, F.coalesce("_s", F.lit(0)).alias("lexical_score"))
+
+
+def lexical_match_hashed(landed: DataFrame, corpus: DataFrame, resumes: DataFrame, key: str = "seq",
+                         text: str = "description") -> DataFrame:
+    """``lexical_match`` without a shuffle, for one pass over landed rows where
+    approximate scores do: df(t) is the number of postings that hold any term of
+    t's hash value (BUCKETS), not t alone, so rare terms weigh less once the
+    vocabulary is larger than that.
 
     The fixed-size frequencies and the resumes (one per role, bounded by
     configuration) go to the tasks; each row is then scored where it is, with

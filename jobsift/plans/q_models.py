@@ -109,13 +109,12 @@ WITH {O.landed_ctes()},
 docs AS (SELECT seq, lower(description) AS d FROM p),
 n AS (SELECT count(*) AS n FROM docs),
 ptok AS (SELECT seq, unnest(regexp_extract_all(d, {tok})) AS term FROM docs),
-hashed AS (SELECT seq, term, substr(md5(term), 1, 4) AS b FROM ptok),
-dfreq AS (SELECT b, count(DISTINCT seq) AS df FROM hashed GROUP BY b),
+dfreq AS (SELECT term, count(DISTINCT seq) AS df FROM ptok GROUP BY term),
 res AS (SELECT r.role_id, lower(b.text) AS d FROM roles r JOIN benchmark b ON b.item_id = r.role_id),
 rtok AS (SELECT role_id, unnest(regexp_extract_all(d, {tok})) AS term FROM res),
 terms AS (SELECT term FROM ptok UNION SELECT term FROM rtok),
 idf AS (SELECT term, ln((n.n + 1.0) / (COALESCE(df, 0) + 1)) AS idf
-        FROM terms LEFT JOIN dfreq ON b = substr(md5(term), 1, 4) CROSS JOIN n),
+        FROM terms LEFT JOIN dfreq USING (term) CROSS JOIN n),
 ptf AS (SELECT seq, term, count(*) AS tf FROM ptok GROUP BY seq, term),
 pw AS (SELECT seq, term, tf * idf AS w FROM ptf JOIN idf USING (term)),
 rtf AS (SELECT role_id, term, count(*) AS tf FROM rtok GROUP BY role_id, term),
@@ -131,7 +130,7 @@ FROM landed l LEFT JOIN cosines USING (role_id, seq)
 
 
 register("lexical_match", _lexical_sql())(lambda spark, d: lexical.lexical_match(
-    landed_postings(spark, d, CFG), postings(spark, d).select("description"), _resumes(spark, d)))
+    landed_postings(spark, d, CFG), postings(spark, d).select("seq", "description"), _resumes(spark, d)))
 
 
 # ---- H2: incremental run over landed batches ------------------------------------------------------

@@ -28,10 +28,32 @@ def test_lexical_scores_are_bounded_and_identity_is_full(spark):
                                     "role_id int, resume_text string")
     landed = posts.selectExpr("explode(array(1, 2)) AS role_id", "seq", "description").filter("NOT (role_id = 2 AND seq = 1)")
     got = {(r.role_id, r.seq): r.lexical_score for r in lexical.lexical_match(landed, posts, resumes).collect()}
+    hashed = {(r.role_id, r.seq): r.lexical_score for r in lexical.lexical_match_hashed(landed, posts, resumes).collect()}
+    assert got == hashed  # so few terms share no hash value
     assert len(got) == 5 and all(0 <= v <= 100 for v in got.values())
     assert got[(1, 1)] == 100 and got[(1, 2)] == 0 and got[(2, 2)] > 0 and got[(1, 3)] > 0
 
 
+def test_terms_are_counted_within_a_row(spark):
+    rows = [(1, "B a b, a! B 12 é"), (2, None), (3, ""), (4, "x"), (5, "x x x")]
+    df = spark.createDataFrame(rows, "seq long, description string")
+    got = sorted(map(tuple, lexical.term_counts(df, "seq", "description").collect()))
+    assert got == [(1, "12", 1), (1, "a", 2), (1, "b", 3), (1, "é", 1), (4, "x", 1), (5, "x", 3)]
+
+
+def test_rare_and_common_terms_weigh_alike_by_either_join(spark, monkeypatch):
+    posts = spark.createDataFrame([(i, f"common word{i % 7} own{i}") for i in range(60)] + [(99, None)], "seq long, description string")
+    resumes = spark.createDataFrame([(1, "common word3 own5 absent"), (2, ""), (3, None)], "role_id int, resume_text string")
+    landed = posts.selectExpr("explode(array(1, 2, 3)) AS role_id", "seq")
+    scores = []
+    for common in (0, 20, 10 ** 6):  # all by shuffle, the one common term by broadcast, all by broadcast
+        monkeypatch.setattr(lexical, "COMMON", common)
+        scores.append(sorted(map(tuple, lexical.lexical_match(landed, posts, resumes).collect())))
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 183
+    by = {(r, s): x for r, s, x in scores[0]}
+    assert by[1, 5] > by[1, 3] > by[1, 0] >= 0 and all(by[r, s] == 0 for r, s in by if r > 1 or s == 99)
+
+
 def test_a_failing_row_does_not_take_its_batch_along(spark):
     import pandas as pd
 
