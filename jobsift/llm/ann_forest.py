@@ -6,10 +6,11 @@ its vectors at the median of their projections on the difference of two of
 them, down to LEAF vectors. Every row is then routed down every tree, so the
 index holds all rows. A query searches all trees through one shared priority
 queue: the node whose splits it misses by the least is opened next, whichever
-tree it is in, until the opened leaves hold SHARE times as many vectors as
-there are (a vector stands in each tree, so they overlap). The rows of the
-opened leaves are the candidates, ranked exactly by inner product in double
-precision on the original vectors.
+tree it is in, until the opened leaves hold a share of as many vectors as there
+are (a vector stands in each tree, so they overlap). That share is measured: the
+smallest of SHARES at which PROBES vectors of the sample find TARGET of their
+nearest others in it. The rows of the opened leaves are the candidates, ranked
+exactly by inner product in double precision on the original vectors.
 
 A run of neighbouring leaves is a plot. Rows and queries meet by plot; a plot
 with many rows or queries is cut into blocks by hash, and each pair of blocks
@@ -40,8 +41,12 @@ from .common import written
 SAMPLE = 16384
 TREES = 4
 LEAF = 128
-SHARE = 1.3
+SHARES = (0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0, 1.3, 1.6, 2.0, 3.0, float(TREES))
+PROBES = 256
+TARGET = 0.94
 K = 20
+#: Queries that a task searches for, about.
+SEARCHED = 256
 #: Leaves of a plot, and the rows and queries of a block, about.
 PLOT = 16
 ROWS = 4096
@@ -123,6 +128,29 @@ def fit(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 3)
                   tuple(roots), np.array(shares))
 
 
+def share_for(forest: Forest, sample: np.ndarray, k: int, target: float = TARGET, probes: int = PROBES, seed: int = 4) -> float:
+    """The smallest of SHARES at which vectors of the sample find ``target`` of
+    their ``k`` nearest others in it."""
+    picked = np.random.default_rng(seed).permutation(len(sample))[:probes]
+    leaf_of = forest.leaves(sample)  # (rows, trees)
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return SHARES[-1]
+    hits = np.zeros(len(SHARES))
+    for i in picked:
+        near = sample @ sample[i]
+        near[i] = -np.inf
+        best = leaf_of[np.argpartition(-near, k - 1)[:k]]
+        order = forest.search(sample[i], SHARES[-1])  # all shares open leaves in the same order
+        held = np.cumsum(forest.shares[order])
+        when = np.full(len(forest.shares), np.inf)
+        when[order] = held - forest.shares[order]  # what is open before a leaf is
+        first = when[best].min(axis=1)
+        hits += [(first < share).sum() for share in SHARES]
+    reached = hits / (len(picked) * k) >= target
+    return SHARES[int(reached.argmax())] if reached.any() else SHARES[-1]
+
+
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, v): rows whose vector takes part."""
     v = F.col("v")
@@ -140,9 +168,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
-            share: float = SHARE) -> DataFrame:
+            share: float | None = None) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found for each row that
-    ``is_query`` (a condition on ``id``) picks, among all other rows."""
+    ``is_query`` (a condition on ``id``) picks, among all other rows. ``share``
+    is measured if not given."""
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vector_col).distinct()
     few = Window.partitionBy("v").orderBy("id")
@@ -154,18 +183,16 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     order = np.argsort(np.asarray(sample.column("id")), kind="stable")
-    forest = spark.sparkContext.broadcast(fit(_matrix(sample.column("v"))[order]))  # bounded by SAMPLE
-    trees = len(forest.value.roots)
+    fitted = _matrix(sample.column("v"))[order]
+    forest = spark.sparkContext.broadcast(fit(fitted))  # bounded by SAMPLE
+    if share is None:
+        share = share_for(forest.value, fitted, k)
 
     def route(batches):
         for batch in batches:
-            if batch.num_rows:
-                leaves = forest.value.leaves(_matrix(batch.column(1)))
-                again = np.tile(np.arange(batch.num_rows), trees)
-                flat = leaves.T.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(again)), batch.column(1).take(pa.array(again)),
-                     pa.array(flat // PLOT), pa.array(flat)], ["id", "v", "plot", "leaf"])
+            leaves = forest.value.leaves(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, 1), np.int64)
+            held = pa.array(leaves.tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, held], ["id", "v", "leaves"])
 
     def open_leaves(batches):
         for batch in batches:
@@ -182,13 +209,14 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                  pa.array(opened, pa.list_(pa.int64()))], ["id", "v", "plot", "leaves"])
 
     kind = rows.schema["v"].dataType.simpleString()
-    routed = rows.mapInArrow(route, f"id long, v {kind}, plot long, leaf long")
-    asked = written(queries.select("id", "v").mapInArrow(open_leaves, f"id long, v {kind}, plot long, leaves array<long>"),
-                    "ann-queries")
+    routed = written(rows.mapInArrow(route, f"id long, v {kind}, leaves array<long>"), "ann-routed").select(
+        "id", "v", F.explode("leaves").alias("leaf")).withColumn("plot", F.floor(F.col("leaf") / PLOT))
+    tasks = max(1, -(-queries.count() // SEARCHED))
+    asked = written(queries.select("id", "v").repartition(tasks, "id").mapInArrow(
+        open_leaves, f"id long, v {kind}, plot long, leaves array<long>"), "ann-queries")
 
     # into how many blocks each plot's rows and queries are cut; plots are as many as the sample has leaves / PLOT
-    plots = {r["plot"]: [r["n"], 0] for r in rows.mapInArrow(route, f"id long, v {kind}, plot long, leaf long").groupBy(
-        "plot").agg(F.count("*").alias("n")).collect()}
+    plots = {r["plot"]: [r["n"], 0] for r in routed.groupBy("plot").agg(F.count("*").alias("n")).collect()}
     for r in asked.groupBy("plot").agg(F.count("*").alias("n")).collect():
         plots.setdefault(r["plot"], [0, 0])[1] = r["n"]
     cuts = F.create_map(*[F.lit(x) for p, (n, q) in sorted(plots.items())

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobsift.llm import dual_lloyd, hnsw_dedup, queries, whitening
+from jobsift.llm import ann_forest, dual_lloyd, hnsw_dedup, queries, whitening
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, code string, x array<long>, v int, n long, g long"
@@ -284,3 +284,15 @@ def test_the_table_has_no_lost_links(spark):
     x = np.array([r.embedding for r in rows], float)
     assert queries.QUERIES["op13_hnsw_dedup"](spark, "/root/testdata/sf0.1").agg(F.sum("n_links")).first()[0] == (
         x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.95).sum() - len(x)
+
+
+# --- 10: the share of rows that a search opens
+
+def test_clustered_vectors_open_few_leaves():
+    rng = np.random.default_rng(12)
+    spread, centres = rng.normal(size=(4000, 32)), rng.normal(size=(200, 32))
+    clustered = np.repeat(centres, 20, axis=0) + 0.05 * rng.normal(size=(4000, 32))
+    shares = [ann_forest.share_for(ann_forest.fit(x, leaf=32), x / np.linalg.norm(x, axis=1, keepdims=True), 10) for x in (clustered, spread)]
+    assert shares[0] <= 0.2 < shares[1]
+    tiny = rng.normal(size=(1, 3))
+    assert ann_forest.share_for(ann_forest.fit(tiny), tiny, 5) == ann_forest.SHARES[-1]
