@@ -77,6 +77,29 @@ FROM p WHERE source = 'weworkremotely'
 """)(_rss)
 
 
+# ---- A3 at size: one feed file, read by many tasks ------------------------------------------
+def _large_feed(spark, d):
+    path = f"{checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
+    FP.write_feed_file(postings(spark, d), path)
+    out = json_boards.feed_file_postings(spark, path)
+    return out.select("feed_title", "job_id", "title", "company", "location", "url", format_ts("posted_at").alias("posted_at"),
+                      "description", F.col("mapped_work_type").alias("work_type"))
+
+
+_RSS_COLS = f"""url AS job_id, trim(split_part(company || ': ' || title || ' at ' || company, ':', 1)) AS title,
+  company,
+  CASE WHEN seq % 2 = 0 THEN 'Remote (Worldwide)' ELSE 'Remote (Anywhere in the World)' END AS location,
+  url, strftime(posted_at, {TS_FMT}) AS posted_at,
+  ' ' || {O.escaped_sql("regexp_replace(description, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]', '', 'g')")} || ' '
+    AS description,
+  'remote' AS work_type"""
+
+register("large_feed_postings", f"""
+WITH {O.postings_cte()}
+SELECT 'Programming jobs' AS feed_title, {_RSS_COLS} FROM p WHERE source = 'weworkremotely'
+""")(_large_feed)
+
+
 # ---- A4: HTML cards --------------------------------------------------------------------------
 CARD_COLS = ["source", "url", "job_id", "title", "company", "posted_at", "location", "mapped_work_type",
              "employment_type", "salary", "description"]

@@ -221,8 +221,8 @@ def json_payloads(postings: DataFrame) -> DataFrame:
             .unionByName(grouped("greenhouse", "jobs", company, token)))
 
 
-def rss_feeds(postings: DataFrame) -> DataFrame:
-    """RSS documents for the feed board: 'Company: Title' titles, HTML summaries."""
+def rss_item() -> Column:
+    """A feed entry: 'Company: Title' title, HTML summary."""
     def x(c) -> Column:
         return esc(c)
     pub = F.when(F.col("posted_at").isNotNull(),
@@ -233,14 +233,26 @@ def rss_feeds(postings: DataFrame) -> DataFrame:
     region = F.when(F.col("seq") % 2 == 0, F.lit("")).otherwise(F.lit("<region>Anywhere in the World</region>"))
     clean = F.regexp_replace(esc("description"), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]", "")
     summary = F.concat(F.lit("<p>"), clean, F.lit("</p>"))
-    item = F.concat(F.lit("<item><title>"), x(F.concat("company", F.lit(": "), "title", F.lit(" at "), "company")),
+    return F.concat(F.lit("<item><title>"), x(F.concat("company", F.lit(": "), "title", F.lit(" at "), "company")),
                     F.lit("</title><link>"), x("url"), F.lit("</link><guid>"), x("url"), F.lit("</guid><description>"),
                     x(summary), F.lit("</description>"), author, region, pub, F.lit("</item>"))
+
+
+def rss_feeds(postings: DataFrame) -> DataFrame:
+    """RSS documents for the feed board."""
     items = (postings.filter(F.col("source") == "weworkremotely")
-                     .select((F.col("seq") / (PAGE_ITEMS * 9)).cast("long").alias("_pg"), "seq", item.alias("_i")))
+                     .select((F.col("seq") / (PAGE_ITEMS * 9)).cast("long").alias("_pg"), "seq", rss_item().alias("_i")))
     g = items.groupBy("_pg").agg(F.array_sort(F.collect_list(F.struct("seq", "_i"))).alias("_items"))
     return g.select(F.lit(1).alias("role_id"), F.lit("weworkremotely").alias("source"), F.lit(0).alias("search_cell"),
                     F.col("_pg").alias("payload_id"),
                     F.concat(F.lit("<rss><channel><title>Programming jobs</title>"),
                              F.array_join(F.transform("_items", lambda x_: x_["_i"]), ""),
                              F.lit("</channel></rss>")).alias("body"))
+
+
+def write_feed_file(postings: DataFrame, path: str) -> None:
+    """All entries of the feed board as one feed file."""
+    rows = postings.filter(F.col("source") == "weworkremotely").select("seq", rss_item().alias("value"))
+    ends = postings.sparkSession.createDataFrame(
+        [(-1, "<rss><channel><title>Programming jobs</title>"), ((1 << 63) - 1, "</channel></rss>")], "seq long, value string")
+    rows.unionByName(ends).repartition(1).sortWithinPartitions("seq").select("value").write.text(path)

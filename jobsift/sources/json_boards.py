@@ -7,13 +7,14 @@ Payloads are landed as ``(role_id, source, search_cell, token, body)`` rows;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify as C
 from ..functions import text as X
 from ..functions import timestamps as TS
+from ..session import materialize
 
 S = T.StringType()
 
@@ -123,21 +124,60 @@ def company_board_postings(payloads: DataFrame) -> DataFrame:
                     C.work_type_from_location(loc).alias("mapped_work_type"))
 
 
+def _feed_columns() -> list:
+    """Posting columns of a parsed feed item ``j``."""
+    full_title = _d("j.title")
+    return [_d("j.guid").alias("job_id"), full_title.alias("entry_title"),
+            X.feed_title(full_title).alias("title"),
+            X.feed_company(F.col("j.author"), full_title).alias("company"),
+            F.concat(F.lit("Remote ("), F.coalesce(F.col("j.region"), F.lit("Worldwide")), F.lit(")"))
+            .alias("location"),
+            _d("j.link").alias("url"), X.strip_tags(_d("j.description")).alias("description"),
+            TS.feed_date("j.pubDate", "j.updated").alias("posted_at"),
+            F.lit("remote").alias("mapped_work_type")]
+
+
 def rss_postings(feeds: DataFrame) -> DataFrame:
     """RSS feed items: title before ':', company = author else text after the
     last ' at ', location 'Remote (region)' (default region Worldwide),
     tag-stripped summary, published else updated date, guid as id."""
     j = _explode(feeds, F.from_xml("body", RSS_SCHEMA), "channel.item")
-    full_title = _d("j.title")
-    return j.select(*KEYS, "item_ord",
-                    _d("j.guid").alias("job_id"), full_title.alias("entry_title"),
-                    X.feed_title(full_title).alias("title"),
-                    X.feed_company(F.col("j.author"), full_title).alias("company"),
-                    F.concat(F.lit("Remote ("), F.coalesce(F.col("j.region"), F.lit("Worldwide")), F.lit(")"))
-                    .alias("location"),
-                    _d("j.link").alias("url"), X.strip_tags(_d("j.description")).alias("description"),
-                    TS.feed_date("j.pubDate", "j.updated").alias("posted_at"),
-                    F.lit("remote").alias("mapped_work_type"))
+    return j.select(*KEYS, "item_ord", *_feed_columns())
+
+
+FEED_ITEM = RSS_SCHEMA["channel"].dataType["item"].dataType.elementType
+ITEM_END = "</item>"
+
+
+def feed_file_items(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, block, place, head, item) of the feed files at ``paths``: one row
+    for each item, whatever the size of a file.
+
+    Files are read in pieces that end with an item, so many tasks share one
+    feed and no feed is ever held whole. ``block`` (where the task's part of the
+    file begins) and ``place`` order the items of a file; ``head`` is the text
+    before the first item, NULL elsewhere.
+    """
+    pieces = spark.read.option("lineSep", ITEM_END).text(paths).select(
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    begin = F.regexp_instr("value", F.lit(r"<item[\s>]"))
+    first = F.col("value").rlike(r"<channel[\s>]")
+    return pieces.select(
+        "path", "block", "place", F.when(first, F.when(begin > 0, F.substring("value", F.lit(1), begin - 1)).otherwise(F.col("value"))).alias("head"),
+        F.when(begin > 0, F.concat(F.substring("value", begin, F.length("value")), F.lit(ITEM_END))).alias("item"))
+
+
+def feed_file_postings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``rss_postings`` of feed files: (path, feed_title, block, place) and the
+    posting columns. The titles of the feeds are written first, so that Spark
+    knows how small they are when it joins them back, and items stay where they
+    were read."""
+    pieces = feed_file_items(spark, paths)
+    titles = materialize(pieces.filter("head IS NOT NULL").groupBy("path").agg(
+        F.min(F.regexp_extract("head", r"(?s)<title>(.*?)</title>", 1)).alias("feed_title")), "feed-titles")
+    items = pieces.filter("item IS NOT NULL").select("path", "block", "place", F.from_xml("item", FEED_ITEM).alias("j"))
+    return items.join(titles, "path", "left").select("path", "feed_title", "block", "place", *_feed_columns())
 
 
 LANDED_COLS = ["role_id", "source", "search_cell", "seq", "job_id", "url", "company", "title", "description",
