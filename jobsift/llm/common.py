@@ -64,6 +64,21 @@ def slices(batches: Iterable, rows: int = 64) -> Iterator:
             yield batch.slice(at, rows)
 
 
+#: A key of more than 1 / HOT of all rows is joined apart from the others.
+HOT = 1000
+
+
+def joined(rows: DataFrame, one: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined with the written table ``one``, which has a row for each
+    key; ``weight`` is the number of rows with it. Keys over 1 / HOT of all rows,
+    HOT of them at most, are broadcast with a row of fixed width each; in the
+    shuffle of the others no key weighs more than that."""
+    total = one.agg(F.sum(weight)).first()[0] or 0
+    often = F.col(weight) * HOT > total
+    hot, rest = F.broadcast(one.where(often).drop(weight)), one.where(~often).drop(weight)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b): the smallest node
     reachable.

@@ -23,11 +23,12 @@ taken of the rest.
 
 Only DataFrame functions are used. Cases: a null or empty text has size 0 and
 gets taken 0; a null source is a source of its own, last in order; equal
-keys are ordered by id, size and text hash; a null id draws like any other
-value; a source of only empty texts has target 0; quality weights that are
+keys are ordered by id, size and text hash; a row without an id draws from its
+text; a source of only empty texts has target 0; quality weights that are
 null, not finite or below MIN_WEIGHT count as MIN_WEIGHT; an empty table gives
 an empty mix. Internal columns carry the prefix ``_llm_``, so other input
-columns cannot clash.
+columns cannot clash; ``mix`` refuses to keep columns named as its own results
+(ValueError), and ``mixed`` carries any.
 """
 
 from __future__ import annotations
@@ -56,9 +57,11 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(share * share, F.lit(0.0))
 
 
-def uniform(id_col: Column) -> Column:
-    """A number in (0, 1) drawn from the id alone."""
-    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+def uniform(id_col: Column, text: Column) -> Column:
+    """A number in (0, 1) drawn from the id alone, or from the text where there
+    is no id."""
+    own = F.concat(F.lit("#"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(id_col.cast("string"), own)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
@@ -93,12 +96,14 @@ def mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str
         weight: Column | None = None) -> DataFrame:
     """Columns ``keep`` of each row with size, source_size, target and taken
     (words the mix takes of it). ``weight``: quality weight of a row."""
+    if clash := {"size", "source_size", "target", "taken"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} would stand twice in the mix")
     weight = quality_weight(F.col(text_col)) if weight is None else weight
     weight = F.when(weight > MIN_WEIGHT, weight).otherwise(F.lit(MIN_WEIGHT))
     weight = F.when(F.isnan(weight) | (weight == float("inf")), F.lit(MIN_WEIGHT)).otherwise(weight)
     rows = docs.select(
         *[F.col(f"`{c}`") for c in keep], F.col(source_col).alias("_llm_source"), F.col(id_col).alias("_llm_id"),
-        size_of(F.col(text_col)).alias("size"), (-F.log(uniform(F.col(id_col))) / weight).alias("_llm_key"),
+        size_of(F.col(text_col)).alias("size"), (-F.log(uniform(F.col(id_col), F.col(text_col))) / weight).alias("_llm_key"),
         F.xxhash64(text_col).alias("_llm_text"))
     rows = rows.withColumn("_llm_range", F.floor(F.log("_llm_key") * STEPS).cast("int"))
     rows = written(rows, "mix-rows")

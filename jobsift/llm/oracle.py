@@ -36,7 +36,7 @@ WITH sized AS (
   SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
          length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS dense,
          length(regexp_replace(text, '[^#*$%&|<>!]+', '', 'g')) AS marks,
-         (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u
+         (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '#' || md5(coalesce(text, '')))), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u
   FROM documents),
 keyed AS (
   SELECT *, -ln(u) / greatest(0.05, coalesce(((dense - marks) / CAST(nullif(dense, 0) AS DOUBLE)) ** 2, 0)) AS key FROM sized),

@@ -18,7 +18,8 @@ Cases: a null or blank text has no word and fingerprint zero, linked like any
 other; fewer words than a shingle form one shingle; repeated rows and ids are
 kept, each as its own row; an empty table gives an empty result; a null id
 never becomes a component id while the component holds another. Only the id
-and text columns are read, so further columns cannot clash.
+and text columns are read, so further columns cannot clash. Ids are integers:
+other types are cast to long, and a text that is none fails.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType
 
-from .common import connected_components, slices, small_batches, written
+from .common import connected_components, discard, joined, slices, small_batches, written
 
 SEED = 42
 #: Largest bucket that is joined with itself; a larger one is split by further
@@ -120,16 +121,22 @@ def links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
 
 
 def classes(prints: DataFrame, max_distance: int = 2) -> DataFrame:
-    """(fp, root, component, winner) of each distinct fingerprint in ``prints``
-    (id, fp): the class it belongs to, the smallest id in it, and whether the
-    class's kept document (smallest id, then smallest fingerprint) has it."""
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    """(fp, root, component, winner, n) of each distinct fingerprint in
+    ``prints`` (id, fp): the class it belongs to, the smallest id in it, whether
+    the class's kept document (smallest id, then smallest fingerprint) has it,
+    and how many rows have the fingerprint. Written to the shared folder."""
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = connected_components(links(nodes.select("fp"), max_distance), "simhash-components")
-    known = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", F.coalesce("component", "fp").alias("root"), "least")
-    first = known.groupBy("root").agg(
-        F.min("least").alias("component"), F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("kept"))
-    return known.join(first, "root").select("fp", "root", "component", (F.col("kept.fp") == F.col("fp")).alias("winner"))
+    known = written(nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", F.coalesce("component", "fp").alias("root"), "least", "n"), "simhash-known")
+    first = written(known.groupBy("root").agg(
+        F.min("least").alias("component"), F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("kept"),
+        F.count("*").alias("fps")), "simhash-first")
+    out = written(joined(known, first, "root", "fps").select(
+        "fp", "root", "component", (F.col("kept.fp") == F.col("fp")).alias("winner"), "n"), "simhash-classes")
+    for done in (nodes, known, first):
+        discard(done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -137,7 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component) for every row: the smallest id reachable through
     links of at most ``max_distance`` differing bits."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
-    return prints.join(classes(prints, max_distance).select("fp", "component"), "fp").select("id", "fp", "component")
+    return joined(prints, classes(prints, max_distance).select("fp", "component", "n"), "fp", "n").select("id", "fp", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -145,21 +152,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` (all columns) with one row of each class: that with
     the smallest id; of rows that share id and fingerprint, the first by text."""
     small_batches(docs.sparkSession)
-    columns, at_text = docs.columns, docs.columns.index(text_col)
     name = "_llm_fp"
 
-    def run(batches):
-        for part in slices(batches):
-            found = [fingerprint(t, shingle) for t in part.column(at_text).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(np.array(found, np.uint64).view(np.int64))], [*columns, name])
+    @F.arrow_udf(LongType())  # texts go to Python, and only fingerprints come back
+    def fp(texts: pa.Array) -> pa.Array:
+        found = [fingerprint(t.as_py(), shingle) for t in texts]
+        return pa.array(np.array(found, np.uint64).view(np.int64))
 
-    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
-    marked = written(docs.mapInArrow(run, schema), "simhash-rows")
+    marked = written(docs.withColumn(name, fp(F.col(f"`{text_col}`"))), "simhash-rows")
     prints = marked.select(F.col(id_col).cast("long").alias("id"), F.col(name).alias("fp"))
     kept = classes(prints, max_distance).where("winner").select(
         F.col("fp").alias(name), F.col("component").alias("_llm_least"))
-    rows = marked.join(kept, name).where(F.col(id_col).cast("long").eqNullSafe(F.col("_llm_least")))
-    # a class keeps rows of one fingerprint only, so those of one class are together already
+    # copies of a text part by their ids
+    rows = marked.join(kept, (marked[name] == kept[name]) & marked[id_col].cast("long").eqNullSafe(kept["_llm_least"])).drop(kept[name])
+    # a class keeps rows of one fingerprint and id only, so those of one class are together already
     order = Window.partitionBy(name).orderBy(text_col)
-    return rows.withColumn("_llm_rank", F.row_number().over(order)).where("_llm_rank = 1").select(*columns)
+    return rows.withColumn("_llm_rank", F.row_number().over(order)).where("_llm_rank = 1").select(*docs.columns)

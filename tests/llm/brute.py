@@ -82,7 +82,8 @@ def mix(rows, cap=3):
         open_ -= over
 
     def draw(doc, text):
-        u = (int(hashlib.md5(f"mix:{'' if doc is None else doc}".encode()).hexdigest()[:12], 16) + 0.5) / 2 ** 48
+        own = "#" + hashlib.md5((text or "").encode()).hexdigest() if doc is None else doc
+        u = (int(hashlib.md5(f"mix:{own}".encode()).hexdigest()[:12], 16) + 0.5) / 2 ** 48
         dense = len(re.sub(r"[\x20\x09-\x0D]+", "", text or ""))
         marks = len(re.sub(r"[^#*$%&|<>!]+", "", text or ""))
         return -math.log(u) / max(0.05, ((dense - marks) / dense) ** 2 if dense else 0)

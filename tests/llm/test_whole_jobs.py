@@ -3,9 +3,11 @@
 import itertools
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobsift.llm import line_dedup, mixing, queries, rule_ledger, url_graph
+from jobsift.llm.common import joined
 
 
 # --- 3: URL filter
@@ -72,6 +74,30 @@ def test_a_source_misses_its_target_by_half_its_longest_document_at_most(spark):
     assert all(abs(got[s] - goal[s]) <= longest[s] / 2 for s in goal)
 
 
+def test_columns_named_as_results_are_refused_or_carried(spark):
+    df = spark.createDataFrame([(1, "a", "x y", 7, "t"), (None, "a", "z", 8, "t"), (None, "a", "w w", 9, "t")],
+                               "doc_id long, source string, text string, size int, target string")
+    with pytest.raises(ValueError, match="size"):
+        mixing.mix(df, ["doc_id", "size"])
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and {r["size"] for r in out.collect()} <= {7, 8, 9}
+
+
+def test_rows_without_ids_draw_from_their_texts(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(50)], "doc_id long, text string")
+    assert df.select(mixing.uniform(F.col("doc_id"), F.col("text"))).distinct().count() == 50
+
+
+# --- 4: near duplicates
+
+def test_hot_keys_are_joined_apart(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("long").alias("k"), "id")
+    one = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = joined(rows, one, "k", "n")
+    assert got.count() == 5000 and got.columns == ["k", "id", "least"]
+    assert {r.least for r in got.where("k = 7").collect()} == {0} and got.where("k <> 7 AND least <> id").count() == 0
+
+
 # --- 9: rules
 
 def test_a_clean_text_is_kept_whatever_its_length(spark, tmp_path):
