@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..operators.cells import n_cells
 from ..params import GLOBAL_SEARCH_BOARDS
 from ..sources.fixtures import FIXTURE_CONFIG as CFG
 from ..session import checkpoint_dir
-from ..sources import fixture_pages, html_cards, json_boards, landed
+from ..sources import fixture_pages, html_cards, json_boards, landed, payload_files
 from ..sources.fixtures import landed_postings, postings, tracked_seed
 from . import oracle_sql as O
 from . import run as R
@@ -142,12 +143,30 @@ FROM merged
 
 
 # ---- H1 from raw payloads: adapters, partitioned landing, pruned read, run -----------------
+def fetched_payloads(spark, d):
+    """API payloads and feeds as a fetcher leaves them, one file each by board
+    and day, read back for the run's boards and the days of its window."""
+    p = postings(spark, d)
+    root = f"{checkpoint_dir(spark)}/fetched-{uuid.uuid4().hex}"
+    last = dt.date.fromisoformat(RUN.run_ts[:10])
+    fetched = F.date_sub(F.lit(last), F.pmod("payload_id", F.lit(FETCH_DAYS)).cast("int")).alias("day")
+    api, feeds = fixture_pages.json_payloads(p), fixture_pages.rss_feeds(p).withColumn("token", F.lit(None).cast("string"))
+    payload_files.write(api.select("*", fetched), root, "json")
+    payload_files.write(feeds.select("*", fetched), root, "xml")
+    return payload_files.read(spark, root, [b.name for b in CFG.enabled_boards], last - dt.timedelta(hours=RUN.posted_within_hours)).drop("day")
+
+
+#: The fixture's payloads were fetched over this many days.
+FETCH_DAYS = 5
+
+
 def payload_landed(spark, d):
     """All boards' payloads parsed, landed by board and day, and read back for
     the run's boards and window only."""
-    p = postings(spark, d)
-    cards = html_cards.landed_from_pages(fixture_pages.card_pages(p), CFG)
-    feeds = json_boards.landed_from_payloads(fixture_pages.json_payloads(p), fixture_pages.rss_feeds(p), CFG)
+    cards = html_cards.landed_from_pages(fixture_pages.card_pages(postings(spark, d)), CFG)
+    payloads = fetched_payloads(spark, d)
+    is_feed = F.col("source") == "weworkremotely"
+    feeds = json_boards.landed_from_payloads(payloads.filter(~is_feed), payloads.filter(is_feed), CFG)
     path = f"{checkpoint_dir(spark)}/payload-landing-{uuid.uuid4().hex}"
     landed.write_landed(cards.unionByName(feeds, allowMissingColumns=True), path)
     return landed.read_landed(spark, path, [b.name for b in CFG.enabled_boards], RUN.run_ts, RUN.posted_within_hours)

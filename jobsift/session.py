@@ -57,19 +57,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
     A checkpoint directory that is set already is kept; else the setting of the
-    context or session is used; where there is none (tests, a laptop), a folder
-    in the warehouse, which is shared by definition. Never a temporary folder
-    of one machine.
+    context or session is used; where there is none, a folder in the warehouse:
+    on one machine (tests, a laptop), or if the warehouse is a shared store. On
+    a cluster a local warehouse is no folder that others see, so that is refused.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    if not named:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not shared_by_all(warehouse, sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"{warehouse}/_checkpoints"
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def shared_by_all(path: str, master: str) -> bool:
+    """Whether all tasks see a folder: it is in a store, or there is one machine."""
+    in_store = "://" in path and not path.startswith("file:")
+    return in_store or master == "local" or master.startswith("local[")
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library wrote and no plan reads any more."""
     hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -70,3 +70,10 @@ def test_tracked_probe_does_not_shuffle_tracked(spark):
     from jobsift.sources.fixtures import tracked_seed
     p = plan(dedup.anti_tracked_bounded(gathered, tracked_seed(spark, SF_SMALL)))
     assert "BroadcastHashJoin" in p and "LeftSemi" in p and "LeftAnti" in p
+
+
+def test_a_local_folder_is_shared_on_one_machine_only():
+    from jobsift.session import shared_by_all
+    assert shared_by_all("/warehouse", "local") and shared_by_all("file:/warehouse", "local[4]")
+    assert shared_by_all("s3a://bucket/warehouse", "yarn") and not shared_by_all("file:/warehouse", "yarn")
+    assert not shared_by_all("/warehouse", "spark://host:7077") and not shared_by_all("file:///w", "local-cluster[2,1,1024]")
