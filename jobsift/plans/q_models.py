@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.timestamps import format_ts
 from ..operators import dedup, filters, lexical, scoring
 from ..params import DESCRIPTION_ANALYSIS_CHARS, DESCRIPTION_LETTER_CHARS
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from ..sources import resumes
 from ..sources.fixtures import FIXTURE_CONFIG as CFG
 from ..sources.fixtures import landed_postings, postings, table, tracked_seed
@@ -142,7 +142,7 @@ def _incremental(spark, d):
     whose run skips the URLs that earlier batches tracked."""
     root = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
     landed = landed_postings(spark, d, CFG)
-    answers = R.one_answer(responses(spark, d))
+    answers = materialize(R.one_answer(responses(spark, d)), "answers")
     width = (landed.agg(F.max("seq")).first()[0] or 0) // N_ARRIVALS + 1
     for lot in range(N_ARRIVALS):
         landed.filter(F.expr(f"seq div {width}") == lot).write.mode("append").parquet(f"{root}/landing")
