@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_by_all
+
 #: Rows in one Arrow batch. A text may be megabytes long, so a batch is kept
 #: to few rows; it bounds the memory of a Python worker.
 BATCH_ROWS = 256
@@ -27,15 +29,21 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; where the session has none (tests, a
-    laptop) a folder in the warehouse, which is shared by definition, is set.
+    ``spark.checkpoint.dir`` names it; where the session has none, a folder in
+    the warehouse is set, on one machine (tests, a laptop) or if the warehouse
+    is a store. A cluster with a local warehouse and no named folder is refused.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    if not named:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not shared_by_all(warehouse, sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"{warehouse}/_checkpoints"
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -43,7 +51,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back. It cuts the
     lineage in one job and outlives any executor."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # smaller than the default, and its buffers are freed at once
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._llm_path = path
     return out

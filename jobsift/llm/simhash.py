@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
-from .common import connected_components, discard, joined, slices, small_batches, written
+from .common import connected_components, joined, slices, small_batches, written
 
 SEED = 42
 #: Largest bucket that is joined with itself; a larger one is split by further
@@ -124,19 +124,14 @@ def classes(prints: DataFrame, max_distance: int = 2) -> DataFrame:
     """(fp, root, component, winner, n) of each distinct fingerprint in
     ``prints`` (id, fp): the class it belongs to, the smallest id in it, whether
     the class's kept document (smallest id, then smallest fingerprint) has it,
-    and how many rows have the fingerprint. Written to the shared folder."""
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
+    and how many rows have the fingerprint."""
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     roots = connected_components(links(nodes.select("fp"), max_distance), "simhash-components")
-    known = written(nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", F.coalesce("component", "fp").alias("root"), "least", "n"), "simhash-known")
-    first = written(known.groupBy("root").agg(
-        F.min("least").alias("component"), F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("kept"),
-        F.count("*").alias("fps")), "simhash-first")
-    out = written(joined(known, first, "root", "fps").select(
-        "fp", "root", "component", (F.col("kept.fp") == F.col("fp")).alias("winner"), "n"), "simhash-classes")
-    for done in (nodes, known, first):
-        discard(done)
-    return out
+    known = nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", F.coalesce("component", "fp").alias("root"), "least", "n")
+    first = known.groupBy("root").agg(
+        F.min("least").alias("component"), F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("kept"))
+    return known.join(first, "root").select("fp", "root", "component", (F.col("kept.fp") == F.col("fp")).alias("winner"), "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -144,7 +139,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component) for every row: the smallest id reachable through
     links of at most ``max_distance`` differing bits."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
-    return joined(prints, classes(prints, max_distance).select("fp", "component", "n"), "fp", "n").select("id", "fp", "component")
+    found = written(classes(prints, max_distance).select("fp", "component", "n"), "simhash-classes")
+    return joined(prints, found, "fp", "n").select("id", "fp", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
