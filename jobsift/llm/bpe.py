@@ -34,7 +34,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from .common import slices, small_batches
 
 #: Entries of each generation of a memory of past results.
-REMEMBERED = 3 << 17
+REMEMBERED = 3 << 16
 #: Longer pieces are not remembered.
 SHORT = 48
 #: Longer words are cut with array operations and merged with a heap.
