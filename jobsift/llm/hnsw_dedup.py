@@ -313,6 +313,12 @@ SHARDS = ("shard int, rows binary, copies binary, vectors binary, levels binary,
           "beam int, recall double")
 
 
+def _tasks(df: DataFrame, groups: int) -> int:
+    """Partitions for ``groups`` of much work each: a stated number, which
+    adaptive execution doesn't merge by bytes, and so many that few meet."""
+    return min(8 * groups, max(4000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def shards(groups: DataFrame, count: int, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each shard of ``groups`` (id, g, v, n): its rows, its graph and
     the beam that its audit asks for."""
@@ -333,7 +339,7 @@ def shards(groups: DataFrame, count: int, threshold: float = THRESHOLD) -> DataF
             "beam": pa.array([beam], pa.int32()), "recall": pa.array([recall])})
 
     dealt = groups.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(count)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(make, SHARDS)
+    return dealt.repartition(_tasks(groups, count), "shard").groupBy("shard").applyInArrow(make, SHARDS)
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,6 +383,8 @@ def _counts(built: DataFrame, count: int, threshold: float) -> DataFrame:
         return pa.table({"g": pa.array(order[at, 1]), "n": pa.array(totals[at]), "id": pa.array(order[at, 0]),
                          "root_id": pa.array(order[root, 0]), "root": pa.array(order[root, 1])})
 
+    tasks = _tasks(built, count * (count // 2 + 1))
+    asking, held = (df.repartition(tasks, "a", "b") for df in (asking, held))
     return asking.groupBy("a", "b").cogroup(held.groupBy("a", "b")).applyInArrow(match, "g long, n long, id long, root_id long, root long")
 
 
