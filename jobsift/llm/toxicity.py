@@ -119,13 +119,20 @@ class Model:
 
 
 def _choose(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The features that most set positives apart from unlabelled text."""
-    def share(rows):
-        return np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=2 * SPACE) / max(1, len(rows))
-    p, u, n = share(positive), share(unlabelled), max(1, len(positive))
-    clear = (p - u) * np.sqrt(n / np.maximum(u, 1 / n))
+    """The features that most set positives apart from unlabelled text, of
+    those that more than two positives have."""
+    every = lambda rows: np.concatenate([*rows, np.zeros(0, np.int32)])
+    features, counts = np.unique(every(positive), return_counts=True)
+    features, counts = features[counts > 2], counts[counts > 2]
+    if not len(features):
+        return features.astype(np.int64)
+    other = every(unlabelled)
+    at = np.minimum(np.searchsorted(features, other), len(features) - 1)
+    u = np.bincount(at[features[at] == other], minlength=len(features)) / max(1, len(unlabelled))
+    n = len(positive)
+    clear = (counts / n - u) * np.sqrt(n / np.maximum(u, 1 / n))
     best = np.argsort(-clear, kind="stable")[:KEPT]
-    return np.sort(best[(clear[best] > CLEAR) & (p[best] * n > 2)])
+    return np.sort(features[best[clear[best] > CLEAR]]).astype(np.int64)
 
 
 def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
@@ -206,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", tex
     table = collected(some.mapInArrow(run, kind), MAX_BYTES)
     discard(confirmed)
     found, toxic, unlabelled = (table.column(c).to_pylist() for c in ("found", "toxic", "other"))
+    del table
 
     def those(flags: list[bool]) -> list[np.ndarray]:  # sorted: the order of tasks doesn't matter
         return [np.frombuffer(x, np.int32) for x in sorted(f for f, flag in zip(found, flags, strict=True) if flag)]
