@@ -3,11 +3,14 @@
 A posting (a key) is open from its first sighting on; a sighting within the gap
 after the last one belongs to the same life, a later one is a re-posting and
 opens the next life. Arbitrary stateful processing keeps one small record a key:
-when the life began, the last sighting and their number. An event-time timer two
-gaps after the last sighting closes the life and drops the record (a row that is
-not late then is more than a gap after that sighting), so the state holds open
-postings only, however long the feed runs. Records live in RocksDB under the
-checkpoint folder.
+when the life began, the last sighting and their number. A life closes two gaps
+after the last sighting, and its record is dropped (a row that is not late then
+is more than a gap after that sighting), so the state holds open postings only,
+however long the feed runs. Records live in RocksDB under the checkpoint folder.
+
+Keys are dealt to BUCKETS by their hash, and a bucket's records are one value
+with one event-time timer, at its earliest end: a trigger asks the state store
+a few times for each bucket, not for each key.
 
 Sightings are cut to slots as wide as the gap: within a slot no two of them are
 further apart than the gap, so its first, last and number say all. Each input
@@ -20,7 +23,10 @@ in whole milliseconds.
 from __future__ import annotations
 
 import datetime as dt
+import pickle
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +37,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Keys and slots that a task holds before it hands them on.
 HELD = 100_000
+#: Groups of keys with a state of their own. A stream's state keeps their number.
+BUCKETS = 1024
 OPENED, CLOSED = "opened", "closed"
-STATE = "start long, last long, n long"
+#: The next timer, and the pickled open lives: key -> (start, last, n).
+STATE = "timer long, lives binary"
+_NAN = float("nan")
 RESULT = [T.StructField("event", T.StringType()), T.StructField("first_ts", T.TimestampType()),
           T.StructField("last_ts", T.TimestampType()), T.StructField("sightings", T.LongType())]
 
@@ -42,15 +52,15 @@ def _instant(micros: int) -> dt.datetime:
 
 
 class Lives(StatefulProcessor):
-    """Rows (key, low, high, n) of a batch, by time -> lives opened and closed."""
+    """Rows (keys, low, high, n) of a bucket's keys in a batch -> lives opened and closed."""
 
     def __init__(self, keys: list[str], gap: int):
-        self.gap = gap  # microseconds
+        self.keys, self.gap = keys, gap  # microseconds
         self.row = T.Row(*keys, *[f.name for f in RESULT])
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.life = handle.getValueState("life", STATE)
+        self.state = handle.getValueState("lives", STATE)
 
     def _row(self, key, event: str, start: int, last: int, n: int) -> T.Row:
         return self.row(*key, event, _instant(start), _instant(last), n)
@@ -59,30 +69,52 @@ class Lives(StatefulProcessor):
         """Milliseconds at which nothing that still counts can join the life."""
         return -(-(last + 2 * self.gap) // 1000)
 
+    @staticmethod
+    def _key(values) -> tuple:
+        return tuple(_NAN if v != v else v for v in values)  # one NaN, that equals itself as in a grouping
+
+    def _load(self) -> tuple[int | None, dict]:
+        found = self.state.get()
+        return (found[0], {self._key(k): v for k, v in pickle.loads(found[1]).items()}) if found else (None, {})
+
+    def _store(self, before: int | None, lives: dict) -> None:
+        timer = min((self._timer(last) for _, last, _ in lives.values()), default=None)
+        if timer != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if lives:
+            self.state.update((timer, pickle.dumps(lives)))
+        else:
+            self.state.clear()
+
     def handleInputRows(self, key, rows, timerValues):
-        held = self.life.get() if self.life.exists() else None
-        start, last, n = held if held else (None, None, 0)
-        before = last
-        for row in sorted(rows, key=lambda r: (r["low"], r["high"])):
-            if last is not None and row["low"] > last + self.gap:
-                yield self._row(key, CLOSED, start, last, n)
-                start, last, n = None, None, 0
-            if start is None:
-                start, last = row["low"], row["high"]
-                yield self._row(key, OPENED, start, start, 0)
-            last, n = max(last, row["high"]), n + row["n"]
-        if start is None:
-            return
-        if before is not None:
-            self.handle.deleteTimer(self._timer(before))
-        self.handle.registerTimer(self._timer(last))
-        self.life.update((start, last, n))
+        timer, lives = self._load()
+        seen = defaultdict(list)
+        for r in rows:
+            seen[self._key(r[k] for k in self.keys)].append((r["low"], r["high"], r["n"]))
+        for k, spans in seen.items():
+            start, last, n = lives.get(k, (None, None, 0))
+            for low, high, more in sorted(spans):
+                if last is not None and low > last + self.gap:
+                    yield self._row(k, CLOSED, start, last, n)
+                    start, last, n = None, None, 0
+                if start is None:
+                    start, last = low, high
+                    yield self._row(k, OPENED, start, start, 0)
+                last, n = max(last, high), n + more
+            lives[k] = (start, last, n)
+        self._store(timer, lives)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.life.exists():
-            start, last, n = self.life.get()
-            yield self._row(key, CLOSED, start, last, n)
-            self.life.clear()
+        _, lives = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        for k, (start, last, n) in [*lives.items()]:
+            if self._timer(last) < now:
+                yield self._row(k, CLOSED, start, last, n)
+                del lives[k]
+        self._store(None, lives)  # the expired timer goes by itself
 
 
 def _slots(feed: DataFrame, keys: list[str], ts: str, gap: int) -> DataFrame:
@@ -95,27 +127,27 @@ def _slots(feed: DataFrame, keys: list[str], ts: str, gap: int) -> DataFrame:
 
     out = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 
-    def flush(held):
-        cols = zip(*[(*k, *v) for k, v in held.items()], strict=True)
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-        held.clear()
-        return batch
+    def merged(parts):
+        found = pa.concat_tables(parts).group_by([*keys, "slot"], use_threads=False).aggregate(
+            [("low", "min"), ("high", "max"), ("n", "sum")])
+        return found.select([*keys, "slot", "low_min", "high_max", "n_sum"]).rename_columns(out.names).cast(out)
 
     def partial(batches):
-        held: dict[tuple, tuple[int, int, int]] = {}
+        parts, rows = [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            slot = pa.array([v // gap for v in table.column("at").to_pylist()], pa.int64())
-            found = table.append_column("slot", slot).group_by([*keys, "slot"]).aggregate(
-                [("at", "min"), ("at", "max"), ("at", "count")])
-            for r in found.to_pylist():
-                key = (*(r[k] for k in keys), r["slot"])
-                low, high, n = held.get(key, (r["at_min"], r["at_max"], 0))
-                held[key] = (min(low, r["at_min"]), max(high, r["at_max"]), n + r["at_count"])
-            if len(held) > HELD:
-                yield flush(held)
-        if held:
-            yield flush(held)
+            at = batch.column("at")
+            slot = pa.array(at.to_numpy(zero_copy_only=False) // gap, pa.int64())
+            one = pa.array(np.ones(len(at), np.int64))
+            parts.append(pa.Table.from_arrays([*[batch.column(k) for k in keys], slot, at, at, one], schema=out))
+            rows += len(at)
+            if rows > HELD:
+                parts = [merged(parts)]
+                rows = parts[0].num_rows
+                if 2 * rows > HELD:  # few of them meet
+                    yield from parts[0].to_batches()
+                    parts, rows = [], 0
+        if parts:
+            yield from merged(parts).to_batches()
 
     return narrow.mapInArrow(partial, schema).withColumn(
         "slot_end", F.timestamp_micros((F.col("slot") + 1) * F.lit(gap))).drop("slot")
@@ -131,7 +163,8 @@ def life_spans(feed: DataFrame, keys: list[str], ts: str, gap: dt.timedelta, del
     micros = gap // dt.timedelta(microseconds=1)
     slots = _slots(feed, keys, ts, micros).withWatermark("slot_end", f"{int(delay.total_seconds())} seconds")
     schema = T.StructType([*(slots.schema[k] for k in keys), *RESULT])
-    return slots.groupBy(*keys).transformWithState(Lives(keys, micros), schema, "append", "eventTime")
+    dealt = slots.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    return dealt.groupBy("_bucket").transformWithState(Lives(keys, micros), schema, "append", "eventTime")
 
 
 def record(spark: SparkSession, source_dir: str, schema: T.StructType, keys: list[str], ts: str, gap: dt.timedelta,
